@@ -77,7 +77,7 @@ def chi2_upper_tail_even(q: Column, df: int) -> Column:
 def service_level_z(level: Column) -> Column:
     """Safety factor: the two conventional rounded values, else the quantile."""
     exact = normal_quantile(level)
-    z = None
+    z = F
     for value, score in SERVICE_LEVEL_Z.items():
-        z = (z or F).when(level == value, F.lit(score))
+        z = z.when(level == value, F.lit(score))
     return z.otherwise(exact)
