@@ -119,24 +119,17 @@ def structural_regressors(
     return with_row_sequence(with_date_flag(df, events, "special_event"), keys)
 
 
-def future_exogenous(
-    series: DataFrame,
-    exogenous: DataFrame,
-    horizon: int = HORIZON,
-    events: Holidays = SPECIAL_EVENTS,
-    keys: Sequence[str] = TOTAL,
+def with_exogenous(
+    df: DataFrame, exogenous: DataFrame, events: Holidays = SPECIAL_EVENTS
 ) -> DataFrame:
-    """Regressors for the days after each series.
+    """Adds the regressor columns by date, filled where the table has no value.
 
-    Known future values are used. Missing ones become: temperature 20 plus the
-    yearly wave, price the last known value of the table, promotion none.
+    Missing values become: temperature 20 plus the yearly wave, price the last
+    known value of the table, promotion none.
     """
     d = F.col("date")
     last_price = exogenous.agg(F.max_by("price_index", F.when(F.col("price_index").isNotNull(), d)))
-    df = future_dates(series, horizon, keys).join(
-        exogenous.select("date", *EXOGENOUS), "date", "left"
-    )
-    df = df.withColumns(
+    df = df.join(exogenous.select("date", *EXOGENOUS), "date", "left").withColumns(
         {
             "temperature": F.coalesce("temperature", 20.0 + seasonal_temperature(d)),
             "price_index": F.coalesce(F.col("price_index"), last_price.scalar()),
@@ -145,3 +138,14 @@ def future_exogenous(
         }
     )
     return with_date_flag(df, events, "special_event")
+
+
+def future_exogenous(
+    series: DataFrame,
+    exogenous: DataFrame,
+    horizon: int = HORIZON,
+    events: Holidays = SPECIAL_EVENTS,
+    keys: Sequence[str] = TOTAL,
+) -> DataFrame:
+    """Regressors for the days after each series; known future values are used."""
+    return with_exogenous(future_dates(series, horizon, keys), exogenous, events)
