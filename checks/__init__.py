@@ -1,4 +1,4 @@
 """Registered queries over the test tables, each with its SQL counterpart."""
 
-from checks import policy, tables  # noqa: F401
+from checks import models, policy, tables  # noqa: F401
 from checks.base import ORACLES, QUERIES  # noqa: F401

@@ -28,8 +28,17 @@ def key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
-def by_series(df: DataFrame, keys: Sequence[str]):
-    return df.groupBy(*keys)
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Series hashed over the configured number of shuffle partitions.
+
+    For steps that cost CPU rather than bytes: adaptive coalescing sizes
+    partitions by bytes and would pack many small series into a few tasks. A
+    later window, join or grouping by the keys reuses this partitioning.
+    """
+    if not keys:
+        return df
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
 
 
 def attach(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -82,7 +91,7 @@ def solve_per_series(
         return pd.DataFrame([(*key, *r) for r in rows], columns=[*names, *[f.name for f in fields]])
 
     schema = T.StructType([*key_fields(partials, keys), *fields])
-    return by_series(partials, keys).applyInPandas(run, schema)
+    return spread(partials, keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def least_squares(xtx: np.ndarray, xty: np.ndarray, ridge: np.ndarray | None = None) -> np.ndarray:

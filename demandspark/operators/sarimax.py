@@ -33,6 +33,7 @@ from demandspark.operators.gram import (
     least_squares,
     residual_sum,
     solve_per_series,
+    spread,
 )
 from demandspark.operators.grids import ORDER_COLUMNS, best_candidate
 from demandspark.operators.panel import (
@@ -163,7 +164,7 @@ def search_orders(
     lagged = {0: F.col(value)}
     for lag in sorted({lag for c in weights.values() for lag in c} - {0}):
         lagged[lag] = F.lag(value, lag).over(w)
-    named = series.select(
+    named = spread(series, keys).select(
         *keys, "date", F.row_number().over(w).alias("_pos"),
         *[c.alias(f"_y{lag}") for lag, c in lagged.items()],
     )
@@ -274,7 +275,7 @@ def fit(
          for lag in difference_weights(i, j, m)}
     )
     ordered = attach(
-        train.select(*keys, "date", F.col(value).cast("double").alias("value"), "xreg"),
+        spread(train.select(*keys, "date", F.col(value).cast("double").alias("value"), "xreg"), keys),
         orders.select(*keys, *ORDERS), keys,
     )
     # level 0 is a constant column, kept only where the series is not differenced

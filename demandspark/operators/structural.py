@@ -29,6 +29,7 @@ from demandspark.operators.gram import (
     least_squares,
     residual_sum,
     solve_per_series,
+    spread,
 )
 from demandspark.operators.grids import best_candidate
 from demandspark.operators.panel import future_dates, holdout_split, whole_series
@@ -141,7 +142,8 @@ def fit(
     """
     names = list(keys)
     w = whole_series(keys)
-    rows = train.select(*names, "date", F.col(value).cast("double").alias("_value"), "effects")
+    rows = spread(
+        train.select(*names, "date", F.col(value).cast("double").alias("_value"), "effects"), keys)
     rows = rows.withColumns(
         {
             "first": F.min("date").over(w),
@@ -372,7 +374,7 @@ def _rolling(
         return pd.DataFrame(out, columns=columns)
 
     schema = T.StructType([*head, *[T.StructField(n, t) for n, t in fields]])
-    return rows.groupBy(*names, "_part").applyInPandas(walk, schema)
+    return spread(rows, [*names, "_part"]).groupBy(*names, "_part").applyInPandas(walk, schema)
 
 
 def _grid_rows(values: Mapping[str, Sequence]) -> list[dict]:

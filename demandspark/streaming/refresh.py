@@ -11,19 +11,19 @@ from demandspark.operators.aggregates import daily_total
 from demandspark.schema import SALES_SCHEMA
 
 
-def refresh_dates(arrived: DataFrame, source: DataFrame, target: str) -> None:
-    """Recomputes the daily totals of the dates in ``arrived`` from the whole source.
+def refresh_months(arrived: DataFrame, source: DataFrame, target: str) -> None:
+    """Recomputes the daily totals of the months in ``arrived`` from the whole source.
 
-    Only those dates' partitions are replaced, so repeating a batch after a
-    failure gives the same table, and late rows simply recompute their date.
-    A source partitioned by date is pruned to the touched dates.
+    Only those months' partitions are replaced, so repeating a batch after a
+    failure gives the same table, and late rows simply recompute their month.
     """
-    touched = arrived.select("date").distinct()
-    totals = daily_total(source.join(touched, "date", "left_semi"))
-    # one task per group of dates writes each date's file
-    totals.repartition("date").write.mode("overwrite").option(
+    month = F.date_format("date", "yyyy-MM")
+    touched = arrived.select(month.alias("year_month")).distinct()
+    affected = source.withColumn("year_month", month).join(touched, "year_month", "left_semi")
+    totals = daily_total(affected).withColumn("year_month", month)
+    totals.hint("rebalance", "year_month").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).partitionBy("date").parquet(target)
+    ).partitionBy("year_month").parquet(target)
 
 
 def start_refresh(
@@ -45,7 +45,7 @@ def start_refresh(
 
     def refresh(batch: DataFrame, _batch_id: int) -> None:
         whole = batch.sparkSession.read.schema(schema).parquet(source)
-        refresh_dates(batch, whole, target)
+        refresh_months(batch, whole, target)
 
     return (
         reader.parquet(source)
@@ -58,4 +58,4 @@ def start_refresh(
 
 
 def read_daily(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(target).select(F.col("date").cast("date").alias("date"), "total_sales")
+    return spark.read.parquet(target).select("date", "total_sales")
