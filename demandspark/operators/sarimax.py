@@ -4,7 +4,8 @@ Hannan and Rissanen (1982): a long autoregression gives innovations, then the
 ARMA terms are one regression on lagged values and lagged innovations.
 Innovations are linear in the lagged values, so one Gram matrix of the lag
 vector (1, w[t-H], ..., w[t]) determines the long autoregression, the
-innovations and every candidate: a grid of any size is one pass over the rows.
+innovations and, because differencing is linear too, every candidate of every
+differencing: a grid of any size is one pass over the rows.
 Seasonal terms enter as lags m, 2m, ... . Estimates differ from exact maximum
 likelihood.
 
@@ -156,42 +157,34 @@ def search_orders(
     top = [max(c[i] for c in grid) for i in range(1, 7)]
     ar, ma = _ar_lags((top[0], top[3]), m), _ar_lags((top[2], top[5]), m)
     span = long_ar + max([1, *ar, *ma])
-    burn = top[1] + m * top[4] + span
-    weights = {
-        (d, sd): difference_weights(d, sd, m) for d in range(top[1] + 1) for sd in range(top[4] + 1)
-    }
-    w = series_window(keys)
-    lagged = {0: F.col(value)}
-    for lag in sorted({lag for c in weights.values() for lag in c} - {0}):
-        lagged[lag] = F.lag(value, lag).over(w)
-    named = spread(series, keys).select(
-        *keys, "date", F.row_number().over(w).alias("_pos"),
-        *[c.alias(f"_y{lag}") for lag, c in lagged.items()],
-    )
-    lagged = {lag: F.col(f"_y{lag}") for lag in lagged}
-    choices = [
-        F.struct(F.lit(d).alias("d"), F.lit(sd).alias("seasonal_d"), _combine(c, lagged).alias("w"))
-        for (d, sd), c in weights.items()
-    ]
-    rows = (
-        named.select(*keys, "date", "_pos", F.explode(F.array(*choices)).alias("_c"))
-        .select(*keys, "date", "_pos", "_c.*")
-        .filter("w IS NOT NULL")
-    )
-    keyed = [*keys, "d", "seasonal_d"]
-    design = _with_lag_vector(rows, keyed, span)
+    whole = span + top[1] + m * top[4]
+    rows = spread(series.select(*keys, "date", F.col(value).cast("double").alias("w")), keys)
+    design = _with_lag_vector(rows, keys, whole)
+
+    def differenced(d: int, sd: int) -> np.ndarray:
+        """Lag vector of the differenced series as weights on that of the series."""
+        out = np.zeros((whole + 2, span + 2))
+        out[0, 0] = 1.0
+        for lag in range(span + 1):
+            for back, c in difference_weights(d, sd, m).items():
+                out[whole + 1 - lag - back, span + 1 - lag] = c
+        return out
+
     place = {("w", n): i for i, n in enumerate(ar, 1)}
     place |= {("e", n): i for i, n in enumerate(ma, 1 + len(ar))}
 
-    def solver(key, n, g, _xty, yty):
-        e = _innovation_basis(g, n, span, long_ar)
-        basis = [np.eye(span + 2)[0]] + [_pick_lag(span, x) for x in ar]
-        basis = np.column_stack(basis + [_lagged_basis(e, x) for x in ma])
-        xtx, xty = basis.T @ g @ basis, basis.T @ g[:, span + 1]
-        out = []
+    def solver(_key, n, levels, _xty, _yty):
+        out, blocks = [], {}
         for number, p, d, q, sp, sd, sq in grid:
-            if (d, sd) != (key["d"], key["seasonal_d"]):
-                continue
+            if (d, sd) not in blocks:
+                move = differenced(d, sd)
+                g = move.T @ levels @ move
+                e = _innovation_basis(g, n, span, long_ar)
+                basis = [np.eye(span + 2)[0]] + [_pick_lag(span, x) for x in ar]
+                basis = np.column_stack(basis + [_lagged_basis(e, x) for x in ma])
+                now = span + 1
+                blocks[d, sd] = basis.T @ g @ basis, basis.T @ g[:, now], g[now, now]
+            xtx, xty, yty = blocks[d, sd]
             own_ar, own_ma = _ar_lags((p, sp), m), _ar_lags((q, sq), m)
             block = [0] if d + sd == 0 else []
             block += [place["w", x] for x in own_ar] + [place["e", x] for x in own_ma]
@@ -207,19 +200,17 @@ def search_orders(
                 )
                 if root < 1.0:
                     aic = n * np.log(max(sigma2, 1e-12)) + 2.0 * (len(block) + 1)
-            out.append((number, p, q, sp, sq, n, sigma2, float(aic)))
+            out.append((number, p, d, q, sp, sd, sq, n, sigma2, float(aic)))
         return out
 
     fields = [
         T.StructField("grid_id", T.IntegerType()),
-        *[f for f in ORDER_FIELDS if f.name not in ("d", "seasonal_d")],
+        *ORDER_FIELDS,
         T.StructField("n_eff", T.LongType()),
         T.StructField("sigma2", T.DoubleType()),
         T.StructField("aic", T.DoubleType()),
     ]
-    partials = gram_partials(design.filter(F.col("_pos") > burn), keyed)
-    scored = solve_per_series(partials, keyed, solver, fields)
-    return scored.select(*keys, "grid_id", *ORDERS, "n_eff", "sigma2", "aic")
+    return solve_per_series(gram_partials(design, keys), keys, solver, fields)
 
 
 def best_orders(scored: DataFrame, keys: Sequence[str] = TOTAL) -> DataFrame:
@@ -301,16 +292,17 @@ def fit(
     rows = rows.withColumn("x", _pick(d, sd, x_diff, limits, m)).filter("y IS NOT NULL AND x IS NOT NULL")
     rows = rows.select(*keys, "date", "value", "xreg", *ORDERS, "x", "y")
 
-    beta = solve_per_series(
+    # each step reads the one before it several times, so its result is written once
+    beta = cut_lineage(solve_per_series(
         gram_partials(rows, keys), keys,
         lambda _key, _n, xtx, xty, _yty: [(least_squares(xtx, xty),)],
         [T.StructField("beta", DOUBLES)],
-    )
-    errors = attach(rows, beta, keys).select(
+    ))
+    errors = cut_lineage(attach(rows, beta, keys).select(
         *keys, "date", *ORDERS,
         (F.col("value") - dot(F.col("beta"), F.col("xreg"))).alias("eta"),
         (F.col("y") - dot(F.col("beta"), F.col("x"))).alias("w"),
-    )
+    ))
     ar, ma = _ar_lags((limits["p"], limits["P"]), m), _ar_lags((limits["q"], limits["Q"]), m)
     span = long_ar + max([1, *ar, *ma])
     design = _with_lag_vector(errors, keys, span)
@@ -344,7 +336,7 @@ def fit(
         T.StructField("n_eff", T.LongType()),
     ]
     keyed = [*keys, *ORDERS]
-    arma = solve_per_series(gram_partials(design, keyed), keyed, solver, fields)
+    arma = cut_lineage(solve_per_series(gram_partials(design, keyed), keyed, solver, fields))
     fitted = attach(design, arma.select(*keys, "noise"), keys).select(
         *keys, "date", "eta", "w", dot(F.col("noise"), F.col("x")).alias("residual")
     )

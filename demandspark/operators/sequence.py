@@ -93,7 +93,10 @@ def train(
     windows = training_windows(series, keys, length, fraction, value).withColumn(
         "features", array_to_vector("sequence")
     )
-    regressor = estimator.fit(windows.filter("split = 'train'").select("features", "label"))
+    # the trainer reads its input several times
+    known = windows.filter("split = 'train'").select("features", "label").persist()
+    regressor = estimator.fit(known)
+    known.unpersist()
     miss = F.col("label") - F.col("prediction")
     errors = regressor.transform(windows).groupBy("split").agg(
         F.count("*").alias("n"), F.avg(miss * miss).alias("mse"), F.avg(F.abs(miss)).alias("mae")

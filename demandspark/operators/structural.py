@@ -178,7 +178,7 @@ def fit(
         T.StructField("effect", DOUBLES),
         T.StructField("sigma", T.DoubleType()),
     ]
-    first = solve_per_series(gram_partials(rows, keyed), keyed, joint, fields)
+    first = cut_lineage(solve_per_series(gram_partials(rows, keyed), keyed, joint, fields))
     if not isinstance(parameters, DataFrame) and parameters["seasonality_mode"] == "additive":
         return first
 
