@@ -95,12 +95,16 @@ def solve_per_series(
 
 
 def least_squares(xtx: np.ndarray, xty: np.ndarray, ridge: np.ndarray | None = None) -> np.ndarray:
-    """Normal equations; minimum-norm on rank deficiency, ``ridge`` adds a diagonal."""
-    scale = np.sqrt(np.diag(xtx))
-    scale[scale == 0] = 1.0
+    """Normal equations; minimum-norm on rank deficiency, ``ridge`` adds a diagonal.
+
+    A column that is zero up to rounding (a weekly term after weekly
+    differencing, say) gets no weight.
+    """
+    size = np.diag(xtx)
+    scale = np.sqrt(np.where(size > 1e-20 * max(size.max(), 1e-300), size, np.inf))
     g = xtx / np.outer(scale, scale)
     if ridge is not None:
-        g = g + np.diag(ridge / scale**2)
+        g = g + np.diag(np.where(np.isfinite(scale), ridge / scale**2, 0.0))
     return np.linalg.pinv(g, rcond=1e-10, hermitian=True) @ (xty / scale) / scale
 
 

@@ -235,13 +235,36 @@ def with_design(series: DataFrame, holidays: Holidays = MODEL_HOLIDAYS, regresso
     return series.withColumn("xreg", F.array().cast("array<double>"))
 
 
-def _pick(d: Column, seasonal_d: Column, build, limits: Mapping[str, int], m: int) -> Column:
-    """The differencing of the row's own order, as one CASE expression."""
-    chosen = F
-    for i in range(limits["d"] + 1):
-        for j in range(limits["D"] + 1):
-            chosen = chosen.when((d == i) & (seasonal_d == j), build(difference_weights(i, j, m)))
-    return chosen
+def _differenced_rows(
+    rows: DataFrame, keys: Sequence[str], limits: Mapping[str, int], m: int
+) -> DataFrame:
+    """Adds ``w`` and ``dx``: value and regressors differenced by the row's own order.
+
+    Needs value, xreg, d, seasonal_d; NULL where the history is too short.
+    """
+    orders = [(i, j) for i in range(limits["d"] + 1) for j in range(limits["D"] + 1)]
+    weights = {o: difference_weights(*o, m) for o in orders}
+    back = sorted({lag for c in weights.values() for lag in c} - {0})
+    w = series_window(keys)
+    rows = rows.withColumns(
+        {f"_y{n}": F.lag("value", n).over(w) for n in back}
+        | {f"_x{n}": F.lag("xreg", n).over(w) for n in back}
+    )
+    values = {0: F.col("value"), **{n: F.col(f"_y{n}") for n in back}}
+
+    def regressors(c: Mapping[int, float]) -> Column:
+        if len(c) == 1:
+            return F.col("xreg")
+        return F.transform(
+            "xreg", lambda v, i: sum((F.col(f"_x{n}")[i] * x for n, x in c.items() if n), v))
+
+    chosen_w, chosen_x = F, F
+    for (d, sd), c in weights.items():
+        own = (F.col("d") == d) & (F.col("seasonal_d") == sd)
+        chosen_w = chosen_w.when(own, _combine(c, values))
+        chosen_x = chosen_x.when(own, regressors(c))
+    dropped = [f"_{kind}{n}" for kind in "xy" for n in back]
+    return rows.withColumn("w", chosen_w).withColumn("dx", chosen_x).drop(*dropped)
 
 
 def fit(
@@ -253,121 +276,104 @@ def fit(
     period: int | None = SEASONAL_PERIOD,
     long_ar: int = LONG_AR,
 ) -> tuple[DataFrame, DataFrame]:
-    """Regression with ARIMA errors at each series' own order.
+    """Each series at its own order, regressors and ARMA terms in one regression.
 
     ``train`` is (keys, date, value, xreg). Gives (coefficients, rows): one row
-    per series with beta, ar, ma and sigma2, and one row per date with the
-    regression error ``eta``, its differenced form ``w`` and the ``residual``.
+    per series with beta (constant first), ar, ma and sigma2, and one row per
+    date with value, differenced value and residual. A series shorter than the
+    lag vector has neither.
     """
     m = period or 1
     limits = {k: v if period or k.islower() else 0 for k, v in limits.items()}
-    lags_back = sorted(
-        {lag for i in range(limits["d"] + 1) for j in range(limits["D"] + 1)
-         for lag in difference_weights(i, j, m)}
-    )
+    ar, ma = _ar_lags((limits["p"], limits["P"]), m), _ar_lags((limits["q"], limits["Q"]), m)
+    span = long_ar + max([1, *ar, *ma])
     ordered = attach(
         spread(train.select(*keys, "date", F.col(value).cast("double").alias("value"), "xreg"), keys),
         orders.select(*keys, *ORDERS), keys,
     )
-    # level 0 is a constant column, kept only where the series is not differenced
-    level = F.when(F.col("d") + F.col("seasonal_d") == 0, 1.0).otherwise(0.0)
-    w = series_window(keys)
-    rows = ordered.withColumn("xreg", F.concat(F.array(level), "xreg"))
-    rows = rows.withColumns(
-        {f"_y{n}": F.lag("value", n).over(w) for n in lags_back if n}
-        | {f"_x{n}": F.lag("xreg", n).over(w) for n in lags_back if n}
+    rows = _differenced_rows(ordered, keys, limits, m).filter("w IS NOT NULL AND dx IS NOT NULL")
+    design = _with_lag_vector(rows, keys, span).select(
+        *keys, "date", "value", *ORDERS, "w", F.concat("x", "dx").alias("x"), "y"
     )
-    y_at = {n: F.col(f"_y{n}") if n else F.col("value") for n in lags_back}
-
-    def x_diff(weights: Mapping[int, float]) -> Column:
-        if len(weights) == 1:
-            return F.col("xreg")
-        return F.transform(
-            F.col("xreg"),
-            lambda v, i: sum((F.col(f"_x{n}")[i] * c for n, c in weights.items() if n), v),
-        )
-
-    d, sd = F.col("d"), F.col("seasonal_d")
-    rows = rows.withColumn("y", _pick(d, sd, lambda c: _combine(c, y_at), limits, m))
-    rows = rows.withColumn("x", _pick(d, sd, x_diff, limits, m)).filter("y IS NOT NULL AND x IS NOT NULL")
-    rows = rows.select(*keys, "date", "value", "xreg", *ORDERS, "x", "y")
-
-    # each step reads the one before it several times, so its result is written once
-    beta = cut_lineage(solve_per_series(
-        gram_partials(rows, keys), keys,
-        lambda _key, _n, xtx, xty, _yty: [(least_squares(xtx, xty),)],
-        [T.StructField("beta", DOUBLES)],
-    ))
-    errors = cut_lineage(attach(rows, beta, keys).select(
-        *keys, "date", *ORDERS,
-        (F.col("value") - dot(F.col("beta"), F.col("xreg"))).alias("eta"),
-        (F.col("y") - dot(F.col("beta"), F.col("x"))).alias("w"),
-    ))
-    ar, ma = _ar_lags((limits["p"], limits["P"]), m), _ar_lags((limits["q"], limits["Q"]), m)
-    span = long_ar + max([1, *ar, *ma])
-    design = _with_lag_vector(errors, keys, span)
 
     def solver(key, n, g, _xty, _yty):
-        """The candidate of the series' own order, shrunk to stability if need be."""
+        """Sub-block of the series' own order, shrunk to stability if need be."""
+        width, head = len(g), span + 2
         own_ar = _ar_lags((key["p"], key["seasonal_p"]), m)
         own_ma = _ar_lags((key["q"], key["seasonal_q"]), m)
-        e = _innovation_basis(g, n, span, long_ar)
+        e = _innovation_basis(g[:head, :head], n, span, long_ar)
         terms = [_pick_lag(span, x) for x in own_ar] + [_lagged_basis(e, x) for x in own_ma]
-        coef = np.zeros(len(terms))
-        if terms and n > len(terms) + 1:
-            basis = np.column_stack(terms)
-            coef = least_squares(basis.T @ g @ basis, basis.T @ g[:, span + 1])
+        terms = [np.concatenate([t, np.zeros(width - head)]) for t in terms]
+        # the constant belongs to undifferenced series only
+        outside = [0] if key["d"] + key["seasonal_d"] == 0 else []
+        outside += range(head, width)
+        basis = np.column_stack([np.eye(width)[:, outside], *terms])
+        now = np.eye(width)[span + 1]
+        arma = np.zeros(len(terms))
+        if n > basis.shape[1] + 1 and terms:
+            arma = least_squares(basis.T @ g @ basis, basis.T @ g @ now)[len(outside):]
         dense = {"ar": np.zeros(max([1, *ar])), "ma": np.zeros(max([1, *ma]))}
-        parts = (("ar", own_ar, coef[: len(own_ar)], 1.0), ("ma", own_ma, coef[len(own_ar):], -1.0))
+        parts = (("ar", own_ar, arma[: len(own_ar)], 1.0), ("ma", own_ma, arma[len(own_ar):], -1.0))
         for name, lags, part, sign in parts:
             root = _largest_root(lags, sign * part)
-            shrink = 0.98 / root if root >= 0.98 else 1.0
+            shrink = 0.99 / root if root >= 1.0 else 1.0
             for lag, c in zip(lags, part):
                 dense[name][lag - 1] = c * shrink**lag
         kept = [dense["ar"][x - 1] for x in own_ar] + [dense["ma"][x - 1] for x in own_ma]
-        noise = _pick_lag(span, 0) - sum((c * t for c, t in zip(kept, terms)), np.zeros(span + 2))
-        return [(dense["ar"], dense["ma"], noise, float(max(noise @ g @ noise, 0.0)) / n, n)]
+        noise = now - sum((c * t for c, t in zip(kept, terms)), np.zeros(width))
+        # constant and regressors given the ARMA part (the same numbers unless it was shrunk)
+        weights = np.zeros(width)
+        if outside and n > len(outside):
+            weights[outside] = least_squares(g[np.ix_(outside, outside)], g[outside] @ noise)
+        noise = noise - weights
+        beta = np.concatenate([weights[:1], weights[head:]])
+        return [(dense["ar"], dense["ma"], beta, noise, float(max(noise @ g @ noise, 0.0)) / n, n)]
 
     fields = [
-        T.StructField("ar", DOUBLES),
-        T.StructField("ma", DOUBLES),
-        T.StructField("noise", DOUBLES),
+        *[T.StructField(c, DOUBLES) for c in ("ar", "ma", "beta", "noise")],
         T.StructField("sigma2", T.DoubleType()),
         T.StructField("n_eff", T.LongType()),
     ]
     keyed = [*keys, *ORDERS]
-    arma = cut_lineage(solve_per_series(gram_partials(design, keyed), keyed, solver, fields))
-    fitted = attach(design, arma.select(*keys, "noise"), keys).select(
-        *keys, "date", "eta", "w", dot(F.col("noise"), F.col("x")).alias("residual")
+    # read several times below: written once, so no later step repeats the solve
+    solved = cut_lineage(solve_per_series(gram_partials(design, keyed), keyed, solver, fields))
+    fitted = attach(design.drop(*ORDERS), solved.select(*keys, "noise"), keys).select(
+        *keys, "date", "value", "w", dot(F.col("noise"), F.col("x")).alias("residual")
     )
-    return attach(arma.drop("noise"), beta, keys), fitted
+    return solved.drop("noise"), fitted
 
 
 def forecast(
     coefficients: DataFrame,
     fitted: DataFrame,
+    history: DataFrame,
     future: DataFrame,
     keys: Sequence[str] = TOTAL,
+    limits: Mapping[str, int] = ARIMA_RUN_GRID,
     period: int | None = SEASONAL_PERIOD,
     model: str = MODEL,
 ) -> DataFrame:
-    """(keys, model, date, yhat, lower, upper) for ``future`` = (keys, date, step, xreg).
+    """(keys, model, date, yhat, lower, upper) for the rows of ``future``.
 
-    One small row per series goes to Python: its last values, its coefficients
-    and its future regression part.
+    ``history`` and ``future`` are (keys, date, xreg). One small row per series
+    goes to Python: its last values, coefficients and future regression part.
     """
     m = period or 1
+    limits = {k: v if period or k.islower() else 0 for k, v in limits.items()}
     names = list(keys)
     keep = 2 * m + 8
-    points = F.sort_array(F.collect_list(F.struct("date", "eta", "w", "residual")))
+    points = F.sort_array(F.collect_list(F.struct("date", "value", "w", "residual")))
     tail = last_rows(fitted, keep, keys).groupBy(*keys).agg(points.alias("_p")).select(
-        *keys, *[F.col(f"_p.{c}").alias(c) for c in ("eta", "w", "residual")]
+        *keys, *[F.col(f"_p.{c}").alias(c) for c in ("value", "w", "residual")]
     )
-    level = F.when(F.col("d") + F.col("seasonal_d") == 0, 1.0).otherwise(0.0)
-    ahead = attach(future.select(*keys, "date", "step", "xreg"), coefficients.select(
-        *keys, "beta", "d", "seasonal_d"), keys)
-    ahead = ahead.withColumn("xb", dot(F.col("beta"), F.concat(F.array(level), "xreg")))
-    steps = F.sort_array(F.collect_list(F.struct("step", "date", "xb")))
+    # differences of future regressors reach back into the last known rows
+    known = last_rows(history.select(*keys, "date", "xreg"), keep, keys).withColumn("_ahead", F.lit(False))
+    both = known.unionByName(future.select(*keys, "date", "xreg").withColumn("_ahead", F.lit(True)))
+    placed = attach(
+        both.withColumn("value", F.lit(0.0)), coefficients.select(*keys, "beta", "d", "seasonal_d"), keys)
+    ahead = _differenced_rows(placed, keys, limits, m).filter("_ahead").withColumn(
+        "xb", dot(F.col("beta"), F.concat(F.array(F.lit(1.0)), "dx")))
+    steps = F.sort_array(F.collect_list(F.struct("date", "xb")))
     ahead = ahead.groupBy(*keys).agg(steps.alias("_f")).select(
         *keys, F.col("_f.date").alias("dates"), F.col("_f.xb").alias("xb")
     )
@@ -378,7 +384,7 @@ def forecast(
             out = []
             for row in pdf.to_dict("records"):
                 diff = difference_weights(row["d"], row["seasonal_d"], m)
-                eta, w, e = list(row["eta"]), list(row["w"]), list(row["residual"])
+                y, w, e = list(row["value"]), list(row["w"]), list(row["residual"])
                 ar, ma = row["ar"], row["ma"]
                 # psi weights of the undifferenced process give the interval
                 psi, total = [1.0], 0.0
@@ -387,11 +393,11 @@ def forecast(
                     [diff.get(i, 0.0) for i in range(max(diff) + 1)],
                 )
                 for step, (day, xb) in enumerate(zip(row["dates"], row["xb"])):
-                    nxt = sum(c * w[-1 - i] for i, c in enumerate(ar) if c and i < len(w))
+                    nxt = xb + sum(c * w[-1 - i] for i, c in enumerate(ar) if c and i < len(w))
                     nxt += sum(c * e[-1 - i] for i, c in enumerate(ma) if c and i < len(e))
-                    level = nxt - sum(c * eta[-lag] for lag, c in diff.items() if 0 < lag <= len(eta))
+                    yhat = float(nxt - sum(c * y[-lag] for lag, c in diff.items() if 0 < lag <= len(y)))
                     w.append(nxt)
-                    eta.append(level)
+                    y.append(yhat)
                     e.append(0.0)
                     if step:
                         theta = ma[step - 1] if step <= len(ma) else 0.0
@@ -399,7 +405,6 @@ def forecast(
                             full[i] * psi[step - i] for i in range(1, min(step, len(full) - 1) + 1)))
                     total += psi[step] ** 2
                     half = Z95 * float(np.sqrt(row["sigma2"] * total))
-                    yhat = float(level + xb)
                     out.append((*[row[k] for k in names], model, day, yhat, yhat - half, yhat + half))
             yield pd.DataFrame(out, columns=[*names, "model", "date", "yhat", "lower", "upper"])
 
@@ -425,12 +430,10 @@ def score(
 ) -> DataFrame:
     """(keys, model, date, actual, predicted): orders and coefficients from ``train`` only."""
     orders = cut_lineage(auto_orders(train, keys, limits=limits, period=period))
-    coefficients, fitted = fit(
-        with_design(train, holidays, regressors), orders, keys, limits=limits, period=period
-    )
-    step = F.row_number().over(series_window(keys))
-    ahead = with_design(test, holidays, regressors).withColumn("step", step)
-    predicted = forecast(coefficients, fitted, ahead, keys, period)
+    known = with_design(train, holidays, regressors)
+    coefficients, fitted = fit(known, orders, keys, limits=limits, period=period)
+    ahead = with_design(test, holidays, regressors)
+    predicted = forecast(coefficients, fitted, known, ahead, keys, limits, period)
     actual = test.select(*keys, "date", F.col("total_sales").alias("actual"))
     return predicted.join(actual, [*keys, "date"]).select(
         *keys, "model", "date", "actual", F.col("yhat").alias("predicted")
@@ -478,9 +481,8 @@ def train(
     limits = limits or (ARIMA_RUN_GRID if grid_search else ARIMA_DEFAULT_GRID)
     searched = search_orders(series, keys, limits=limits, period=period)
     orders = cut_lineage(best_orders(searched, keys))
-    coefficients, fitted = fit(
-        with_design(series, holidays, regressors), orders, keys, limits=limits, period=period
-    )
+    known = with_design(series, holidays, regressors)
+    coefficients, fitted = fit(known, orders, keys, limits=limits, period=period)
     ahead = with_design(future_dates(series, horizon, keys), holidays, regressors)
     return {
         "orders": orders,
@@ -488,7 +490,7 @@ def train(
         "residuals": fitted.select(*keys, "date", "residual"),
         "ljung_box": ljung_box(fitted, keys=keys),
         "shapiro": shapiro_wilk(fitted, keys=keys),
-        "forecast": forecast(coefficients, fitted, ahead, keys, period),
+        "forecast": forecast(coefficients, fitted, known, ahead, keys, limits, period),
     }
 
 
