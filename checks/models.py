@@ -11,24 +11,31 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from checks.base import (
-    EVENTS,
-    HOLIDAYS,
-    oracle,
-    panel_series,
-    register,
-    total_series,
-)
-from checks.policy import exogenous_table
+from checks import base, policy
+from checks.base import EVENTS, HOLIDAYS, oracle, register
 from demandspark.operators import gram, sarimax, sequence, structural
 from demandspark.schema import PRODUCTS_SCHEMA, SALES_SCHEMA, SERIES_KEYS
-from demandspark.session import shared_folder
+from demandspark.session import cut_lineage, shared_folder
 from demandspark.sources import csv, retail, stages
 from demandspark.streaming import refresh
 
 K = SERIES_KEYS
 
 
+# Models read their inputs several times, so these are written once, as the
+# stage tables of the weekly job are.
+def panel_series(spark, sf):
+    return cut_lineage(base.panel_series(spark, sf))
+
+
+def total_series(spark, sf):
+    return cut_lineage(base.total_series(spark, sf))
+
+
+def exogenous_table(spark, sf):
+    return cut_lineage(policy.exogenous_table(spark, sf))
+
+
 def scratch(spark) -> str:
     return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
@@ -54,7 +61,7 @@ def _(spark, sf):
 
 def _fitted(spark, sf):
     series = panel_series(spark, sf)
-    orders = sarimax.cut_lineage(sarimax.best_orders(sarimax.search_orders(series, K), K))
+    orders = cut_lineage(sarimax.best_orders(sarimax.search_orders(series, K), K))
     return sarimax.fit(sarimax.with_design(series, HOLIDAYS), orders, K)
 
 
