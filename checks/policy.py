@@ -460,7 +460,9 @@ def _shapiro_sql() -> str:
         SELECT *, row_number() OVER (PARTITION BY product_id, store_id ORDER BY residual) AS i,
           count(*) OVER (PARTITION BY product_id, store_id) AS n FROM presiduals))
       WINDOW s AS (PARTITION BY product_id, store_id))))
-    GROUP BY product_id, store_id, n HAVING n BETWEEN 12 AND 5000))))"""
+    GROUP BY product_id, store_id, n HAVING n BETWEEN 12 AND 5000))))
+    UNION ALL SELECT product_id, store_id, count(*), NULL, NULL, NULL FROM presiduals
+    GROUP BY product_id, store_id HAVING count(*) NOT BETWEEN 12 AND 5000"""
 
 
 @register("m10_shapiro_wilk", oracle(_shapiro_sql(), extra=PANEL_RESIDUALS, doubles="statistic p_value"))

@@ -83,8 +83,10 @@ def shapiro_wilk(
         F.max(F.when(i == 1, x)).alias("lo1"),
         F.max(F.when(i == 2, x)).alias("lo2"),
     )
+    # outside the sizes the approximation covers everything below is NULL
+    usable = n.between(smallest, largest)
     u = 1.0 / F.sqrt(n.cast("double"))
-    mm, m1, m2 = F.col("mm"), F.col("m1"), F.col("m2")
+    mm, m1, m2 = F.when(usable, F.col("mm")), F.col("m1"), F.col("m2")
     a1 = m1 / F.sqrt(mm) + polynomial(LAST_WEIGHT, u)
     a2 = m2 / F.sqrt(mm) + polynomial(SECOND_WEIGHT, u)
     phi = (mm - 2.0 * m1 * m1 - 2.0 * m2 * m2) / (1.0 - 2.0 * F.col("a1") ** 2 - 2.0 * F.col("a2") ** 2)
@@ -94,10 +96,8 @@ def shapiro_wilk(
     weighted = F.col("a1") * span1 + F.col("a2") * span2 + inner
     size = F.ln(n.cast("double"))
     z = (F.ln(1.0 - F.col("statistic")) - polynomial(LOG_MEAN, size)) / F.exp(polynomial(LOG_SD, size))
-    usable = n.between(smallest, largest)
     fit = (
-        sums.filter(n >= 4)
-        .withColumns({"a1": a1, "a2": a2})
+        sums.withColumns({"a1": a1, "a2": a2})
         .withColumn("phi", phi)
         .withColumn("statistic", F.when(usable, F.try_divide(weighted * weighted, F.col("ss"))))
         .withColumn("p_value", F.when(usable, 1.0 - normal_cdf(z)))
