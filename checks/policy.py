@@ -13,10 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.base import (
-    CTE,
     EVENTS,
     HOLIDAYS,
-    cleaned_sales,
     oracle,
     panel_series,
     register,

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import (
-    CTE,
     DIRTY,
     EVENTS,
     HOLIDAYS,
