@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,32 @@ def build_session(app: str = "demandspark", master: str | None = None, **conf) -
         builder = builder.master(master)
     for key, value in {**RECOMMENDED_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Sends this library to the executors, once a context, so that Python steps load there.
+
+    Needed where only the driver's path names it; executors that have it installed are
+    not harmed.
+    """
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = "demandspark-package.zip"
+    if name not in context._python_includes:
+        path = os.path.join(context._temp_dir, name)
+        with zipfile.ZipFile(path, "w") as out:
+            for package in ("demandspark", "checks"):
+                for folder, _, files in os.walk(os.path.join(root, package)):
+                    for file in files:
+                        if file.endswith(".py"):
+                            full = os.path.join(folder, file)
+                            out.write(full, os.path.relpath(full, root))
+            for file in os.listdir(root):
+                if file.endswith("_pipeline.py"):
+                    out.write(os.path.join(root, file), file)
+        context.addPyFile(path)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
