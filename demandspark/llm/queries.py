@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandspark.llm import decontam, langid, line_dedup, mixing, near_dup
+from demandspark.llm import decontam, langid, line_dedup, mixing, near_dup, quality, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,21 @@ def op10(spark, sf_dir):
     model = langid.learn(docs.filter(~held_out))
     found = langid.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register("op5_token_counts")
+def op5(spark, sf_dir):
+    import public_tokenizers
+
+    counted = token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@register("op6_quality")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(~held_out)
+    model = quality.learn(docs.join(labels, "doc_id"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
