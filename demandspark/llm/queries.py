@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from demandspark.llm import decontam, langid, line_dedup, mixing, near_dup, quality, token_count
+from demandspark.llm import chat, decontam, html_text, langid, line_dedup, mixing, near_dup, quality, token_count, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +160,87 @@ def op6(spark, sf_dir):
     model = quality.learn(docs.join(labels, "doc_id"))
     scored = quality.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+OP3_SQL = """
+WITH whole AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+  GROUP BY vec_id
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM scored
+) WHERE rn <= 5
+"""
+
+
+@register("op3_top_k", OP3_SQL)
+def op3(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@register("op4_main_text")
+def op4(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, replace(coalesce(role, 'user'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+         max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last,
+         first_value(replace(coalesce(text, ''), '<|', '< |')) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS opening
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+sides AS (
+  SELECT conv_id, side, role, CASE WHEN side = 'r' AND turn = last AND role = 'assistant' THEN opening ELSE text END AS text, turn
+  FROM turns, (VALUES ('c'), ('r')) AS s(side) WHERE turn <= last
+),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, role, text) AS i,
+         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line,
+         length(role) + 5 AS head, length(role) + length(text) + 13 AS size
+  FROM sides
+),
+cut AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id,
+         coalesce(min(CASE WHEN c.role = r.role AND c.text = r.text THEN NULL ELSE coalesce(c.i, r.i) END) - 1, max(c.i)) AS n
+  FROM (SELECT * FROM numbered WHERE side = 'c') c FULL JOIN (SELECT * FROM numbered WHERE side = 'r') r
+       ON c.conv_id = r.conv_id AND c.i = r.i
+  GROUP BY 1
+),
+placed AS (
+  SELECT m.*, k.n, i > k.n AS rest,
+         sum(CASE WHEN i > k.n THEN size ELSE 0 END) OVER (PARTITION BY m.conv_id, side ORDER BY i) - size AS pos
+  FROM numbered m JOIN cut k ON m.conv_id = k.conv_id
+)
+SELECT conv_id AS pair_id, CAST(any_value(n) AS BIGINT) AS n_prompt_turns,
+       coalesce(string_agg(line, '' ORDER BY i) FILTER (WHERE side = 'c' AND NOT rest), '') AS prompt,
+       coalesce(string_agg(line, '' ORDER BY i) FILTER (WHERE side = 'c' AND rest), '') AS chosen,
+       coalesce(string_agg(CAST(CAST(pos + head AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + size AS BIGINT) AS VARCHAR), ',' ORDER BY i)
+                FILTER (WHERE side = 'c' AND rest AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg(line, '' ORDER BY i) FILTER (WHERE side = 'r' AND rest), '') AS rejected,
+       coalesce(string_agg(CAST(CAST(pos + head AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + size AS BIGINT) AS VARCHAR), ',' ORDER BY i)
+                FILTER (WHERE side = 'r' AND rest AND role = 'assistant'), '') AS rejected_spans,
+       count(*) FILTER (WHERE side = 'c' AND rest) > 0 AND count(*) FILTER (WHERE side = 'r' AND rest) > 0 AS usable
+FROM placed GROUP BY conv_id
+"""
+
+
+@register("op7_preference_pairs", OP7_SQL)
+def op7(spark, sf_dir):
+    """Each conversation up to its last reply, against the same with an echo of its first turn as that reply."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").filter("conv_id IS NOT NULL")
+    of = Window.partitionBy("conv_id")
+    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(of)
+    opening = F.min(F.struct(F.col("turn"), F.col("role"), F.col("text"))).over(of)["text"]
+    turns = turns.withColumn("last", last).withColumn("opening", opening).filter("turn <= last")
+    echo = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.col("opening")).otherwise(F.col("text"))
+    pairs = chat.format_preferences(turns, turns.withColumn("text", echo))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["a"].cast("string"), F.lit("-"), s["b"].cast("string"))), ",").alias(c)
+    return pairs.select("pair_id", "n_prompt_turns", "prompt", "chosen", spans("chosen_spans"), "rejected", spans("rejected_spans"), "usable")
