@@ -57,7 +57,7 @@ def with_targets(sources: DataFrame, share: float = 1.0, weights=WEIGHTS, cap: i
 
 
 def fill(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come nearest below ``budget``.
+    """How many documents of each length to take so that their words come near ``budget``.
 
     sizes: distinct lengths over 0. Bounded knapsack by binary splitting on a bit set of
     reachable sums; larger budgets are first brought down by equal parts and long lengths.
@@ -90,6 +90,10 @@ def fill(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         if not before >> at & 1:
             taken[i] += n
             at -= n * int(units[i])
+    # one document more, if that comes nearer than staying below
+    left, free = budget - int((sizes * taken).sum()), np.flatnonzero(taken < counts)
+    if left > 0 and len(free) and sizes[free].min() < 2 * left:
+        taken[free[np.argmin(sizes[free])]] += 1
     return taken
 
 

@@ -175,6 +175,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Da
 def _forest(cell: pd.DataFrame) -> pd.DataFrame:
     """Links between the outliers and the members of one cell that join different components."""
     left, right = cell[cell["outlier"]], cell[~cell["outlier"]]
+    if left.empty or right.empty:
+        return pd.DataFrame({"a": [], "b": []}, dtype=object)
     parent = {c: c for c in cell["component"]}
 
     def root(x):
