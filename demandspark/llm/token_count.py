@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from demandspark.llm.shared import stage
 
-HOT = 1 << 18
-_CACHE = 300_000
+HOT = 1 << 17
+_CACHE = 100_000
 _SPACE = r"\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 # white space to some regular expression engines only: such texts are not cut into units
@@ -111,8 +111,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     def pieces(batches):
         library = PreTokens(tokenizer).tokenizer
         for batch in batches:
-            got = library.encode_batch(batch.column("token").to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(e.ids) for e in got], pa.int32())], names=["token", "n", "pieces"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                got = library.encode_batch(part.column("token").to_pylist(), add_special_tokens=False)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(e.ids) for e in got], pa.int32())], names=["token", "n", "pieces"])
 
     seen = rows.select("text").mapInArrow(frequencies, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counted = stage(seen.mapInArrow(pieces, "token string, n long, pieces int"), "token-pieces")
