@@ -58,6 +58,8 @@ from demandspark.schema import (
 
 LONG_AR = 2 * SEASONAL_PERIOD
 Z95 = 1.96
+# relative ridge where a series has no more rows than its order has columns
+SHORT_RIDGE = 0.1
 ORDERS = list(ORDER_COLUMNS.values())
 MODEL = "arima"
 
@@ -309,9 +311,14 @@ def fit(
         outside += range(head, width)
         basis = np.column_stack([np.eye(width)[:, outside], *terms])
         now = np.eye(width)[span + 1]
+        # with no more rows than columns the regressors give way, then the ridge decides
+        while len(outside) > 1 and n <= basis.shape[1] + 1:
+            outside = outside[:1] if outside[0] == 0 else []
+            basis = np.column_stack([np.eye(width)[:, outside], *terms])
         arma = np.zeros(len(terms))
-        if n > basis.shape[1] + 1 and terms:
-            arma = least_squares(basis.T @ g @ basis, basis.T @ g @ now)[len(outside):]
+        if terms:
+            ridge = None if n > basis.shape[1] + 1 else np.diag(basis.T @ g @ basis) * SHORT_RIDGE
+            arma = least_squares(basis.T @ g @ basis, basis.T @ g @ now, ridge)[len(outside):]
         dense = {"ar": np.zeros(max([1, *ar])), "ma": np.zeros(max([1, *ma]))}
         parts = (("ar", own_ar, arma[: len(own_ar)], 1.0), ("ma", own_ma, arma[len(own_ar):], -1.0))
         for name, lags, part, sign in parts:
@@ -323,7 +330,7 @@ def fit(
         noise = now - sum((c * t for c, t in zip(kept, terms)), np.zeros(width))
         # constant and regressors given the ARMA part (the same numbers unless it was shrunk)
         weights = np.zeros(width)
-        if outside and n > len(outside):
+        if outside:
             weights[outside] = least_squares(g[np.ix_(outside, outside)], g[outside] @ noise)
         noise = noise - weights
         beta = np.concatenate([weights[:1], weights[head:]])

@@ -60,7 +60,8 @@ def training_windows(
 ) -> DataFrame:
     """(keys, date, sequence, label, split) in standardised units.
 
-    Series without variation cannot be standardised and give no window.
+    Series without variation cannot be standardised and teach nothing; their forecast is
+    their value.
     """
     scaled = standardise(series, value, keys).filter("normalised IS NOT NULL")
     return chronological_split(sequence_windows(scaled, "normalised", length, keys), fraction, keys)
@@ -133,12 +134,11 @@ def forecast(
         points.alias("_p"), F.max("date").alias("_last")
     )
     mean, sd = F.col("mean"), F.col("sd")
-    state = F.transform(F.col("_p.v"), lambda v: (v - mean) / sd)
-    start = (
-        attach(tail, model.scaling, keys)
-        .filter((F.size("_p") == model.length) & (sd > 0))
-        .withColumn("state", state)
-    )
+    # a constant series stays at its mean; a short one is filled up in front with its mean
+    unit = F.when(sd > 0, sd).otherwise(F.lit(1.0))
+    known = F.transform(F.col("_p.v"), lambda v: (v - mean) / unit)
+    missing = F.array_repeat(F.lit(0.0), F.lit(model.length) - F.size("_p"))
+    start = attach(tail, model.scaling, keys).withColumn("state", F.concat(missing, known))
     if model.kind == "linear":
         path = start.withColumn("_path", _linear_path(model, horizon))
     else:
@@ -156,7 +156,7 @@ def forecast(
         F.lit(MODEL).alias("model"),
         (F.col("_i") + 1).alias("step"),
         F.expr("date_add(_last, _i + 1)").alias("date"),
-        denormalise(F.col("_z"), mean, sd).alias("yhat"),
+        F.when(sd > 0, denormalise(F.col("_z"), mean, sd)).otherwise(mean).alias("yhat"),
     )
     return with_band(raw, "yhat", band_pct)
 

@@ -52,6 +52,9 @@ WEEKLY = (7, 3)
 MONTHLY = (30.5, 5)
 Z80 = 1.2816
 BASE_SCALE = 5.0
+UNSEEN = 1e8
+# tried noise variances as parts of the mean square
+NOISE_STEPS = 10.0 ** np.linspace(-8.0, 0.0, 81)
 MODEL = "prophet"
 
 KNOTS = [CHANGEPOINT_RANGE * j / CHANGEPOINTS for j in range(1, CHANGEPOINTS + 1)]
@@ -97,19 +100,28 @@ def _with_trend(df: DataFrame) -> DataFrame:
     return df.withColumn("_t", t).withColumn("x", F.concat(trend, "effects")).drop("_t", "effects")
 
 
-def _penalties(n_effects: int, parameters: Mapping[str, float]) -> np.ndarray:
-    """1/variance per column; multiply by the noise variance for the ridge."""
+def _penalties(n_effects: int, parameters: Mapping[str, float], days: int) -> np.ndarray:
+    """1/variance per column; multiply by the noise variance for the ridge.
+
+    A season of which no whole period lies in the ``days`` of history is left out:
+    it could not be told from the trend.
+    """
     seasonal = N_WEEKLY + N_MONTHLY
+    unseen = [UNSEEN if days < p else 1.0 for p, order in (WEEKLY, MONTHLY) for _ in range(2 * order)]
     return np.concatenate(
         [
             np.full(2, BASE_SCALE**-2),
             np.full(CHANGEPOINTS, 0.5 * parameters["changepoint_prior_scale"] ** -2),
-            np.full(seasonal, parameters["seasonality_prior_scale"] ** -2),
+            np.array(unseen) * parameters["seasonality_prior_scale"] ** -2,
             np.full(n_effects - seasonal, parameters["holidays_prior_scale"] ** -2),
         ]
     )
 
 
+def _days(key: Mapping) -> int:
+    return (key["last"] - key["first"]).days + 1
+
+
 def _standardising(g: np.ndarray, n: int) -> np.ndarray:
     """Column transform that centres and scales the regressors, read off the Gram itself."""
     move = np.eye(len(g))
@@ -123,10 +135,20 @@ def _standardising(g: np.ndarray, n: int) -> np.ndarray:
     return move
 
 
-def _noise(g: np.ndarray, xty: np.ndarray, yty: float, n: int) -> float:
-    """Residual variance of a barely penalised fit."""
-    coef = least_squares(g, xty, np.full(len(xty), 1e-8 * n))
-    return max(residual_sum(coef, g, xty, yty) / max(n - len(xty), 1), 1e-8)
+def _noise(g: np.ndarray, xty: np.ndarray, yty: float, n: int, penalty: np.ndarray) -> float:
+    """The noise variance under which the data are likeliest, given the priors.
+
+    Coefficients are integrated out, so a series with no more rows than columns keeps its
+    noise and the priors keep acting; a fit that interpolates is not taken for a good one.
+    """
+    root = 1.0 / np.sqrt(penalty)
+    size, axes = np.linalg.eigh(root[:, None] * g * root)
+    size, seen = np.maximum(size, 0.0), (axes.T @ (root * xty)) ** 2
+    noise = np.maximum(yty / n, 1e-12) * NOISE_STEPS
+    total = size[None] + noise[:, None]
+    rest = np.maximum(yty - (seen[None] / total).sum(1), 0.0)
+    cost = np.log(total / noise[:, None]).sum(1) + n * np.log(noise) + rest / noise
+    return max(float(noise[np.argmin(cost)]), 1e-8)
 
 
 def fit(
@@ -150,7 +172,8 @@ def fit(
             "last": F.max("date").over(w),
             "y_scale": F.max(F.abs("_value")).over(w),
         }
-    ).withColumn("y", F.try_divide(F.col("_value"), F.col("y_scale"))).filter("y IS NOT NULL")
+    ).withColumn("y_scale", F.when(F.col("y_scale") > 0, F.col("y_scale")).otherwise(F.lit(1.0)))
+    rows = rows.withColumn("y", F.col("_value") / F.col("y_scale")).filter("y IS NOT NULL")
     rows = _with_trend(rows).drop("_value")
     if isinstance(parameters, DataFrame):
         rows = attach(rows, parameters.select(*names, *PARAMETERS), keys)
@@ -164,7 +187,8 @@ def fit(
         g, xty = move.T @ g @ move, move.T @ xty
         size = N_TREND if key["seasonality_mode"] == "multiplicative" else len(g)
         own, target = g[:size, :size], xty[:size]
-        ridge = _noise(own, target, yty, n) * _penalties(len(g) - N_TREND, key)[:size]
+        penalty = _penalties(len(g) - N_TREND, key, _days(key))[:size]
+        ridge = _noise(own, target, yty, n, penalty) * penalty
         coef = np.zeros(len(g))
         coef[:size] = least_squares(own, target, ridge)
         sigma = np.sqrt(residual_sum(coef[:size], own, target, yty) / n)
@@ -187,9 +211,9 @@ def fit(
         move = _standardising(g, n)
         g, xty = move.T @ g @ move, move.T @ xty
         own, target = g[N_TREND:, N_TREND:], xty[N_TREND:]
-        penalty = _penalties(len(own), key)[N_TREND:]
+        penalty = _penalties(len(own), key, _days(key))[N_TREND:]
         coef = np.zeros(len(g))
-        coef[N_TREND:] = least_squares(own, target, _noise(own, target, yty, n) * penalty)
+        coef[N_TREND:] = least_squares(own, target, _noise(own, target, yty, n, penalty) * penalty)
         sigma = np.sqrt(residual_sum(coef[N_TREND:], own, target, yty) / n)
         return [(move @ coef, float(sigma))]
 
@@ -198,8 +222,7 @@ def fit(
     ratios = (
         attach(rows.filter(multiplicative), first.select(*names, "trend"), keys)
         .withColumn("_level", level)
-        .withColumn("y", F.when(F.abs("_level") > 1e-6, F.col("y") / F.col("_level") - 1.0))
-        .filter("y IS NOT NULL")
+        .withColumn("y", F.col("y") / F.when(F.abs("_level") > 1e-6, F.col("_level")).otherwise(F.lit(1e-6)) - 1.0)
     )
     second = solve_per_series(gram_partials(ratios, keyed), keyed, ratio, fields[1:])
     if not isinstance(parameters, DataFrame):
@@ -270,9 +293,10 @@ def _ridge_path(g: np.ndarray, xty: np.ndarray, ridges: np.ndarray) -> np.ndarra
     return np.linalg.solve(systems, np.broadcast_to(xty[:, None], (len(ridges), len(xty), 1)))[..., 0]
 
 
-def _fold_noise(g: np.ndarray, xty: np.ndarray, yty: float, n: int) -> float:
-    coef = _ridge_path(g, xty, np.full((1, len(xty)), 1e-8 * n))[0]
-    return max(residual_sum(coef, g, xty, yty) / max(n - len(xty), 1), 1e-8)
+def _noise_path(g: np.ndarray, xty: np.ndarray, yty: float, n: int, penalties: np.ndarray) -> np.ndarray:
+    """``_noise`` of each penalty vector; candidates that share one share the work."""
+    distinct, which = np.unique(penalties, axis=0, return_inverse=True)
+    return np.array([_noise(g, xty, yty, n, p) for p in distinct])[which.ravel()][:, None]
 
 
 def _fold_forecasts(
@@ -291,26 +315,28 @@ def _fold_forecasts(
     seen, target = x[known], y[known] / scale
     g, xty, yty = seen.T @ seen, seen.T @ target, float(target @ target)
     out = np.empty((len(grid), len(test)))
-    weights = np.array([_penalties(effects.shape[1], c) for c in grid])
+    history = int(day[known][-1] - day[0]) + 1
+    weights = np.array([_penalties(effects.shape[1], c, history) for c in grid])
     additive = [i for i, c in enumerate(grid) if c["seasonality_mode"] == "additive"]
     if additive:
-        coef = _ridge_path(g, xty, _fold_noise(g, xty, yty, n) * weights[additive] + 1e-9)
+        noise = _noise_path(g, xty, yty, n, weights[additive])
+        coef = _ridge_path(g, xty, noise * weights[additive] + 1e-9)
         out[additive] = coef @ x[test].T
     # candidates that share the changepoint scale share the trend
     scales = {c["changepoint_prior_scale"] for c in grid if c["seasonality_mode"] == "multiplicative"}
     block, rest = slice(0, N_TREND), slice(N_TREND, None)
-    if scales:
-        trend_noise = _fold_noise(g[block, block], xty[block], yty, n)
     for prior in sorted(scales):
         own = [i for i, c in enumerate(grid) if c["seasonality_mode"] == "multiplicative"
                and c["changepoint_prior_scale"] == prior]
-        ridge = trend_noise * weights[own[:1], block] + 1e-9
+        first = weights[own[:1], block]
+        ridge = _noise_path(g[block, block], xty[block], yty, n, first) * first + 1e-9
         slope = _ridge_path(g[block, block], xty[block], ridge)[0]
         level = x[:, block] @ slope
         level = np.where(np.abs(level) > 1e-6, level, 1e-6)
         ratio = target / level[known] - 1.0
         gr, rty = g[rest, rest], seen[:, rest].T @ ratio
-        ridge = _fold_noise(gr, rty, float(ratio @ ratio), n) * weights[own][:, rest] + 1e-9
+        penalty = weights[own][:, rest]
+        ridge = _noise_path(gr, rty, float(ratio @ ratio), n, penalty) * penalty + 1e-9
         out[own] = level[test] * (1.0 + _ridge_path(gr, rty, ridge) @ x[test][:, rest].T)
     return test, out * scale
 

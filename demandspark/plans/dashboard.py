@@ -204,4 +204,3 @@ def residuals_of(
 
 residual_histogram = histogram
 residual_qq = qq_points
-forecast_lines = model_lines

@@ -15,7 +15,6 @@ from demandspark.functions.calendar import Holidays
 from demandspark.operators import sarimax, sequence, structural
 from demandspark.operators.aggregates import daily_total
 from demandspark.operators.cleaning import clean_all, quality_report
-from demandspark.operators.regressors import demo_exogenous
 from demandspark.plans.features import engineer_features
 from demandspark.plans.planning import plan_inventory
 from demandspark.plans.report import build_report_tables
@@ -31,7 +30,7 @@ from demandspark.sources.stages import read_stage, write_stage
 
 def forecast_models(
     daily: DataFrame,
-    exogenous: DataFrame,
+    exogenous: DataFrame | None,
     keys: Sequence[str] = TOTAL,
     horizon: int = HORIZON,
     holidays: Holidays = MODEL_HOLIDAYS,
@@ -76,14 +75,11 @@ def run_weekly(
     write_stage(daily_total(cleaned["sales"], keys), base, "series")
     write_stage(daily_total(cleaned["sales"]), base, "daily")
     series = read_stage(spark, base, "series")
-    if exogenous is None:
-        days = read_stage(spark, base, "daily").select("date")
-        ahead = days.agg(F.max("date").alias("_last")).select(
-            F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon))).alias("date"))
-        exogenous = demo_exogenous(days.unionByName(ahead))
-    write_stage(exogenous, base, "exogenous")
-    models = forecast_models(
-        series, read_stage(spark, base, "exogenous"), keys, horizon, **model_options)
+    # without a table of regressors the structural model is fitted without them
+    if exogenous is not None:
+        write_stage(exogenous, base, "exogenous")
+        exogenous = read_stage(spark, base, "exogenous")
+    models = forecast_models(series, exogenous, keys, horizon, **model_options)
     for name, df in models.items():
         write_stage(df, base, name)
     plan = plan_inventory(

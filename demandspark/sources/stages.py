@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STAGE_TABLES = ("sales", "products", "stores", "features", "daily", "forecasts",
-                "metrics", "ensemble", "recommendations")
+FACTS = {"sales": "date", "features": "date"}
 
 
 def stage_path(base: str, table: str) -> str:
@@ -28,8 +28,22 @@ def write_stage(df: DataFrame, base: str, table: str, month_of: str | None = Non
         df.write.mode("overwrite").parquet(stage_path(base, table))
 
 
-def read_stage(spark: SparkSession, base: str, table: str) -> DataFrame:
+def read_stage(
+    spark: SparkSession, base: str, table: str,
+    first: date | None = None, last: date | None = None, month_of: str = "date",
+) -> DataFrame:
+    """One stage table; of a fact, with ``first`` or ``last``, only those dates and their months.
+
+    The bounds become filters on the partition column too, so other months are not listed.
+    """
     df = spark.read.parquet(stage_path(base, table))
+    for bound, least in ((first, True), (last, False)):
+        if bound is None:
+            continue
+        day, month = F.col(month_of), bound.strftime("%Y-%m")
+        df = df.filter(day >= bound if least else day <= bound)
+        if "year_month" in df.columns:
+            df = df.filter(F.col("year_month") >= month if least else F.col("year_month") <= month)
     return df.drop("year_month") if "year_month" in df.columns else df
 
 
@@ -57,5 +71,5 @@ def load_all(
             missing = [t for t in tables if not stage_exists(spark, base, t)]
             raise FileNotFoundError(f"stage tables missing under {base}: {missing}")
         for name, df in build().items():
-            write_stage(df, base, name)
+            write_stage(df, base, name, FACTS.get(name))
     return {t: read_stage(spark, base, t) for t in tables}

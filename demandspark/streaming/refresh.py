@@ -19,7 +19,9 @@ def refresh_months(arrived: DataFrame, source: DataFrame, target: str) -> None:
     """
     month = F.date_format("date", "yyyy-MM")
     touched = arrived.select(month.alias("year_month")).distinct()
-    affected = source.withColumn("year_month", month).join(touched, "year_month", "left_semi")
+    # a source partitioned by year_month is joined on that column and only these months are read
+    keyed = source if "year_month" in source.columns else source.withColumn("year_month", month)
+    affected = keyed.join(touched, "year_month", "left_semi")
     totals = daily_total(affected).withColumn("year_month", month)
     totals.hint("rebalance", "year_month").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
@@ -44,7 +46,8 @@ def start_refresh(
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def refresh(batch: DataFrame, _batch_id: int) -> None:
-        whole = batch.sparkSession.read.schema(schema).parquet(source)
+        # discovered partition columns come on top of the file's schema
+        whole = batch.sparkSession.read.parquet(source)
         refresh_months(batch, whole, target)
 
     return (

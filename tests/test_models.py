@@ -214,7 +214,8 @@ def test_linear_sequence_forecast_equals_a_plain_loop(spark):
     df = frame(spark, {"a": weekly(90), "b": arma(80, 0.7), "flat": [5.0] * 40, "short": [1.0, 2.0]})
     model = sequence.train(df, K)
     got = sequence.forecast(model, df, 5)
-    assert {r.k for r in got.select("k").distinct().collect()} == {"a", "b"}
+    assert {r.k for r in got.select("k").distinct().collect()} == {"a", "b", "flat", "short"}
+    assert {r.yhat for r in got.filter("k = 'flat'").collect()} == {5.0}
     for k, ys in (("a", weekly(90)), ("b", arma(80, 0.7))):
         mean, sd = np.mean(ys), np.std(ys, ddof=1)
         state = list((np.array(ys[-7:]) - mean) / sd)
@@ -253,3 +254,42 @@ def test_refresh_equals_batch_with_late_rows_and_reruns(spark, tmp_path):
     whole = spark.read.parquet(source)
     refresh.refresh_months(whole.limit(5), whole, target)  # repeating a batch changes nothing
     assert {r.date: r.total_sales for r in refresh.read_daily(spark, target).collect()} == got
+
+
+def test_rolling_validation_of_short_histories(spark):
+    """With no more rows than columns the priors keep acting."""
+    rng = np.random.default_rng(11)
+    days = pd.date_range("1999-01-01", periods=140).date
+    wave = 170 + 40 * np.sin(2 * np.pi * np.arange(140) / 7) + rng.normal(0, 3, 140)
+    series = spark.createDataFrame(pd.DataFrame({"date": days, "total_sales": wave}))
+    rows = structural.with_effects(series)
+    for mode in ("additive", "multiplicative"):
+        parameters = {**structural.STRUCTURAL_DEFAULTS, "seasonality_mode": mode}
+        rolled = structural.rolling_forecasts(rows, parameters).toPandas()
+        error = (rolled["actual"] - rolled["predicted"]) ** 2
+        assert float(np.sqrt(error.groupby(rolled["cutoff"]).mean()).max()) < 20, mode
+
+
+def test_a_constant_and_a_zero_series_forecast_their_value(spark):
+    days = pd.date_range("1999-01-01", periods=60).date
+    rng = np.random.default_rng(3)
+    parts = [("zero", np.zeros(60)), ("five", np.full(60, 5.0)), ("wave", 50 + 10 * np.sin(np.arange(60)) + rng.normal(0, 1, 60))]
+    frame = pd.concat([pd.DataFrame({"product_id": k, "date": days, "total_sales": v}) for k, v in parts])
+    series, keys = spark.createDataFrame(frame), ("product_id",)
+    model = sequence.train(series, keys)
+    got = sequence.forecast(model, series).toPandas().groupby("product_id")["yhat"].mean()
+    assert abs(got["zero"]) < 1e-9 and abs(got["five"] - 5) < 1e-9 and len(got) == 3
+    rows = structural.with_effects(series)
+    fitted = structural.fit(rows, keys=keys)
+    ahead = structural.with_effects(structural.future_dates(series, 7, keys).drop("step"))
+    got = structural.predict(fitted, ahead, keys).toPandas().groupby("product_id")["yhat"].mean()
+    assert abs(got["zero"]) < 1e-3 and abs(got["five"] - 5) < 0.05 and len(got) == 3
+
+
+def test_arima_of_31_days_is_no_zero_vector(spark):
+    days = pd.date_range("1999-01-01", periods=31).date
+    wave = 60 + 10 * np.sin(2 * np.pi * np.arange(31) / 7)
+    series = spark.createDataFrame(pd.DataFrame({"date": days, "total_sales": wave}))
+    out = sarimax.train(series)
+    yhat = out["forecast"].toPandas()["yhat"].to_numpy()
+    assert len(yhat) == 7 and (yhat > 20).all() and (yhat < 120).all()
