@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.shared import stage
+from demandspark.llm.shared import in_batches, stage
 
 WINDOW = 10
 CHUNK_WORDS = 1_000_000
@@ -132,7 +132,7 @@ def _scanned(rows: DataFrame, text: str, windows: Windows) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *_TYPES])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, {_SCHEMA}")
+    return in_batches(rows).mapInArrow(run, f"{fields}, {_SCHEMA}")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text") -> DataFrame:
@@ -186,7 +186,7 @@ def _kept(docs: DataFrame, text: str, windows: Windows, max_share: float) -> Dat
                 clean.append(hit <= max_share * len(words))
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)
 
 
 def remove_spans(text: str | None, spans) -> str | None:

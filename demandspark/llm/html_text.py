@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandspark.llm.shared import in_batches
+
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -260,4 +262,4 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
             )
 
     kind = lambda c: rows.schema[c].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {kind('page_id')}, url {kind('url')}, text string, n_chars long")
+    return in_batches(rows).mapInArrow(run, f"page_id {kind('page_id')}, url {kind('url')}, text string, n_chars long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.shared import stage
+from demandspark.llm.shared import in_batches, stage
 
 GRAM = 4
 HASHES = 3
@@ -125,7 +125,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
                     [pa.array(values.view(np.int64)), pa.array(np.full(len(values), number[name], np.int32)), pa.array(n)], names=["gram", "language", "n"]
                 )
 
-    counted = chosen.mapInArrow(count, "gram long, language int, n long").groupBy("gram", "language").agg(F.sum("n").alias("n"))
+    counted = in_batches(chosen).mapInArrow(count, "gram long, language int, n long").groupBy("gram", "language").agg(F.sum("n").alias("n"))
     counted = stage(counted, "language-grams")
     total = counted.groupBy("language").agg(F.sum("n").alias("total"))
     rate = counted.join(F.broadcast(total), "language").withColumn("rate", F.col("n") * 1e6 / F.col("total"))
@@ -166,4 +166,4 @@ def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", languag
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}{', ' if fields else ''}`{language}` string, `{score}` double")
+    return in_batches(docs).mapInArrow(run, f"{fields}{', ' if fields else ''}`{language}` string, `{score}` double")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.shared import components, lower_words, stage
+from demandspark.llm.shared import components, in_batches, lower_words, stage
 
 WORDS = 5
 K = 64
@@ -45,7 +45,7 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 class WordHashes(dict):
     """64-bit hash by word; forgets everything once it holds ``limit`` words."""
 
-    limit = 500_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -102,7 +102,7 @@ def _sketch_batches(batches):
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, node, sketch): node is a digest of the shingle set, null if empty."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, node binary, sketch array<long>")
+    return in_batches(rows).mapInArrow(_sketch_batches, "doc_id long, n_shingles long, node binary, sketch array<long>")
 
 
 def _inverted(classes: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Da
                 )
 
     rows = docs.select(slot(doc_id).alias("slot"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    found = rows.mapInArrow(run, "node binary, shingles array<long>")
+    found = in_batches(rows).mapInArrow(run, "node binary, shingles array<long>")
     return found.join(wanted.select("node"), "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandspark.llm.shared import in_batches
+
 SAMPLE_DOCS = 6000
 # documents of more lines are not drawn for training; they are scored like all others
 SAMPLE_LINES = 400
@@ -178,7 +180,7 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "label", doc_id:
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()), pa.array([y], pa.int32())], names=["x", "label"])
 
     width = 3 * N_OWN + 2
-    got = chosen.mapInArrow(features, "x binary, label int").collect()
+    got = in_batches(chosen).mapInArrow(features, "x binary, label int").collect()
     documents = sorted((bytes(r["x"]), r["label"]) for r in got)  # reruns add in one order
     return fit([(np.frombuffer(x, np.float32).reshape(-1, width).astype(float), y) for x, y in documents])
 
@@ -193,4 +195,4 @@ def score(docs: DataFrame, model: ChainModel, doc_id: str = "doc_id", text: str
             got = [shared.value.score(v.as_py()) for v in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return in_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")

@@ -26,6 +26,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 512
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches kept to at most BATCH_ROWS rows.
+
+    The default of 10,000 rows is for short rows; whole texts would fill a Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Runs of characters other than ASCII white space, A-Z lower-cased, as UTF-8."""
     return text.encode("utf-8", "replace").translate(LOWER_ASCII).split() if text else []

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.shared import stage
+from demandspark.llm.shared import in_batches, stage
 
 HOT = 1 << 17
 _CACHE = 100_000
@@ -117,7 +117,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(e.ids) for e in got], pa.int32())], names=["token", "n", "pieces"])
 
     seen = rows.select("text").mapInArrow(frequencies, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counted = stage(seen.mapInArrow(pieces, "token string, n long, pieces int"), "token-pieces")
+    counted = stage(in_batches(seen).mapInArrow(pieces, "token string, n long, pieces int"), "token-pieces")
 
     # the frequency from which on a pre-token is hot, from a histogram of 16 steps an octave
     step = F.floor(F.log2("n") * 16).cast("int")
@@ -153,7 +153,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "key", "n_bytes", "here", "token", "n"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    parts = rows.mapInArrow(split, f"doc_id {kind}, key long, n_bytes long, here long, token string, n long")
+    parts = in_batches(rows).mapInArrow(split, f"doc_id {kind}, key long, n_bytes long, here long, token string, n long")
     # a row without a token stands for the document and what its hot pre-tokens came to
     joined = parts.join(counted.filter(~is_hot).select("token", "pieces"), "token", "left")
     own = F.col("token").isNull()
