@@ -12,8 +12,10 @@ The units repeat, so the tokenizer's rules run once for each distinct one in a t
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from demandspark.llm.shared import in_batches, stage
 
 HOT = 1 << 17
-_CACHE = 100_000
+_CACHE = 120_000
 _SPACE = r"\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 # white space to some regular expression engines only: such texts are not cut into units
@@ -35,13 +37,20 @@ _LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _WORD = re.compile(f"( ?[{_LETTERS}]+)([.,;:!?]*)")
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    """Loaded once in each Python worker, whatever the number of its tasks; without threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class PreTokens:
     """Units and pre-tokens of texts under a byte-level BPE tokenizer file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = set(added)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
