@@ -1,8 +1,9 @@
 """Forecasting models, file sources and the incremental refresh.
 
 Solvers have no SQL counterpart: their properties are tested on fixtures in
-``tests/``. The least-squares primitive, file round trips and the refresh are
-checked against SQL here.
+``tests/``. Checked against SQL here are the least-squares primitive, what of a
+solver's result SQL can state (series, dates, folds, candidates, scales, counts),
+file round trips and the refresh.
 """
 
 from __future__ import annotations
@@ -13,8 +14,16 @@ from pyspark.sql import functions as F
 
 from checks import base, policy
 from checks.base import EVENTS, HOLIDAYS, oracle, register
+from checks.tables import _FOLDS
 from demandspark.operators import gram, sarimax, sequence, structural
-from demandspark.schema import PRODUCTS_SCHEMA, SALES_SCHEMA, SERIES_KEYS
+from demandspark.operators.grids import ORDER_COLUMNS
+from demandspark.schema import (
+    ARIMA_RUN_GRID,
+    PRODUCTS_SCHEMA,
+    SALES_SCHEMA,
+    SEASONAL_PERIOD,
+    SERIES_KEYS,
+)
 from demandspark.session import cut_lineage, shared_folder
 from demandspark.sources import csv, retail, stages
 from demandspark.streaming import refresh
@@ -40,6 +49,24 @@ def scratch(spark) -> str:
     return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
 
+def spine_sql(model: str) -> str:
+    """One row per series and day of the horizon."""
+    return f"""SELECT product_id, store_id, '{model}' AS model, CAST(last + CAST(i AS INT) AS DATE) AS date
+    FROM (SELECT product_id, store_id, max(date) AS last FROM sales GROUP BY ALL), (SELECT unnest(range(1, 8)) AS i)"""
+
+
+def holdout_sql(model: str) -> str:
+    return f"""SELECT product_id, store_id, '{model}' AS model, count(*) AS n FROM (
+      SELECT *, max(date) OVER (PARTITION BY product_id, store_id) AS last FROM sales)
+    WHERE date >= last - 7 GROUP BY ALL"""
+
+
+def spine(forecasts):
+    """Rows without a number do not count as forecasts."""
+    known = F.col("yhat").isNotNull() & ~F.isnan("yhat")
+    return forecasts.filter(known).select(*K, "model", "date")
+
+
 # --- least squares ----------------------------------------------------------
 
 @register("m4_gram_least_squares", oracle(
@@ -75,6 +102,27 @@ def _(spark, sf):
     return sarimax.search_orders(panel_series(spark, sf), K)
 
 
+def _candidates_sql() -> str:
+    """Admissible orders, and the rows of a series that have the whole lag vector."""
+    top = ARIMA_RUN_GRID
+    tables, number, step = [], [], 1
+    for name, column in ORDER_COLUMNS.items():
+        tables.append(f"(SELECT CAST(unnest(range(0, {top[name] + 1})) AS INT) AS {column})")
+        number.append(f"{column} * {step}")
+        step *= top[name] + 1
+    m = SEASONAL_PERIOD
+    lag = max(top["p"], top["q"], m * top["P"], m * top["Q"])
+    whole = sarimax.LONG_AR + lag + top["d"] + m * top["D"]
+    return f"""SELECT product_id, store_id, CAST({" + ".join(number)} AS INT) AS grid_id, {", ".join(ORDER_COLUMNS.values())}, n_eff
+    FROM (SELECT product_id, store_id, count(*) - {whole} AS n_eff FROM sales GROUP BY ALL), {", ".join(tables)}
+    WHERE n_eff > 0 AND p + q > 0 AND seasonal_p + seasonal_q > 0"""
+
+
+@register("m5_candidates", oracle(_candidates_sql()))
+def _(spark, sf):
+    return sarimax.search_orders(panel_series(spark, sf), K).select(*K, "grid_id", *sarimax.ORDERS, "n_eff")
+
+
 @register("m6_auto_orders")
 def _(spark, sf):
     return sarimax.auto_orders(total_series(spark, sf), period=7)
@@ -85,6 +133,11 @@ def _(spark, sf):
     return sarimax.train(panel_series(spark, sf), K, holidays=HOLIDAYS)["forecast"]
 
 
+@register("m7_forecast_spine", oracle(spine_sql(sarimax.MODEL), dates="date"))
+def _(spark, sf):
+    return spine(sarimax.train(panel_series(spark, sf), K, holidays=HOLIDAYS)["forecast"])
+
+
 @register("m8_residuals")
 def _(spark, sf):
     return _fitted(spark, sf)[1].select(*K, "date", "residual")
@@ -95,11 +148,23 @@ def _(spark, sf):
     return sarimax.cross_validate(panel_series(spark, sf), K, holidays=HOLIDAYS)[0]
 
 
+@register("m11_fold_rows", oracle(
+    """SELECT product_id, store_id, fold, count(*) AS n_test FROM placed
+    WHERE fs > 0 AND test_start > 1 AND rn BETWEEN test_start AND test_end GROUP BY ALL""", extra=_FOLDS))
+def _(spark, sf):
+    return sarimax.cross_validate(panel_series(spark, sf), K, holidays=HOLIDAYS)[0].select(*K, "fold", "n_test")
+
+
 @register("m12_sarimax_holdout")
 def _(spark, sf):
     return sarimax.evaluate_holdout(panel_series(spark, sf), K, holidays=HOLIDAYS)[1]
 
 
+@register("m12_holdout_rows", oracle(holdout_sql(sarimax.MODEL)))
+def _(spark, sf):
+    return sarimax.evaluate_holdout(panel_series(spark, sf), K, holidays=HOLIDAYS)[1].select(*K, "model", "n")
+
+
 @register("m13_sarimax_run")
 def _(spark, sf):
     out = sarimax.run(total_series(spark, sf), holidays=HOLIDAYS)
@@ -119,6 +184,36 @@ def _(spark, sf):
     return structural.fit(rows, keys=K).select(*K, "first", "last", "y_scale", "seasonality_mode", "sigma")
 
 
+@register("m16_structural_scale", oracle(
+    """SELECT product_id, store_id, min(date) AS first, max(date) AS last, max(abs(sales_quantity)) AS y_scale
+    FROM sales GROUP BY ALL""", doubles="y_scale", dates="first last"))
+def _(spark, sf):
+    rows = _effects(spark, sf, panel_series(spark, sf))
+    return structural.fit(rows, keys=K).select(*K, "first", "last", "y_scale")
+
+
+# yhat from its own components: the default model is multiplicative
+@register("m17_forecast_spine", oracle(
+    f"SELECT *, TRUE AS composed FROM ({spine_sql(structural.MODEL)})", dates="date"))
+def _(spark, sf):
+    out = structural.train(panel_series(spark, sf), K, exogenous=exogenous_table(spark, sf),
+                           holidays=HOLIDAYS, events=EVENTS, optimise=False)["forecast"]
+    parts = F.col("weekly") + F.col("monthly") + F.col("holidays") + F.col("regressors")
+    whole = F.col("trend") * (1.0 + parts)
+    composed = F.abs(F.col("yhat") - whole) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(whole))
+    return out.select(*K, "model", "date", composed.alias("composed"))
+
+
+@register("m18_changepoint_dates", oracle(
+    """SELECT product_id, store_id, CAST(j AS INT) AS changepoint,
+      CAST(a + CAST(round(greatest(b - a, 1) * 8 * j / 250.0) AS INT) AS DATE) AS date
+    FROM (SELECT product_id, store_id, min(date) AS a, max(date) AS b FROM sales GROUP BY ALL),
+      (SELECT unnest(range(1, 26)) AS j)""", dates="date"))
+def _(spark, sf):
+    fitted = structural.fit(_effects(spark, sf, panel_series(spark, sf)), keys=K)
+    return structural.changepoints(fitted, K).select(*K, "changepoint", "date")
+
+
 @register("m17_structural_components")
 def _(spark, sf):
     return structural.train(panel_series(spark, sf), K, exogenous=exogenous_table(spark, sf),
@@ -152,6 +247,12 @@ def _(spark, sf):
                                        holidays=HOLIDAYS, events=EVENTS)[1]
 
 
+@register("m22_holdout_rows", oracle(holdout_sql(structural.MODEL)))
+def _(spark, sf):
+    return structural.evaluate_holdout(panel_series(spark, sf), K, exogenous=exogenous_table(spark, sf),
+                                       holidays=HOLIDAYS, events=EVENTS)[1].select(*K, "model", "n")
+
+
 @register("m23_structural_run")
 def _(spark, sf):
     out = structural.run(total_series(spark, sf), exogenous=exogenous_table(spark, sf),
@@ -172,6 +273,12 @@ def _(spark, sf):
     return sequence.forecast(sequence.train(series, K), series)
 
 
+@register("m25_forecast_spine", oracle(spine_sql(sequence.MODEL), dates="date"))
+def _(spark, sf):
+    series = panel_series(spark, sf)
+    return spine(sequence.forecast(sequence.train(series, K), series))
+
+
 @register("m25_tree_forecast")
 def _(spark, sf):
     series = panel_series(spark, sf)
@@ -183,6 +290,11 @@ def _(spark, sf):
     return sequence.evaluate_holdout(panel_series(spark, sf), K)[1]
 
 
+@register("m26_holdout_rows", oracle(holdout_sql(sequence.MODEL)))
+def _(spark, sf):
+    return sequence.evaluate_holdout(panel_series(spark, sf), K)[1].select(*K, "model", "n")
+
+
 @register("m27_sequence_run")
 def _(spark, sf):
     return sequence.run(total_series(spark, sf))["metrics"]

@@ -147,7 +147,7 @@ def decompose(
 
 
 def residual_series(
-    df: DataFrame, keys: Sequence[str] = (), index: str = "date",
+    df: DataFrame, keys: Sequence[str], index: str = "date",
     actual: str = "actual", predicted: str = "predicted",
 ) -> DataFrame:
     """(keys, position, date, residual), position counted from 1 in date order."""
@@ -195,7 +195,7 @@ def histogram(
     )
 
 
-def qq_points(df: DataFrame, value: str = "residual", keys: Sequence[str] = ()) -> DataFrame:
+def qq_points(df: DataFrame, keys: Sequence[str], value: str = "residual") -> DataFrame:
     """(keys, position, theoretical, sample): sorted values against normal quantiles."""
     w = Window.partitionBy(*keys).orderBy(value)
     n = F.count("*").over(Window.partitionBy(*keys))

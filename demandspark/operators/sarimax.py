@@ -450,14 +450,22 @@ def score(
 def cross_validate(
     series: DataFrame, keys: Sequence[str] = TOTAL, k: int = 5, **options
 ) -> tuple[DataFrame, DataFrame]:
-    """(per-fold metrics, their averages per series) over expanding windows."""
+    """(per-fold metrics, their averages per series) over expanding windows.
+
+    Every fold with training rows has a row. One whose training rows are too few for any
+    order has n = 0, NULL metrics and ``fitted`` false; averages are over the others.
+    """
     folds = expanding_folds(series, k, keys)
     train = folds.filter("split = 'train'").drop("split")
     test = folds.filter("split = 'test'").drop("split")
     keyed = [*keys, "fold"]
-    per_fold = evaluate(score(train, test, keyed, **options), keyed)
+    scored = evaluate(score(train, test, keyed, **options), keyed)
+    # a fold may be unfitted: the rows to test say which folds there are
+    spine = test.groupBy(*keyed).agg(F.count("*").alias("n_test"))
+    per_fold = spine.join(scored.withColumn("fitted", F.lit(True)), keyed, "left").withColumns(
+        {c: F.coalesce(c, F.lit(empty)) for c, empty in (("n", 0), ("n_undefined", 0), ("fitted", False))})
     averages = per_fold.groupBy(*keys).agg(
-        F.count("*").alias("folds"),
+        F.count(F.when(F.col("fitted"), 1)).alias("folds"),
         *[F.avg(c).alias(f"avg_{c}") for c in ("rmse", "mae", "mape")],
     )
     return per_fold, averages

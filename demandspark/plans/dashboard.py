@@ -190,7 +190,7 @@ def performance_table(metrics: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def residuals_of(
-    model: str, fitted_residuals: DataFrame, holdout: DataFrame, keys: Sequence[str] = ()
+    model: str, fitted_residuals: DataFrame, holdout: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
     """In-sample residuals, or holdout errors for the two models evaluated that way.
 

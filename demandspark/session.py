@@ -19,6 +19,8 @@ RECOMMENDED_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     # a day's refresh replaces only the partitions it recomputed
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # checkpoint files go once nothing refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

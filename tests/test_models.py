@@ -130,11 +130,23 @@ def test_holdout_uses_training_rows_only(spark):
     assert len(one) == 8 and np.allclose([r.predicted for r in one], [r.predicted for r in two])
 
 
+def test_a_fold_with_too_few_training_rows_keeps_its_row(spark):
+    per_fold, mean = sarimax.cross_validate(frame(spark, {"a": weekly(78)}), K, k=5)
+    rows = {r["fold"]: r for r in per_fold.collect()}
+    # folds of 15 rows; the first trains on 3
+    assert sorted(rows) == [1, 2, 3, 4, 5] and {r["n_test"] for r in rows.values()} == {15}
+    assert not rows[1]["fitted"] and rows[1]["n"] == 0 and rows[1]["rmse"] is None
+    assert rows[5]["fitted"] and rows[5]["n"] == 15
+    assert mean.first()["folds"] == sum(r["fitted"] for r in rows.values())
+
+
 def test_cross_validation_folds(spark):
     per_fold, mean = sarimax.cross_validate(frame(spark, {"a": weekly(251)}), K, k=3)
     rows = per_fold.orderBy("fold").collect()
-    assert rows[-1].fold == 3 and all(r.n == 83 for r in rows)
-    assert abs(mean.first().avg_mae - np.mean([r.mae for r in rows])) < 1e-9
+    # the first fold trains on two rows: it has a row but no fit
+    assert [r.fold for r in rows] == [1, 2, 3] and [r.n for r in rows] == [0, 83, 83]
+    assert all(r.n_test == 83 for r in rows)
+    assert abs(mean.first().avg_mae - np.mean([r.mae for r in rows[1:]])) < 1e-9
 
 
 def structural_rows(spark, n=200, noise=0.0):
