@@ -244,7 +244,9 @@ def _family_links(long: DataFrame, sets: DataFrame) -> DataFrame:
     columns = ["family", "i", "j", "node", "component", "shingles"]
     out = marked.filter("outlier").withColumn("i", part("n_out")).withColumn("j", every("n_all")).select(*columns, F.lit(True).alias("outlier"))
     rest = marked.withColumn("i", every("n_out")).withColumn("j", part("n_all")).select(*columns, F.lit(False).alias("outlier"))
-    cells = out.unionByName(rest).groupBy("family", "i", "j")
+    # dealt by cell: the joins above leave rows dealt by family, which would do for the grouping
+    # and bring all cells of a family to one task
+    cells = out.unionByName(rest).repartition("family", "i", "j").groupBy("family", "i", "j")
     return cells.applyInPandas(_forest, "a binary, b binary")
 
 
