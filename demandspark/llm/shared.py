@@ -50,14 +50,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for every node.
 
     Alternates large-star and small-star: every node points to the smallest neighbour it
-    knows until nothing changes, a number of rounds logarithmic in the component. A hub
+    knows until only stars are left, a number of rounds logarithmic in the component. A hub
     is never gathered: its neighbours meet it in a join that the adaptive plan can split.
     Without edges the result is empty.
     """
     links = stage(edges.filter("a <> b").select("a", "b").distinct(), name)
     if links.isEmpty():
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    before = None
     while True:
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -74,10 +73,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             .select("e.a", "e.b").filter("a <> b").distinct()
         )
         links = stage(small, name)
-        # a star forest has one edge a node, and no target that is itself a source
-        state = links.agg(F.count("*").alias("n"), F.countDistinct("a").alias("d"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        if before == tuple(state):
+        # done once no source has two targets or is itself a target: a forest of stars
+        role = links.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+            links.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        role = role.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        if role.filter("out > 1 OR (out = 1 AND into = 1)").agg(F.count("*")).first()[0] == 0:
             break
-        before = tuple(state)
     own = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return own.unionByName(own.select(F.col("component").alias("node"), "component").distinct())
