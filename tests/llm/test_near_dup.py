@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pandas as pd
@@ -79,3 +80,26 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (100, 102), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_components_of_paths_stars_and_cycles(spark):
+    rng = random.Random(7)
+    path = list(range(100, 140))
+    rng.shuffle(path)
+    edges = list(zip(path, path[1:], strict=False))
+    edges += [(250, n) for n in range(200, 300)] + [(n, 199) for n in range(290, 300)]
+    edges += [(301, 302), (302, 303), (303, 301), (400, 400), (302, 301)]
+    edges += [(rng.randrange(500, 560), rng.randrange(500, 560)) for _ in range(45)]
+    parent = {n: n for e in edges if e[0] != e[1] for n in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(found) == len(parent) and {r.node: r.component for r in found} == {n: root(n) for n in parent}
