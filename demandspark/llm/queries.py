@@ -234,13 +234,18 @@ FROM placed GROUP BY conv_id
 
 @register("op7_preference_pairs", OP7_SQL)
 def op7(spark, sf_dir):
-    """Each conversation up to its last reply, against the same with an echo of its first turn as that reply."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").filter("conv_id IS NOT NULL")
+    """Each whole conversation, against the same with an echo of its first turn as last reply; without a reply both are the same."""
+    return preference_pairs(table(spark, sf_dir, "conversations"))
+
+
+def preference_pairs(conversations: DataFrame) -> DataFrame:
+    turns = conversations.select("conv_id", "turn", "role", "text").filter("conv_id IS NOT NULL")
     of = Window.partitionBy("conv_id")
-    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(of)
-    opening = F.min(F.struct(F.col("turn"), F.col("role"), F.col("text"))).over(of)["text"]
-    turns = turns.withColumn("last", last).withColumn("opening", opening).filter("turn <= last")
-    echo = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.col("opening")).otherwise(F.col("text"))
+    # the order of format_preferences: null numbers last, then role and text
+    place = F.struct(F.col("turn").isNull().alias("no_turn"), "turn")
+    ordered = F.struct(place.alias("place"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = turns.withColumn("last", F.max(F.when(F.col("role") == "assistant", place)).over(of)).withColumn("opening", F.min(ordered).over(of)["text"])
+    echo = F.when((F.col("role") == "assistant") & place.eqNullSafe(F.col("last")), F.col("opening")).otherwise(F.col("text"))
     pairs = chat.format_preferences(turns, turns.withColumn("text", echo))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["a"].cast("string"), F.lit("-"), s["b"].cast("string"))), ",").alias(c)
     return pairs.select("pair_id", "n_prompt_turns", "prompt", "chosen", spans("chosen_spans"), "rejected", spans("rejected_spans"), "usable")
