@@ -1,7 +1,8 @@
 """Repeated three-line windows, found globally and cut from all but their first occurrence.
 
 DataFrame functions only. Every text is split at line feeds; each window of three
-consecutive lines is hashed to 128 bits. The first occurrence of a window, by document id,
+consecutive lines is hashed to 128 bits; a text of one or two lines is one window, equal
+only to another whole text. The first occurrence of a window, by document id,
 then text, then line, stays; the lines that any later occurrence covers go. Overlapping
 windows merge by themselves, as the covered line numbers of a document form one set.
 """
@@ -17,20 +18,21 @@ LINES = 3
 def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, doc_key, at, h1, h2) of every window; ``at`` is its first line, from 0.
 
-    Texts of fewer than three lines have no window, nor have three lines of spaces only.
+    A text of fewer than three lines is one window; lines of spaces only are none.
     """
     lines = F.split(F.col(text), "\n", -1)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), _doc_key(text).alias("doc_key"), lines.alias("x")).filter(F.size("x") >= LINES)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _doc_key(text).alias("doc_key"), lines.alias("x")).filter(F.col(text).isNotNull())
+    size = F.size("x")
 
     def window(i):
-        three = [F.col("x")[i + j] for j in range(LINES)]
+        three = [F.get("x", i + j) for j in range(LINES)]  # null after the end of a shorter text
         blank = F.lit(True)
         for line in three:
-            blank = blank & (F.trim(line) == "")
-        # the second hash starts from another seed
-        return F.struct(i.alias("at"), F.xxhash64(*three).alias("h1"), F.xxhash64(F.lit(LINES), *three).alias("h2"), blank.alias("blank"))
+            blank = blank & (F.coalesce(F.trim(line), F.lit("")) == "")
+        # the second hash starts from another seed, the number of lines: hashing passes over nulls
+        return F.struct(i.alias("at"), F.xxhash64(*three).alias("h1"), F.xxhash64(F.least(size, F.lit(LINES)), *three).alias("h2"), blank.alias("blank"))
 
-    each = F.explode(F.transform(F.sequence(F.lit(0), F.size("x") - LINES), window)).alias("w")
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(size - LINES, F.lit(0))), window)).alias("w")
     return rows.select("doc_id", "doc_key", each).filter("NOT w.blank").select("doc_id", "doc_key", "w.at", "w.h1", "w.h2")
 
 
@@ -40,7 +42,7 @@ def _doc_key(text: str):
 
 
 def covered_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, doc_key, covered): line numbers that later occurrences cover, of documents with any."""
+    """(doc_id, doc_key, covered): line numbers that later occurrences cover, of documents with any; those of a short text may pass its end."""
     every = windows(docs, doc_id, text)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_key", "at")
     # combined before the shuffle, so a passage in a third of all documents is one row a task

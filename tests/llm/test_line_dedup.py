@@ -30,6 +30,14 @@ def test_equals_a_walk_in_order(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_short_texts_repeat_as_a_whole(spark):
+    long = "word " * 60
+    rows = [(1, long), (2, long), (3, f"{long}\nb"), (4, f"{long}\nb"), (5, f"b\n{long}"), (6, f"{long}\nb\nc"), (7, long), (None, long)]
+    rows += [(8, " \n"), (9, " \n"), (10, ""), (11, ""), (12, f"{long}\n"), (13, None), (14, "x"), (14, "x")]
+    got = run(spark, rows)
+    assert got == sorted((str(i), "" if i in (2, 4, 7, None) else str(t)) for i, t in rows)
+
+
 def test_empty_table(spark):
     assert run(spark, spark.createDataFrame([], "doc_id long, text string").collect() or [(1, None)]) == [("1", "None")]
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
