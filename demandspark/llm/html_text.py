@@ -4,7 +4,9 @@ A page becomes a tree of elements. Paragraphs give points for their length and c
 times the part of their text that is not in links, to their parent, half to its parent,
 and less further up. The container with the most points is kept with those of its siblings
 that have text of their own; menus, headers, footers, sidebars, notices, adverts, forms,
-scripts and reader comments are no candidates and are left out inside it too.
+scripts and reader comments are no candidates and are left out inside it too. What only a
+class or id names so is measured first: an element that holds the main element, the longest
+article or most of the page's points is a wrapper and stays.
 """
 
 from __future__ import annotations
@@ -49,13 +51,15 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CONTAINERS = {"div", "section", "article", "main", "body", "html", "#root"}
+# discount of the points of an element whose whole class or id is a skipped name, and again beside text in an article or main element
+NAMED_PART = 0.25
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "skipped", "points", "length", "linked", "depth")
+    __slots__ = ("tag", "parent", "parts", "skipped", "points", "length", "linked", "depth", "named")
 
-    def __init__(self, tag: str, parent: Element | None, skipped: bool = False):
-        self.tag, self.parent, self.parts, self.skipped = tag, parent, [], skipped
+    def __init__(self, tag: str, parent: Element | None, skipped: bool = False, named: float = 0.0):
+        self.tag, self.parent, self.parts, self.skipped, self.named = tag, parent, [], skipped or named > 0, named
         self.points, self.length, self.linked = 0.0, 0, 0
         self.depth = parent.depth + 1 if parent else 0
 
@@ -67,10 +71,7 @@ def _is_skipped(tag: str, attributes: str) -> bool:
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id"):
-            if any(x.lower() in SKIPPED_NAMES for x in _NAME.findall(value)):
-                return True
-        elif name == "role" and value.lower() in SKIPPED_ROLES:
+        if name == "role" and value.lower() in SKIPPED_ROLES:
             return True
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
@@ -79,6 +80,21 @@ def _is_skipped(tag: str, attributes: str) -> bool:
     return False
 
 
+def _named(tag: str, attributes: str) -> float:
+    """0 without a skipped name in class or id, NAMED_PART if one is a whole class or id, else 1."""
+    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+        return 0.0
+    found = 0.0
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for one in (a or b or c).split():
+                if one.lower() in SKIPPED_NAMES:
+                    return NAMED_PART
+                if any(x.lower() in SKIPPED_NAMES for x in _NAME.findall(one)):
+                    found = 1.0
+    return found
+
+
 def parse(page: str) -> Element:
     """The element tree of a page; missing end tags are supplied, what is cut off at the end is dropped."""
     root = here = Element("#root", None)
@@ -98,7 +114,8 @@ def parse(page: str) -> Element:
                 here = _closed(here, tag)
                 continue
             here = _implied(here, tag)
-            new = Element(tag, here, _is_skipped(tag, token[3]))
+            skipped = _is_skipped(tag, token[3])
+            new = Element(tag, here, skipped, 0.0 if skipped else _named(tag, token[3]))
             here.parts.append(new)
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -141,18 +158,17 @@ def _walk(root: Element) -> Iterator[tuple[Element, bool]]:
             stack.extend((p, True) for p in reversed(x.parts) if isinstance(p, Element) and not p.skipped)
 
 
-def _score(root: Element) -> Element | None:
-    """Gives all elements their points; the container with the most, the outermost of equals."""
-    best, links = None, 0
+def _paragraphs(root: Element) -> Iterator[tuple[Element, float]]:
+    """Elements with text of their own and its points; gives all elements their lengths."""
+    links = 0
     for x, enter in _walk(root):
         if x.tag == "a":
             links += 1 if enter else -1
         if enter:
             continue
         text = " ".join(p for p in x.parts if isinstance(p, str))
-        x.length += len(text.strip())
-        if links or x.tag == "a":
-            x.linked += len(text.strip())
+        x.length = len(text.strip())
+        x.linked = x.length if links or x.tag == "a" else 0
         inline = [p for p in x.parts if isinstance(p, Element) and not p.skipped]
         for p in inline:
             x.length += p.length
@@ -163,11 +179,66 @@ def _score(root: Element) -> Element | None:
             linked = sum(p.linked for p in inline if p.tag not in BLOCKS)
             if own:
                 commas = sum(y.count(",") + y.count("，") + y.count("、") for y in _inline_text(x))
-                points = (min(own / 25, 1) + commas + min(own / 100, 3)) * (1 - linked / own)
-                up, part = (x if x.tag in _CONTAINERS else x.parent), 1.0
-                while up is not None and part > 0.05:
-                    up.points += points * part
-                    up, part = up.parent, part / 2
+                yield x, (min(own / 25, 1) + commas + min(own / 100, 3)) * (1 - linked / own)
+
+
+def _open_wrappers(root: Element) -> None:
+    """No longer skips what is skipped only by name and holds the page's main text."""
+    named = []
+    stack = [root]
+    while stack:
+        for p in stack.pop().parts:
+            if isinstance(p, Element) and (p.named or not p.skipped):
+                stack.append(p)
+                if p.named:
+                    named.append(p)
+    if not named:
+        return
+    for x in named:
+        x.skipped = False
+    own = dict(_paragraphs(root))
+    # points of all an element holds, of the largest article in it, and whether it holds a main element with any
+    held: dict[Element, tuple[float, float, bool]] = {}
+    for x, enter in _walk(root):
+        if not enter:
+            inside = [held[p] for p in x.parts if isinstance(p, Element) and not p.skipped]
+            total = own.get(x, 0.0) + sum(i[0] for i in inside)
+            article = max([i[1] for i in inside] + [total if x.tag == "article" else 0.0])
+            held[x] = total, article, any(i[2] for i in inside) or (x.tag == "main" and total > 0)
+    for x in named:
+        x.skipped = True
+    outside, body = 0.0, False
+    for x, enter in _walk(root):
+        if enter and x in own:
+            outside += own[x]
+            body = body or _within(x, ("article", "main"))
+    page = held[root][0]
+    for x in named:
+        total, article, main = held[x]
+        # an article in an article is a comment on it
+        longest = article > outside and not _within(x.parent, ("article",))
+        most = total * x.named * (NAMED_PART if body else 1) > page - total
+        x.skipped = not (main or longest or most)
+    if not outside and all(x.skipped for x in named):
+        x = max(named, key=lambda x: held[x][0])
+        while x is not None:
+            x.skipped, x = False, x.parent
+
+
+def _within(x: Element | None, tags: tuple[str, ...]) -> bool:
+    while x is not None and x.tag not in tags:
+        x = x.parent
+    return x is not None
+
+
+def _score(root: Element) -> Element | None:
+    """Gives all elements their points; the container with the most, the outermost of equals."""
+    best = None
+    for x, points in _paragraphs(root):
+        up, part = (x if x.tag in _CONTAINERS else x.parent), 1.0
+        while up is not None and part > 0.05:
+            up.points += points * part
+            up, part = up.parent, part / 2
     for x, enter in _walk(root):
         if enter and x.points > 0 and (best is None or x.points * _own(x) > best.points * _own(best)):
             best = x
@@ -242,6 +313,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _open_wrappers(root)
     best = _score(root)
     return "\n".join(b for x in _kept(best) for b in _blocks(x)) if best is not None else ""
 

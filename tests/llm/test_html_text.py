@@ -27,6 +27,29 @@ def test_cases(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "<p>Long text, of the page, with commas, and words.</p><p>More of it, and more, to the end.</p>"
+LONG_TEXT = "Long text, of the page, with commas, and words.\nMore of it, and more, to the end."
+SIDE = "<div class='sidebar'><p>side, side</p></div>"
+NAMES = ["content-sidebar-wrap", "content has-sidebar", "with-comments", "page no-header", "layout__sidebar-left main"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("kind", ["class", "id"])
+def test_wrappers_are_not_skipped_by_name(name, kind):
+    around = lambda inner: f"<body><div>out</div><div {kind}='{name}'>{SIDE}{inner}</div>"
+    assert html_text.main_text(around(ARTICLE)) == TEXT
+    assert html_text.main_text(around(f"<main>{LONG}</main>")) == LONG_TEXT
+    assert html_text.main_text(around(f"<section class='no-sidebar'><div>{LONG}</div></section>")) == LONG_TEXT
+    assert html_text.main_text(f"<main><h1>Title</h1><div {kind}='{name}'>{LONG}{SIDE}</div></main>") == "Title\n" + LONG_TEXT
+
+
+def test_named_parts_stay_out():
+    comments = "<div id='comments' class='comments-area'><article>" + LONG + "</article></div>"
+    assert html_text.main_text(f"<article><p>short, one</p>{comments}</article>") == "short, one"
+    assert html_text.main_text(f"<div class='with-comments'><article>{LONG}<div class='post-share'>share, this</div></article>{SIDE}</div>") == LONG_TEXT
+    assert html_text.main_text(f"<div class='content has-sidebar' hidden>{LONG}</div><p>seen</p>") == "seen"
+
+
 def test_whole_table(spark):
     long = "<article>" + "<p>w, w</p>" * 20_000 + "</article>"
     rows = [(i, f"u{i}", p) for i, (p, _) in enumerate(CASES)] + [(99, None, long), (None, "u", ARTICLE), (None, "u", ARTICLE)]
