@@ -143,6 +143,13 @@ def _(spark, sf):
     return _fitted(spark, sf)[1].select(*K, "date", "residual")
 
 
+@register("m8_residual_rows", oracle(
+    "SELECT product_id, store_id, count(*) AS n, count(*) AS n_known, min(date) AS first, max(date) AS last FROM sales GROUP BY ALL", dates="first last"))
+def _(spark, sf):
+    return _fitted(spark, sf)[1].groupBy(*K).agg(
+        F.count("*").alias("n"), F.count("residual").alias("n_known"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
 @register("m11_expanding_cv")
 def _(spark, sf):
     return sarimax.cross_validate(panel_series(spark, sf), K, holidays=HOLIDAYS)[0]

@@ -43,6 +43,7 @@ from demandspark.operators.panel import (
     holdout_split,
     last_rows,
     series_window,
+    whole_series,
 )
 from demandspark.operators.regressors import calendar_regressors, design_matrix
 from demandspark.session import cut_lineage
@@ -238,19 +239,27 @@ def with_design(series: DataFrame, holidays: Holidays = MODEL_HOLIDAYS, regresso
 
 
 def _differenced_rows(
-    rows: DataFrame, keys: Sequence[str], limits: Mapping[str, int], m: int
+    rows: DataFrame, keys: Sequence[str], limits: Mapping[str, int], m: int, backcast: bool = False
 ) -> DataFrame:
     """Adds ``w`` and ``dx``: value and regressors differenced by the row's own order.
 
-    Needs value, xreg, d, seasonal_d; NULL where the history is too short.
+    Needs value, xreg, d, seasonal_d; NULL where the history is too short, or with
+    ``backcast`` as if the series had been at its first row before. ``started`` then
+    says which rows need none.
     """
     orders = [(i, j) for i in range(limits["d"] + 1) for j in range(limits["D"] + 1)]
     weights = {o: difference_weights(*o, m) for o in orders}
     back = sorted({lag for c in weights.values() for lag in c} - {0})
     w = series_window(keys)
+    if backcast:
+        rows = rows.withColumn("_at", F.row_number().over(w))
+
+    def earlier(c: str, n: int) -> Column:
+        known = F.lag(c, n).over(w)
+        return F.when(F.col("_at") <= n, F.first(c).over(w)).otherwise(known) if backcast else known
+
     rows = rows.withColumns(
-        {f"_y{n}": F.lag("value", n).over(w) for n in back}
-        | {f"_x{n}": F.lag("xreg", n).over(w) for n in back}
+        {f"_y{n}": earlier("value", n) for n in back} | {f"_x{n}": earlier("xreg", n) for n in back}
     )
     values = {0: F.col("value"), **{n: F.col(f"_y{n}") for n in back}}
 
@@ -266,6 +275,9 @@ def _differenced_rows(
         chosen_w = chosen_w.when(own, _combine(c, values))
         chosen_x = chosen_x.when(own, regressors(c))
     dropped = [f"_{kind}{n}" for kind in "xy" for n in back]
+    if backcast:
+        rows = rows.withColumn("started", F.col("_at") > F.col("d") + m * F.col("seasonal_d"))
+        dropped.append("_at")
     return rows.withColumn("w", chosen_w).withColumn("dx", chosen_x).drop(*dropped)
 
 
@@ -282,8 +294,10 @@ def fit(
 
     ``train`` is (keys, date, value, xreg). Gives (coefficients, rows): one row
     per series with beta (constant first), ar, ma and sigma2, and one row per
-    date with value, differenced value and residual. A series shorter than the
-    lag vector has neither.
+    date with value, differenced value and residual. The fit is over the rows
+    with full history; residuals before them take the first value for what the
+    differences lack and the mean of the differenced series for the lags. A
+    series shorter than the lag vector has no coefficients and NULL residuals.
     """
     m = period or 1
     limits = {k: v if period or k.islower() else 0 for k, v in limits.items()}
@@ -293,10 +307,19 @@ def fit(
         spread(train.select(*keys, "date", F.col(value).cast("double").alias("value"), "xreg"), keys),
         orders.select(*keys, *ORDERS), keys,
     )
-    rows = _differenced_rows(ordered, keys, limits, m).filter("w IS NOT NULL AND dx IS NOT NULL")
-    design = _with_lag_vector(rows, keys, span).select(
-        *keys, "date", "value", *ORDERS, "w", F.concat("x", "dx").alias("x"), "y"
+    rows = _differenced_rows(ordered, keys, limits, m, backcast=True).filter("w IS NOT NULL AND dx IS NOT NULL")
+    recent = series_window(keys).rowsBetween(-span, 0)
+    rows = rows.withColumns({
+        "_recent": F.collect_list("w").over(recent),
+        "_full": F.count(F.when(F.col("started"), 1)).over(recent) == span + 1,
+        "_mean": F.avg("w").over(whole_series(keys)),
+    })
+    before = F.array_repeat("_mean", span + 1 - F.size("_recent"))
+    every = rows.select(
+        *keys, "date", "value", *ORDERS, "w", F.concat(F.array(F.lit(1.0)), before, "_recent", "dx").alias("x"),
+        F.col("w").alias("y"), "_full",
     )
+    design = every.filter("_full").drop("_full")
 
     def solver(key, n, g, _xty, _yty):
         """Sub-block of the series' own order, shrunk to stability if need be."""
@@ -344,9 +367,10 @@ def fit(
     keyed = [*keys, *ORDERS]
     # read several times below: written once, so no later step repeats the solve
     solved = cut_lineage(solve_per_series(gram_partials(design, keyed), keyed, solver, fields))
-    fitted = attach(design.drop(*ORDERS), solved.select(*keys, "noise"), keys).select(
-        *keys, "date", "value", "w", dot(F.col("noise"), F.col("x")).alias("residual")
-    )
+    noise = solved.select(*keys, "noise")
+    every = every.drop(*ORDERS, "_full")
+    every = every.join(noise, list(keys), "left") if keys else attach(every, noise, keys)
+    fitted = every.select(*keys, "date", "value", "w", dot(F.col("noise"), F.col("x")).alias("residual"))
     return solved.drop("noise"), fitted
 
 

@@ -89,6 +89,24 @@ def test_arma_is_recovered(spark):
         assert abs(r.m) < 0.05 and abs(r.s - 1.0) < 0.05
 
 
+def test_a_residual_for_every_row(spark):
+    long = arma(200, 0.6)
+    df = frame(spark, {"ar": long, "walk": 100 + np.cumsum(long - 50), "week": weekly(120), "short": long[:9]})
+    orders = spark.createDataFrame(
+        [("ar", 1, 0, 0, 0, 0, 0), ("walk", 0, 1, 0, 0, 0, 0), ("week", 1, 0, 0, 0, 1, 1), ("short", 1, 0, 0, 0, 0, 0)], ["k", *sarimax.ORDERS]
+    ).select("k", *[F.col(c).cast("int") for c in sarimax.ORDERS])
+    coef, fitted = sarimax.fit(sarimax.with_design(df, regressors=False), orders, K)
+    got = {k: p.sort_values("date") for k, p in fitted.toPandas().groupby("k")}
+    assert {k: len(p) for k, p in got.items()} == {"ar": 200, "walk": 200, "week": 120, "short": 9}
+    assert got["short"].residual.isna().all()
+    c = {r.k: r for r in coef.collect()}
+    assert sorted(c) == ["ar", "walk", "week"] and [c[k].n_eff for k in ("ar", "walk", "week")] == [179, 178, 92]
+    before = np.concatenate([[long.mean()], long[:-1]])
+    assert np.allclose(got["ar"].residual, long - c["ar"].beta[0] - c["ar"].ar[0] * before)
+    assert np.allclose(got["walk"].residual, np.diff(got["walk"].value, prepend=got["walk"].value.iloc[0]))
+    assert np.isfinite(got["week"].residual).all()
+
+
 def test_search_and_forecast(spark):
     df = frame(spark, {"a": weekly(150), "b": arma(150, 0.5, seed=9)})
     scored = sarimax.search_orders(df, K)
