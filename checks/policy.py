@@ -465,7 +465,7 @@ def _shapiro_sql() -> str:
 
 @register("m10_shapiro_wilk", oracle(_shapiro_sql(), extra=PANEL_RESIDUALS, doubles="statistic p_value"))
 def _(spark, sf):
-    return diag.shapiro_wilk(panel_residuals(spark, sf), keys=SERIES_KEYS)
+    return diag.shapiro_wilk(panel_residuals(spark, sf), keys=SERIES_KEYS).drop("extrapolated")
 
 
 @register("d8_decomposition", oracle(

@@ -6,6 +6,7 @@ series (no keys) pass daily rows, never the fact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,10 @@ LAST_WEIGHT = [-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0]
 SECOND_WEIGHT = [-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0]
 LOG_MEAN = [0.0038915, -0.083751, -0.31082, -1.5861]
 LOG_SD = [0.0030302, -0.082676, -0.4803]
+# 4 to 11 values
+SHORT_MEAN = [-6.714e-4, 0.025054, -0.39978, 0.5440]
+SHORT_SD = [-0.0020322, 0.062767, -0.77857, 1.3822]
+SHORT_LIMIT = [0.459, -2.273]
 
 
 def ljung_box(
@@ -58,9 +63,13 @@ def ljung_box(
 
 def shapiro_wilk(
     df: DataFrame, value: str = "residual", keys: Sequence[str] = TOTAL, alpha: float = 0.05,
-    smallest: int = 12, largest: int = 5000,
+    largest: int = 5000,
 ) -> DataFrame:
-    """(keys, n, statistic, p_value, normal); NULL outside the approximation's sizes."""
+    """(keys, n, statistic, p_value, normal, extrapolated); NULL for fewer than three or equal values.
+
+    Exact for three values, Royston's approximation above; it was published for up to
+    ``largest`` values, and beyond them the row is marked ``extrapolated``.
+    """
     w = Window.partitionBy(*keys).orderBy(value)
     n, i = F.col("n"), F.col("_i")
     ranked = (
@@ -83,26 +92,42 @@ def shapiro_wilk(
         F.max(F.when(i == 1, x)).alias("lo1"),
         F.max(F.when(i == 2, x)).alias("lo2"),
     )
-    # outside the sizes the approximation covers everything below is NULL
-    usable = n.between(smallest, largest)
-    u = 1.0 / F.sqrt(n.cast("double"))
+    usable = n >= 3
+    root = n.cast("double")
+    u = 1.0 / F.sqrt(root)
     mm, m1, m2 = F.when(usable, F.col("mm")), F.col("m1"), F.col("m2")
-    a1 = m1 / F.sqrt(mm) + polynomial(LAST_WEIGHT, u)
-    a2 = m2 / F.sqrt(mm) + polynomial(SECOND_WEIGHT, u)
+    a1 = F.when(n == 3, F.lit(0.5**0.5)).otherwise(m1 / F.sqrt(mm) + polynomial(LAST_WEIGHT, u))
+    # up to five values only the largest weight is corrected, so the second counts as an inner one
+    m2 = F.when(n > 5, m2).otherwise(0.0)
+    a2 = F.when(n > 5, m2 / F.sqrt(mm) + polynomial(SECOND_WEIGHT, u)).otherwise(0.0)
     phi = (mm - 2.0 * m1 * m1 - 2.0 * m2 * m2) / (1.0 - 2.0 * F.col("a1") ** 2 - 2.0 * F.col("a2") ** 2)
     span1 = F.col("hi1") - F.col("lo1")
     span2 = F.col("hi2") - F.col("lo2")
-    inner = (F.col("mx") - m1 * span1 - m2 * span2) / F.sqrt("phi")
+    # the middle one of three values has no weight
+    inner = F.when(n > 3, F.try_divide(F.col("mx") - m1 * span1 - m2 * span2, F.sqrt("phi"))).otherwise(0.0)
     weighted = F.col("a1") * span1 + F.col("a2") * span2 + inner
-    size = F.ln(n.cast("double"))
-    z = (F.ln(1.0 - F.col("statistic")) - polynomial(LOG_MEAN, size)) / F.exp(polynomial(LOG_SD, size))
+    size = F.ln(root)
+    w, left = F.col("statistic"), F.ln(1.0 - F.col("statistic"))
+    z = (left - polynomial(LOG_MEAN, size)) / F.exp(polynomial(LOG_SD, size))
+    limit = polynomial(SHORT_LIMIT, root)
+    short_z = (-F.ln(limit - left) - polynomial(SHORT_MEAN, root)) / F.exp(polynomial(SHORT_SD, root))
+    exact = F.greatest((F.asin(F.sqrt(w)) - F.asin(F.sqrt(F.lit(0.75)))) * (6.0 / math.pi), F.lit(0.0))
+    p_value = (
+        F.when(w.isNull(), None)
+        .when(w >= 1.0, 1.0)
+        .when(n == 3, exact)
+        .when((n < 12) & (left >= limit), 0.0)
+        .when(n < 12, 1.0 - normal_cdf(short_z))
+        .otherwise(1.0 - normal_cdf(z))
+    )
     fit = (
-        sums.withColumns({"a1": a1, "a2": a2})
-        .withColumn("phi", phi)
+        sums.withColumns({"a1": F.when(usable, a1), "a2": F.when(usable, a2)})
+        .withColumn("phi", F.when(n > 3, phi))
         .withColumn("statistic", F.when(usable, F.try_divide(weighted * weighted, F.col("ss"))))
-        .withColumn("p_value", F.when(usable, 1.0 - normal_cdf(z)))
+        .withColumn("p_value", p_value)
     )
-    return fit.select(*keys, "n", "statistic", "p_value", (F.col("p_value") >= alpha).alias("normal"))
+    return fit.select(
+        *keys, "n", "statistic", "p_value", (F.col("p_value") >= alpha).alias("normal"), (n > largest).alias("extrapolated"))
 
 
 def decompose(

@@ -1,7 +1,9 @@
 """Sources, cleaning, calendar, panel and policy operators on small fixtures."""
 
 from datetime import date, timedelta
+from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import Row
@@ -236,6 +238,50 @@ def test_shapiro_published_value(spark):
     assert tiny.statistic is None and tiny.p_value is None
 
 
+def royston(values):
+    """W and p of three or more values, written out with exact normal quantiles."""
+    x, n, normal = np.sort(values), len(values), NormalDist()
+    m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    a, u, size = m.copy(), n**-0.5, np.log(n)
+    if n == 3:
+        a = np.array([-(0.5**0.5), 0.0, 0.5**0.5])
+    else:
+        ends = [np.polyval(diagnostics.LAST_WEIGHT, u) + m[-1] / np.sqrt(m @ m)]
+        if n > 5:
+            ends.append(np.polyval(diagnostics.SECOND_WEIGHT, u) + m[-2] / np.sqrt(m @ m))
+        k = len(ends)
+        a[k : n - k] /= np.sqrt((m @ m - 2 * sum(m[-k:] ** 2)) / (1 - 2 * sum(np.square(ends))))
+        a[:k], a[n - k :] = -np.array(ends), ends[::-1]
+    w = (a @ x) ** 2 / sum((x - x.mean()) ** 2)
+    if n == 3:
+        return w, 6 / np.pi * (np.arcsin(w**0.5) - np.arcsin(0.75**0.5))
+    y = np.log(1 - w)
+    if n < 12:
+        y = -np.log(0.459 * n - 2.273 - y)
+        mean = 0.5440 - 0.39978 * n + 0.025054 * n**2 - 0.0006714 * n**3
+        sd = np.exp(1.3822 - 0.77857 * n + 0.062767 * n**2 - 0.0020322 * n**3)
+    else:
+        mean, sd = np.polyval(diagnostics.LOG_MEAN, size), np.exp(np.polyval(diagnostics.LOG_SD, size))
+    return w, 1 - normal.cdf((y - mean) / sd)
+
+
+def test_shapiro_of_short_and_long_groups(spark):
+    rng = np.random.default_rng(4)
+    # published: W = 0.79, p = 0.0067 for eleven weights
+    groups = {11: np.array([148.0, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]), 3: np.array([1.0, 2, 4])}
+    groups |= {n: rng.normal(size=n) for n in (4, 5, 6, 8, 10, 12, 5000, 6000)} | {1: np.ones(1), 2: np.arange(2.0), 7: np.ones(7)}
+    df = spark.createDataFrame([(n, float(x)) for n, xs in groups.items() for x in xs], "k long, residual double")
+    got = {r.k: r for r in diagnostics.shapiro_wilk(df, keys=("k",)).collect()}
+    assert sorted(got) == sorted(groups) and [k for k, r in got.items() if r.extrapolated] == [6000]
+    assert abs(got[11].statistic - 0.78881) < 1e-4 and abs(got[11].p_value - 0.0067) < 1e-4 and not got[11].normal
+    assert abs(got[3].statistic - 0.96429) < 1e-4 and abs(got[3].p_value - 0.6369) < 1e-4
+    for n, xs in groups.items():
+        if n in (1, 2, 7):
+            assert got[n].statistic is None and got[n].p_value is None
+        else:
+            assert np.allclose((got[n].statistic, got[n].p_value), royston(xs), atol=1e-5), n
+
+
 def test_decomposition_adds_up(spark):
     rows = [(DAY + timedelta(days=i), float(100 + i + (5 if i % 7 == 0 else 0))) for i in range(70)]
     df = diagnostics.decompose(spark.createDataFrame(rows, "date date, total_sales double"))
