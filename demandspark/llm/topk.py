@@ -7,6 +7,10 @@ centres c, d and covering radii r, s no inner product exceeds
 ``c.d + r|d| + s|c| + r s``; a pair whose bound is below the worst k-th score of the
 node's queries is left out, first for whole blocks, then inside the trees.
 
+Inner products are exact in float64 while their terms add up to less than 2**53 in
+absolute value: with 64 dimensions, for components up to 46,340. Scores of 2**63 and more
+have no bigint.
+
 Blocks, not rows, are joined: each query block meets the data blocks its bound cannot rule
 out. Only the sample, bounded by ``SAMPLE``, and the centres reach the driver.
 """
@@ -174,8 +178,10 @@ def _blocks(rows: DataFrame, name: str) -> DataFrame:
         block = block.sort_values("vec_id")
         points = np.stack(block["v"].to_numpy()).astype(float)
         centre = points.mean(0)
+        # half the space, where all components fit
+        kind = np.int32 if np.abs(points).max() < 2**31 else np.int64
         return pd.DataFrame({
-            "dims": [points.shape[1]], "ids": [block["vec_id"].to_numpy(np.int64).tobytes()], "points": [points.astype(np.int32).tobytes()],
+            "dims": [points.shape[1]], "ids": [block["vec_id"].to_numpy(np.int64).tobytes()], "points": [points.astype(kind).tobytes()],
             "centre": [centre], "radius": [float(_distances(points, centre).max())],
         })
 
@@ -183,14 +189,19 @@ def _blocks(rows: DataFrame, name: str) -> DataFrame:
     return stage(packed.withColumn("block", F.monotonically_increasing_id()), name)
 
 
+def _unpacked(points: bytes, n: int, dims: int) -> np.ndarray:
+    kind = np.int32 if len(points) == 4 * n * dims else np.int64
+    return np.frombuffer(points, kind).reshape(n, dims).astype(float)
+
+
 def _search(pairs: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score): the k best of each query in each pair of blocks."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                q, d = (np.frombuffer(row[f"{x}_points"], np.int32).reshape(-1, row["dims"]).astype(float) for x in "qd")
                 q_ids, d_ids = (np.frombuffer(row[f"{x}_ids"], np.int64) for x in "qd")
+                q, d = (_unpacked(row[f"{x}_points"], len(ids), row["dims"]) for x, ids in (("q", q_ids), ("d", d_ids)))
                 best = dual_search(q_ids, q, d_ids, d, k)
                 there = np.isfinite(best.score)
                 yield pa.RecordBatch.from_arrays(

@@ -34,6 +34,14 @@ def test_equals_brute_force(spark, block, monkeypatch):
     assert sorted(tuple(r) for r in topk.top_k(df).collect()) == brute(rows, 5)
 
 
+def test_large_components(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    rows += [(201, [1e7, 0.0, 0.0, 0.0]), (202, [0.0, -9e6, 0.0, 1.0]), (203, [0.0, 0.0, 8388608.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == brute(rows, 5)
+
+
 def test_empty_table(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
