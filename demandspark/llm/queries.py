@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from demandspark.llm import chat, decontam, html_text, langid, line_dedup, mixing, near_dup, quality, token_count, topk
+from demandspark.llm import (
+    chat,
+    decontam,
+    fingerprint,
+    html_text,
+    langid,
+    line_dedup,
+    mixing,
+    near_dup,
+    periodic_runs,
+    quality,
+    token_align,
+    token_count,
+    topk,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -249,3 +263,30 @@ def preference_pairs(conversations: DataFrame) -> DataFrame:
     pairs = chat.format_preferences(turns, turns.withColumn("text", echo))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["a"].cast("string"), F.lit("-"), s["b"].cast("string"))), ",").alias(c)
     return pairs.select("pair_id", "n_prompt_turns", "prompt", "chosen", spans("chosen_spans"), "rejected", spans("rejected_spans"), "usable")
+
+
+@register("op11_align_tokenizers")
+def op11(spark, sf_dir):
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_align.align_tokenizers(table(spark, sf_dir, "documents"), *paths)
+
+
+@register("op12_fingerprints")
+def op12(spark, sf_dir):
+    found = fingerprint.fingerprints_beside_next(table(spark, sf_dir, "documents"))
+    own = F.col("sketch")
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_string(own).alias("fingerprint"), fingerprint.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint.resemblance(own, F.col("edited_sketch")).alias("near_edited"),
+        fingerprint.resemblance(own, F.col("next_sketch")).alias("near_next"),
+        fingerprint.containment(own, F.col("edited_sketch")).alias("kept_share"),
+        fingerprint.distinct_shingles(own).alias("distinct_estimate"),
+    )
+
+
+@register("op13_periodic_runs")
+def op13(spark, sf_dir):
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), edit=periodic_runs.planted)
