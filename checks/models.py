@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from checks import base, policy
 from checks.base import EVENTS, HOLIDAYS, oracle, register
 from checks.tables import _FOLDS
-from demandspark.operators import gram, sarimax, sequence, structural
+from demandspark.operators import arima, diagnostics, gram, sarimax, sequence, structural
 from demandspark.operators.grids import ORDER_COLUMNS
 from demandspark.schema import (
     ARIMA_RUN_GRID,
@@ -103,19 +103,17 @@ def _(spark, sf):
 
 
 def _candidates_sql() -> str:
-    """Admissible orders, and the rows of a series that have the whole lag vector."""
+    """Admissible orders of every series, and the rows that differencing leaves."""
     top = ARIMA_RUN_GRID
     tables, number, step = [], [], 1
     for name, column in ORDER_COLUMNS.items():
         tables.append(f"(SELECT CAST(unnest(range(0, {top[name] + 1})) AS INT) AS {column})")
         number.append(f"{column} * {step}")
         step *= top[name] + 1
-    m = SEASONAL_PERIOD
-    lag = max(top["p"], top["q"], m * top["P"], m * top["Q"])
-    whole = sarimax.LONG_AR + lag + top["d"] + m * top["D"]
-    return f"""SELECT product_id, store_id, CAST({" + ".join(number)} AS INT) AS grid_id, {", ".join(ORDER_COLUMNS.values())}, n_eff
-    FROM (SELECT product_id, store_id, count(*) - {whole} AS n_eff FROM sales GROUP BY ALL), {", ".join(tables)}
-    WHERE n_eff > 0 AND p + q > 0 AND seasonal_p + seasonal_q > 0"""
+    return f"""SELECT product_id, store_id, CAST({" + ".join(number)} AS INT) AS grid_id, {", ".join(ORDER_COLUMNS.values())},
+    CAST(greatest(n - d - {SEASONAL_PERIOD} * seasonal_d, 0) AS BIGINT) AS n_eff
+    FROM (SELECT product_id, store_id, count(*) AS n FROM sales GROUP BY ALL), {", ".join(tables)}
+    WHERE p + q > 0 AND seasonal_p + seasonal_q > 0"""
 
 
 @register("m5_candidates", oracle(_candidates_sql()))
@@ -123,9 +121,112 @@ def _(spark, sf):
     return sarimax.search_orders(panel_series(spark, sf), K).select(*K, "grid_id", *sarimax.ORDERS, "n_eff")
 
 
+# --- exact likelihood: what SQL can state of it -----------------------------
+
+# uneven steps, as integer sales would give rounding ties at even ones
+TRIALS = [round(i / 10.37, 5) for i in range(-10, 11)]
+
+# first-order autoregression with a level: the first row has variance 1 / (1 - phi^2)
+_FIRST_ORDER = """
+ordered AS (SELECT product_id, store_id, date, sales_quantity AS y, lag(sales_quantity) OVER (PARTITION BY product_id,
+  store_id ORDER BY date) AS z FROM sales),
+sums AS (SELECT product_id, store_id, count(*) AS n, max(y) FILTER (WHERE z IS NULL) AS y1, sum(y * y) FILTER (WHERE z IS NOT NULL) AS yy,
+  coalesce(sum(z * z), 0) AS zz, coalesce(sum(y * z), 0) AS yz, coalesce(sum(y) FILTER (WHERE z IS NOT NULL), 0) AS sy, coalesce(sum(z), 0) AS sz
+  FROM ordered GROUP BY ALL)"""
+
+
+def _likelihood_sql(phi: str) -> tuple[str, str]:
+    """(sum of squares, log-likelihood) at ``phi`` from the sums of a series."""
+    squares = f"((1 - {phi} ** 2) * y1 ** 2 + yy - 2 * {phi} * yz + {phi} ** 2 * zz)"
+    cross = f"((1 - {phi} ** 2) * y1 + (1 - {phi}) * (sy - {phi} * sz))"
+    weight = f"((1 - {phi} ** 2) + (n - 1) * (1 - {phi}) ** 2)"
+    rest = f"({squares} - {cross} ** 2 / {weight})"
+    return rest, f"(-0.5 * (n * (ln(2 * pi() * {rest} / n) + 1) - ln(1 - {phi} ** 2)))"
+
+
+@register("m4_likelihood_profile", oracle(
+    f"""SELECT product_id, store_id, CAST(i AS INT) AS trial, {_likelihood_sql("phi")[0]} / n AS sigma2, {_likelihood_sql("phi")[1]} AS log_likelihood
+    FROM sums, (SELECT unnest(range(0, {len(TRIALS)})) AS i, unnest({TRIALS}) AS phi)""", extra=_FIRST_ORDER, doubles="sigma2 log_likelihood", digits=3), digits=3)
+def _(spark, sf):
+    series = panel_series(spark, sf).withColumnRenamed("total_sales", "value")
+    return arima.likelihood_profile(series, K, (1, 0, 0, 0, 0, 0), [(t,) for t in TRIALS]).drop("terms")
+
+
+# golden section on the profile; the middle of the last bracket is the estimate
+@register("m4_first_order_fit", oracle(
+    f"""SELECT product_id, store_id, phi, {_likelihood_sql("phi")[1]} AS log_likelihood
+    FROM (SELECT s.*, (g.a + g.b) / 2 AS phi FROM golden g JOIN sums s USING (product_id, store_id) WHERE g.i = 60)""",
+    extra=_FIRST_ORDER + f""",
+golden AS (
+  SELECT 0 AS i, product_id, store_id, CAST(-0.995 AS DOUBLE) AS a, CAST(0.995 AS DOUBLE) AS b FROM sums
+  UNION ALL
+  SELECT i + 1, product_id, store_id, CASE WHEN at_left < at_right THEN l ELSE a END, CASE WHEN at_left < at_right THEN b ELSE r END FROM (
+    SELECT i, product_id, store_id, a, b, l, r, {_likelihood_sql("l")[1]} AS at_left, {_likelihood_sql("r")[1]} AS at_right FROM (
+      SELECT g.i, s.*, g.a, g.b, g.b - (g.b - g.a) * 0.6180339887498949 AS l, g.a + (g.b - g.a) * 0.6180339887498949 AS r
+      FROM golden g JOIN sums s USING (product_id, store_id) WHERE g.i < 60)))""",
+    doubles="phi log_likelihood", digits=3).replace("WITH sales AS", "WITH RECURSIVE sales AS", 1), digits=3)
+def _(spark, sf):
+    out = sarimax.fit_exact(panel_series(spark, sf), K, regressors=False, select=(1, 0, 0, 0, 0, 0), period=None)
+    return out["coefficients"].select(*K, F.col("terms")[0].alias("phi"), "log_likelihood")
+
+
+@register("m7_random_walk", oracle(
+    """SELECT product_id, store_id, CAST(last + CAST(i AS INT) AS DATE) AS date, level AS yhat, level - 1.96 * sqrt(s2 * i) AS lower,
+      level + 1.96 * sqrt(s2 * i) AS upper FROM (
+      SELECT product_id, store_id, max(date) AS last, max_by(y, date) AS level, avg((y - z) ** 2) FILTER (WHERE z IS NOT NULL) AS s2
+      FROM ordered GROUP BY ALL), (SELECT unnest(range(1, 8)) AS i)""", extra=_FIRST_ORDER, doubles="yhat lower upper", dates="date"))
+def _(spark, sf):
+    out = sarimax.fit_exact(panel_series(spark, sf), K, regressors=False, select=(0, 1, 0, 0, 0, 0), period=None)
+    return out["forecast"].drop("model")
+
+
+@register("m4_exact_fit")
+def _(spark, sf):
+    return sarimax.fit_exact(panel_series(spark, sf), K, holidays=HOLIDAYS)["coefficients"].select(
+        *K, *sarimax.ORDERS, "status", "n_eff", "sigma2", "log_likelihood", "aic")
+
+
+def _kpss_sql() -> str:
+    lags = ", ".join(f"e * lag(e, {j}) OVER w AS c{j}" for j in range(1, 25))
+    weighted = " + ".join(f"CASE WHEN lags >= {j} THEN 2 * (1 - {j} / (lags + 1)) * coalesce(sum(c{j}), 0) ELSE 0 END" for j in range(1, 25))
+    return f"""SELECT product_id, store_id, n, statistic, statistic <= {arima.KPSS_LIMIT} AS stationary FROM (
+      SELECT product_id, store_id, n, CASE WHEN s2 > 1e-12 * yy THEN ss / (n * s2) ELSE 0 END AS statistic FROM (
+      SELECT product_id, store_id, n, sum(e * e) + {weighted} AS s2, sum(s * s) AS ss, sum(y * y) AS yy FROM (
+        SELECT *, sum(e) OVER (PARTITION BY product_id, store_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS s, {lags},
+          floor(4 * pow(n / 100.0, 0.25)) AS lags FROM (
+          SELECT product_id, store_id, date, sales_quantity AS y, count(*) OVER p AS n, sales_quantity - avg(sales_quantity) OVER p AS e
+          FROM sales WINDOW p AS (PARTITION BY product_id, store_id))
+        WINDOW w AS (PARTITION BY product_id, store_id ORDER BY date)) GROUP BY product_id, store_id, n, lags))"""
+
+
+@register("m6_kpss", oracle(_kpss_sql(), doubles="statistic"))
+def _(spark, sf):
+    return diagnostics.kpss(panel_series(spark, sf), keys=K)
+
+
+@register("m6_seasonal_strength", oracle(
+    f"""SELECT product_id, store_id, n, strength, strength > {arima.STRENGTH_LIMIT} AS seasonal FROM (
+      SELECT product_id, store_id, count(*) AS n, CASE WHEN var_samp(left_) > 1e-12 * sum(y * y) THEN greatest(0, 1 - var_samp(left_ - mean + centre) / var_samp(left_)) ELSE 0 END AS strength
+      FROM (SELECT *, avg(mean) FILTER (WHERE first_of = 1) OVER (PARTITION BY product_id, store_id) AS centre FROM (
+        SELECT *, avg(left_) OVER (PARTITION BY product_id, store_id, phase) AS mean,
+          row_number() OVER (PARTITION BY product_id, store_id, phase ORDER BY date) AS first_of FROM (
+          SELECT product_id, store_id, date, sales_quantity AS y, row_number() OVER w % 7 AS phase, sales_quantity - avg(sales_quantity) OVER (
+            PARTITION BY product_id, store_id ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS left_
+          FROM sales WINDOW w AS (PARTITION BY product_id, store_id ORDER BY date)))) GROUP BY ALL)""", doubles="strength"))
+def _(spark, sf):
+    return diagnostics.seasonal_strength(panel_series(spark, sf), keys=K)
+
+
 @register("m6_auto_orders")
 def _(spark, sf):
-    return sarimax.auto_orders(total_series(spark, sf), period=7)
+    return sarimax.auto_orders(panel_series(spark, sf), K, period=7)
+
+
+@register("m6_order_rows", oracle(
+    "SELECT product_id, store_id, count(*) AS n, count(*) >= 8 AS chosen FROM sales GROUP BY ALL"))
+def _(spark, sf):
+    out = sarimax.auto_orders(panel_series(spark, sf), K, period=7, exact=False)
+    return out.select(*K, "n", (F.col("p").isNotNull() & (F.col("status") == "fitted")).alias("chosen"))
 
 
 @register("m7_sarimax_forecast")
@@ -140,13 +241,13 @@ def _(spark, sf):
 
 @register("m8_residuals")
 def _(spark, sf):
-    return _fitted(spark, sf)[1].select(*K, "date", "residual")
+    return sarimax.fit_exact(panel_series(spark, sf), K, holidays=HOLIDAYS)["fitted"].select(*K, "date", "residual")
 
 
 @register("m8_residual_rows", oracle(
     "SELECT product_id, store_id, count(*) AS n, count(*) AS n_known, min(date) AS first, max(date) AS last FROM sales GROUP BY ALL", dates="first last"))
 def _(spark, sf):
-    return _fitted(spark, sf)[1].groupBy(*K).agg(
+    return sarimax.fit_exact(panel_series(spark, sf), K, holidays=HOLIDAYS)["fitted"].groupBy(*K).agg(
         F.count("*").alias("n"), F.count("residual").alias("n_known"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
@@ -174,9 +275,10 @@ def _(spark, sf):
 
 @register("m13_sarimax_run")
 def _(spark, sf):
-    out = sarimax.run(total_series(spark, sf), holidays=HOLIDAYS)
-    return out["cv_average"].select("folds", "avg_rmse", "avg_mae", "avg_mape").withColumn(
-        "holdout_rmse", out["metrics"].select("rmse").scalar())
+    out = sarimax.run(panel_series(spark, sf), K, holidays=HOLIDAYS)
+    holdout = out["metrics"].select(*K, F.col("rmse").alias("holdout_rmse"))
+    tests = out["ljung_box"].select(*K, F.col("p_value").alias("ljung_box_p")).join(out["shapiro"].select(*K, F.col("p_value").alias("shapiro_p")), list(K))
+    return out["orders"].join(out["cv_average"], list(K), "left").join(holdout, list(K), "left").join(tests, list(K), "left")
 
 
 # --- structural model -------------------------------------------------------

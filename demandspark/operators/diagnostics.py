@@ -19,7 +19,7 @@ from demandspark.functions.stats import (
     polynomial,
 )
 from demandspark.operators.panel import series_window, whole_series
-from demandspark.schema import SEASONAL_PERIOD, TOTAL
+from demandspark.schema import KPSS_LIMIT, SEASONAL_PERIOD, STRENGTH_LIMIT, TOTAL
 
 # ---------------------------------------------------------------------------
 # Coefficients published by Royston (1995), highest power first.
@@ -130,6 +130,46 @@ def shapiro_wilk(
         *keys, "n", "statistic", "p_value", (F.col("p_value") >= alpha).alias("normal"), (n > largest).alias("extrapolated"))
 
 
+def kpss(
+    df: DataFrame, value: str = "total_sales", keys: Sequence[str] = TOTAL, index: str = "date", largest_lag: int = 24,
+) -> DataFrame:
+    """(keys, n, statistic, stationary): is the level stationary (Kwiatkowski et al. 1992)?
+
+    Bartlett weights up to lag trunc(4 (n/100)^(1/4)), which reaches ``largest_lag`` only at over
+    150,000 days; ``stationary`` is at the 5% point. A constant series has statistic 0.
+    """
+    if largest_lag < 1:
+        raise ValueError("largest_lag must be positive")
+    w, e, n = series_window(keys, index), F.col("_e"), F.col("n")
+    centred = df.filter(F.col(value).isNotNull()).withColumn("_e", F.col(value) - F.avg(value).over(whole_series(keys)))
+    running = F.sum(e).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    lagged = {f"_c{j}": e * F.lag(e, j).over(w) for j in range(1, largest_lag + 1)}
+    sums = centred.withColumns({"_s": running, **lagged}).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(F.col("_s") ** 2).alias("_ss"), F.sum(e * e).alias("_c0"), F.sum(F.col(value) ** 2).alias("_yy"),
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in lagged])
+    lags = F.floor(4.0 * F.pow(n / 100.0, F.lit(0.25)))
+    long_run = F.col("_c0")
+    for j in range(1, largest_lag + 1):
+        long_run = long_run + F.when(lags >= j, 2.0 * (1.0 - j / (lags + 1.0)) * F.col(f"_c{j}")).otherwise(0.0)
+    statistic = F.when(long_run > 1e-12 * F.col("_yy"), F.col("_ss") / (n * long_run)).otherwise(0.0)
+    return sums.withColumn("statistic", statistic).select(*keys, "n", "statistic", (F.col("statistic") <= KPSS_LIMIT).alias("stationary"))
+
+
+def seasonal_strength(
+    df: DataFrame, value: str = "total_sales", period: int = SEASONAL_PERIOD, keys: Sequence[str] = TOTAL, index: str = "date",
+) -> DataFrame:
+    """(keys, n, strength, seasonal): 1 - var(remainder) / var(seasonal + remainder), at least 0.
+
+    ``seasonal`` says whether it asks for a seasonal difference. A series without variation has strength 0.
+    """
+    parts = decompose(df, value, period, keys, index)
+    sums = parts.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.var_samp("remainder").alias("_r"), F.var_samp(F.col("seasonal") + F.col("remainder")).alias("_a"),
+        F.sum(F.col("observed") ** 2).alias("_yy"))
+    strength = F.when(F.col("_a") > 1e-12 * F.col("_yy"), F.greatest(F.lit(0.0), 1.0 - F.col("_r") / F.col("_a"))).otherwise(0.0)
+    return sums.withColumn("strength", strength).select(*keys, "n", "strength", (F.col("strength") > STRENGTH_LIMIT).alias("seasonal"))
+
+
 def decompose(
     df: DataFrame, value: str = "total_sales", period: int = SEASONAL_PERIOD,
     keys: Sequence[str] = TOTAL, index: str = "date",

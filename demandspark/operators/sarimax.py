@@ -1,4 +1,9 @@
-"""Seasonal ARIMA with regressors for many series: two-stage least squares.
+"""Seasonal ARIMA with regressors for many series.
+
+``train``, ``evaluate_holdout``, ``cross_validate`` and the order searches take one pass over each
+series (``arima``): orders by two-stage least squares or exact likelihood, the fit always by exact
+likelihood. ``fit`` and ``forecast`` are the two-stage fit of given orders by distributed Gram
+matrices, for series too long for one task.
 
 Hannan and Rissanen (1982): a long autoregression gives innovations, then the
 ARMA terms are one regression on lagged values and lagged innovations.
@@ -6,15 +11,12 @@ Innovations are linear in the lagged values, so one Gram matrix of the lag
 vector (1, w[t-H], ..., w[t]) determines the long autoregression, the
 innovations and, because differencing is linear too, every candidate of every
 differencing: a grid of any size is one pass over the rows.
-Seasonal terms enter as lags m, 2m, ... . Estimates differ from exact maximum
+Its seasonal terms enter as lags m, 2m, ... . Estimates differ from exact maximum
 likelihood.
-
-A cross-validation fold or a holdout split is just one more series key.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
@@ -25,6 +27,7 @@ from pyspark.sql import types as T
 
 from demandspark.functions.calendar import Holidays
 from demandspark.functions.metrics import evaluate
+from demandspark.operators import arima
 from demandspark.operators.diagnostics import ljung_box, shapiro_wilk
 from demandspark.operators.gram import (
     attach,
@@ -32,15 +35,21 @@ from demandspark.operators.gram import (
     gram_partials,
     key_fields,
     least_squares,
-    residual_sum,
     solve_per_series,
     spread,
 )
 from demandspark.operators.grids import ORDER_COLUMNS, best_candidate
+from demandspark.operators.lags import (
+    ar_lags,
+    candidates,  # noqa: F401
+    difference_weights,
+    innovation_basis,
+    lagged_basis,
+    largest_root,
+    pick_lag,
+)
 from demandspark.operators.panel import (
-    expanding_folds,
     future_dates,
-    holdout_split,
     last_rows,
     series_window,
     whole_series,
@@ -57,7 +66,7 @@ from demandspark.schema import (
     TOTAL,
 )
 
-LONG_AR = 2 * SEASONAL_PERIOD
+LONG_AR = arima.LONG_AR
 Z95 = 1.96
 # relative ridge where a series has no more rows than its order has columns
 SHORT_RIDGE = 0.1
@@ -68,78 +77,12 @@ DOUBLES = T.ArrayType(T.DoubleType())
 ORDER_FIELDS = [T.StructField(c, T.IntegerType()) for c in ORDERS]
 
 
-def candidates(limits: Mapping[str, int], period: int | None) -> list[tuple[int, ...]]:
-    """(grid_id, p, d, q, P, D, Q); without a period the seasonal orders are 0."""
-    top = [limits[k] if period or k.islower() else 0 for k in ORDER_COLUMNS]
-    out = []
-    # the first name varies fastest, so the product runs over the reversed names
-    for number, back in enumerate(itertools.product(*[range(t + 1) for t in reversed(top)])):
-        p, d, q, sp, sd, sq = reversed(back)
-        if period and (p + q == 0 or sp + sq == 0):
-            continue
-        out.append((number, p, d, q, sp, sd, sq))
-    return out
-
-
-def difference_weights(d: int, seasonal_d: int, period: int) -> dict[int, float]:
-    """Coefficients by lag of (1-B)^d (1-B^m)^D."""
-    poly = np.array([1.0])
-    seasonal = np.zeros(period + 1)
-    seasonal[0], seasonal[-1] = 1.0, -1.0
-    for factor in [np.array([1.0, -1.0])] * d + [seasonal] * seasonal_d:
-        poly = np.convolve(poly, factor)
-    return {lag: float(c) for lag, c in enumerate(poly) if c}
-
-
 def _combine(weights: Mapping[int, float], lagged: Mapping[int, Column]) -> Column:
     return sum((lagged[lag] * c for lag, c in weights.items() if lag), lagged[0])
 
 
-def _ar_lags(order: Sequence[int], period: int) -> list[int]:
-    """Lags of an order pair (non-seasonal, seasonal)."""
-    return [*range(1, order[0] + 1), *(period * j for j in range(1, order[1] + 1))]
-
-
-def _with_lag_vector(rows: DataFrame, keys: Sequence[str], span: int) -> DataFrame:
-    """Adds x = (1, w[t-span], ..., w[t]) and y = w; rows without full history are dropped."""
-    recent = F.collect_list("w").over(series_window(keys).rowsBetween(-span, 0))
-    lagged = rows.withColumn("x", F.concat(F.array(F.lit(1.0)), recent)).withColumn("y", F.col("w"))
-    return lagged.filter(F.size("x") == span + 2)
-
-
-def _pick_lag(span: int, lag: int) -> np.ndarray:
-    v = np.zeros(span + 2)
-    v[span + 1 - lag] = 1.0
-    return v
-
-
-def _innovation_basis(g: np.ndarray, n: int, span: int, long_ar: int) -> np.ndarray:
-    """The innovation of the current row as weights on its lag vector."""
-    order = max(1, min(long_ar, n // 4))  # a short series supports fewer lags
-    block = [0, *(span + 1 - i for i in range(1, order + 1))]
-    coef = least_squares(g[np.ix_(block, block)], g[block, span + 1])
-    v = _pick_lag(span, 0)
-    v[block] -= coef
-    return v
-
-
-def _lagged_basis(v: np.ndarray, lag: int) -> np.ndarray:
-    """The same linear form ``lag`` rows earlier (the constant stays)."""
-    out = np.zeros_like(v)
-    out[0] = v[0]
-    out[1:-lag] = v[1 + lag:]
-    return out
-
-
-def _largest_root(lags: Sequence[int], coef: np.ndarray) -> float:
-    """Largest modulus of the lag polynomial's inverse roots; below 1 is stable."""
-    if not len(lags):
-        return 0.0
-    dense = np.zeros(max(lags))
-    dense[np.asarray(lags) - 1] = coef
-    companion = np.eye(len(dense), k=-1)
-    companion[0] = dense
-    return float(np.max(np.abs(np.linalg.eigvals(companion))))
+def _without_design(series: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    return with_design(series.select(*keys, "date", F.col(value).cast("double").alias("value")), regressors=False)
 
 
 def search_orders(
@@ -148,72 +91,21 @@ def search_orders(
     value: str = "total_sales",
     limits: Mapping[str, int] = ARIMA_RUN_GRID,
     period: int | None = SEASONAL_PERIOD,
-    long_ar: int = LONG_AR,
 ) -> DataFrame:
-    """AIC of every candidate order of every series.
+    """Two-stage AIC of every candidate order of every series, scaled to all rows of the series.
 
-    All candidates are scored on the same rows of a series. A candidate that
-    cannot be fitted, or whose AR or MA part is unstable, scores infinity.
+    ``n_eff`` rows are left after differencing. A candidate that has too few for its columns, or whose
+    AR or MA part is unstable, scores infinity.
     """
-    grid = candidates(limits, period)
-    m = period or 1
-    top = [max(c[i] for c in grid) for i in range(1, 7)]
-    ar, ma = _ar_lags((top[0], top[3]), m), _ar_lags((top[2], top[5]), m)
-    span = long_ar + max([1, *ar, *ma])
-    whole = span + top[1] + m * top[4]
-    rows = spread(series.select(*keys, "date", F.col(value).cast("double").alias("w")), keys)
-    design = _with_lag_vector(rows, keys, whole)
-
-    def differenced(d: int, sd: int) -> np.ndarray:
-        """Lag vector of the differenced series as weights on that of the series."""
-        out = np.zeros((whole + 2, span + 2))
-        out[0, 0] = 1.0
-        for lag in range(span + 1):
-            for back, c in difference_weights(d, sd, m).items():
-                out[whole + 1 - lag - back, span + 1 - lag] = c
-        return out
-
-    place = {("w", n): i for i, n in enumerate(ar, 1)}
-    place |= {("e", n): i for i, n in enumerate(ma, 1 + len(ar))}
-
-    def solver(_key, n, levels, _xty, _yty):
-        out, blocks = [], {}
-        for number, p, d, q, sp, sd, sq in grid:
-            if (d, sd) not in blocks:
-                move = differenced(d, sd)
-                g = move.T @ levels @ move
-                e = _innovation_basis(g, n, span, long_ar)
-                basis = [np.eye(span + 2)[0]] + [_pick_lag(span, x) for x in ar]
-                basis = np.column_stack(basis + [_lagged_basis(e, x) for x in ma])
-                now = span + 1
-                blocks[d, sd] = basis.T @ g @ basis, basis.T @ g[:, now], g[now, now]
-            xtx, xty, yty = blocks[d, sd]
-            own_ar, own_ma = _ar_lags((p, sp), m), _ar_lags((q, sq), m)
-            block = [0] if d + sd == 0 else []
-            block += [place["w", x] for x in own_ar] + [place["e", x] for x in own_ma]
-            sigma2 = aic = float("inf")
-            if n > len(block) + 1:
-                part = xtx[np.ix_(block, block)]
-                coef = least_squares(part, xty[block]) if block else np.zeros(0)
-                sigma2 = residual_sum(coef, part, xty[block], yty) / n
-                arma = coef[len(block) - len(own_ar) - len(own_ma):]
-                root = max(
-                    _largest_root(own_ar, arma[: len(own_ar)]),
-                    _largest_root(own_ma, -arma[len(own_ar):]),
-                )
-                if root < 1.0:
-                    aic = n * np.log(max(sigma2, 1e-12)) + 2.0 * (len(block) + 1)
-            out.append((number, p, d, q, sp, sd, sq, n, sigma2, float(aic)))
-        return out
-
-    fields = [
-        T.StructField("grid_id", T.IntegerType()),
-        *ORDER_FIELDS,
-        T.StructField("n_eff", T.LongType()),
-        T.StructField("sigma2", T.DoubleType()),
-        T.StructField("aic", T.DoubleType()),
-    ]
-    return solve_per_series(gram_partials(design, keys), keys, solver, fields)
+    rows = _without_design(series, keys, value)
+    fits = arima.fit_series(rows, keys, limits, period, select="grid", keep=("grid",), fit=False)
+    scored = arima.exploded(fits, keys, "grid", ("grid_id", "n_eff", "sigma2", "aic"))
+    step, columns = 1, []
+    for name, column in ORDER_COLUMNS.items():
+        size = limits[name] + 1 if period or name.islower() else 1
+        columns.append(F.expr(f"CAST(grid_id DIV {step} % {size} AS INT)").alias(column))
+        step *= size
+    return scored.select(*keys, "grid_id", *columns, "n_eff", "sigma2", "aic")
 
 
 def best_orders(scored: DataFrame, keys: Sequence[str] = TOTAL) -> DataFrame:
@@ -226,9 +118,17 @@ def auto_orders(
     value: str = "total_sales",
     limits: Mapping[str, int] = ARIMA_DEFAULT_GRID,
     period: int | None = None,
+    exact: bool = True,
 ) -> DataFrame:
-    """Best order per series over the default grid, non-seasonal unless a period is given."""
-    return best_orders(search_orders(series, keys, value, limits, period), keys)
+    """(keys, orders, status, n, score): differencing by tests, then neighbour steps, for every series.
+
+    A strong season asks for a seasonal difference, a level that is not stationary for plain ones.
+    Neighbours are compared by corrected AIC of the exact likelihood, or, with ``exact`` off, by
+    two-stage AIC. Non-seasonal unless a period is given.
+    """
+    rows = _without_design(series, keys, value)
+    fits = arima.fit_series(rows, keys, limits, period, select="exact" if exact else "auto", keep=(), fit=False)
+    return fits.select(*keys, *ORDERS, "status", "n", "score")
 
 
 def with_design(series: DataFrame, holidays: Holidays = MODEL_HOLIDAYS, regressors: bool = True) -> DataFrame:
@@ -301,7 +201,7 @@ def fit(
     """
     m = period or 1
     limits = {k: v if period or k.islower() else 0 for k, v in limits.items()}
-    ar, ma = _ar_lags((limits["p"], limits["P"]), m), _ar_lags((limits["q"], limits["Q"]), m)
+    ar, ma = ar_lags((limits["p"], limits["P"]), m), ar_lags((limits["q"], limits["Q"]), m)
     span = long_ar + max([1, *ar, *ma])
     ordered = attach(
         spread(train.select(*keys, "date", F.col(value).cast("double").alias("value"), "xreg"), keys),
@@ -324,10 +224,10 @@ def fit(
     def solver(key, n, g, _xty, _yty):
         """Sub-block of the series' own order, shrunk to stability if need be."""
         width, head = len(g), span + 2
-        own_ar = _ar_lags((key["p"], key["seasonal_p"]), m)
-        own_ma = _ar_lags((key["q"], key["seasonal_q"]), m)
-        e = _innovation_basis(g[:head, :head], n, span, long_ar)
-        terms = [_pick_lag(span, x) for x in own_ar] + [_lagged_basis(e, x) for x in own_ma]
+        own_ar = ar_lags((key["p"], key["seasonal_p"]), m)
+        own_ma = ar_lags((key["q"], key["seasonal_q"]), m)
+        e = innovation_basis(g[:head, :head], n, span, long_ar)
+        terms = [pick_lag(span, x) for x in own_ar] + [lagged_basis(e, x) for x in own_ma]
         terms = [np.concatenate([t, np.zeros(width - head)]) for t in terms]
         # the constant belongs to undifferenced series only
         outside = [0] if key["d"] + key["seasonal_d"] == 0 else []
@@ -345,7 +245,7 @@ def fit(
         dense = {"ar": np.zeros(max([1, *ar])), "ma": np.zeros(max([1, *ma]))}
         parts = (("ar", own_ar, arma[: len(own_ar)], 1.0), ("ma", own_ma, arma[len(own_ar):], -1.0))
         for name, lags, part, sign in parts:
-            root = _largest_root(lags, sign * part)
+            root = largest_root(lags, sign * part)
             shrink = 0.99 / root if root >= 1.0 else 1.0
             for lag, c in zip(lags, part):
                 dense[name][lag - 1] = c * shrink**lag
@@ -450,42 +350,32 @@ def forecast(
     return state.mapInPandas(recurse, schema)
 
 
-def score(
-    train: DataFrame,
-    test: DataFrame,
-    keys: Sequence[str],
-    limits: Mapping[str, int] = ARIMA_DEFAULT_GRID,
-    period: int | None = None,
-    holidays: Holidays = MODEL_HOLIDAYS,
-    regressors: bool = True,
-) -> DataFrame:
-    """(keys, model, date, actual, predicted): orders and coefficients from ``train`` only."""
-    orders = cut_lineage(auto_orders(train, keys, limits=limits, period=period))
-    known = with_design(train, holidays, regressors)
-    coefficients, fitted = fit(known, orders, keys, limits=limits, period=period)
-    ahead = with_design(test, holidays, regressors)
-    predicted = forecast(coefficients, fitted, known, ahead, keys, limits, period)
-    actual = test.select(*keys, "date", F.col("total_sales").alias("actual"))
-    return predicted.join(actual, [*keys, "date"]).select(
-        *keys, "model", "date", "actual", F.col("yhat").alias("predicted")
-    )
+def _ahead(fits: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    found = arima.exploded(fits, keys, "ahead", ("date", "actual", "yhat", "lower", "upper"), extra)
+    return found.withColumn("model", F.lit(MODEL))
 
 
 def cross_validate(
-    series: DataFrame, keys: Sequence[str] = TOTAL, k: int = 5, **options
+    series: DataFrame,
+    keys: Sequence[str] = TOTAL,
+    k: int = 5,
+    limits: Mapping[str, int] = ARIMA_DEFAULT_GRID,
+    period: int | None = SEASONAL_PERIOD,
+    holidays: Holidays = MODEL_HOLIDAYS,
+    regressors: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(per-fold metrics, their averages per series) over expanding windows.
 
-    Every fold with training rows has a row. One whose training rows are too few for any
-    order has n = 0, NULL metrics and ``fitted`` false; averages are over the others.
+    Orders and coefficients of a fold come from its training rows only. Every fold with training rows has a
+    row. One whose training rows are too few for any fit has n = 0, NULL metrics and ``fitted``
+    false; averages are over the others.
     """
-    folds = expanding_folds(series, k, keys)
-    train = folds.filter("split = 'train'").drop("split")
-    test = folds.filter("split = 'test'").drop("split")
+    rows = with_design(series, holidays, regressors).withColumnRenamed("total_sales", "value")
+    fits = cut_lineage(arima.fit_series(
+        rows, keys, limits, period, arima.expanding_units(k), "auto", ("ahead",)).withColumnRenamed("unit", "fold"))
     keyed = [*keys, "fold"]
-    scored = evaluate(score(train, test, keyed, **options), keyed)
-    # a fold may be unfitted: the rows to test say which folds there are
-    spine = test.groupBy(*keyed).agg(F.count("*").alias("n_test"))
+    scored = evaluate(_ahead(fits, keys, ["fold"]).withColumnRenamed("yhat", "predicted"), keyed)
+    spine = fits.select(*keyed, F.col("n_ahead").alias("n_test"))
     per_fold = spine.join(scored.withColumn("fitted", F.lit(True)), keyed, "left").withColumns(
         {c: F.coalesce(c, F.lit(empty)) for c, empty in (("n", 0), ("n_undefined", 0), ("fitted", False))})
     averages = per_fold.groupBy(*keys).agg(
@@ -496,16 +386,52 @@ def cross_validate(
 
 
 def evaluate_holdout(
-    series: DataFrame, keys: Sequence[str] = TOTAL, days: int = HOLDOUT_DAYS, **options
+    series: DataFrame,
+    keys: Sequence[str] = TOTAL,
+    days: int = HOLDOUT_DAYS,
+    limits: Mapping[str, int] = ARIMA_DEFAULT_GRID,
+    period: int | None = SEASONAL_PERIOD,
+    holidays: Holidays = MODEL_HOLIDAYS,
+    regressors: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(scored rows, metrics per series) on the dates at or after last - days."""
-    split = holdout_split(series, days, keys)
-    train = split.filter("split = 'train'").drop("split")
-    test = split.filter("split = 'test'").drop("split")
-    scored = score(train, test, keys, **options)
+    rows = with_design(series, holidays, regressors).withColumnRenamed("total_sales", "value")
+    fits = arima.fit_series(rows, keys, limits, period, arima.holdout_unit(days), "auto", ("ahead",))
+    scored = cut_lineage(_ahead(fits, keys).select(*keys, "model", "date", "actual", F.col("yhat").alias("predicted")))
     return scored, evaluate(scored, [*keys, "model"])
 
 
+def fit_exact(
+    series: DataFrame,
+    keys: Sequence[str] = TOTAL,
+    horizon: int = HORIZON,
+    holidays: Holidays = MODEL_HOLIDAYS,
+    regressors: bool = True,
+    select: str | Sequence[int] = "grid",
+    limits: Mapping[str, int] = ARIMA_RUN_GRID,
+    period: int | None = SEASONAL_PERIOD,
+) -> dict[str, DataFrame]:
+    """Orders, coefficients, fitted rows and forecast of every series, from one pass over it.
+
+    ``select`` is ``grid``, ``auto``, ``exact`` or one order (p, d, q, P, D, Q) for all series. ``beta`` starts with the
+    constant of the difference equation; ``terms`` are the weights of the four polynomials in the order AR, MA,
+    seasonal AR, seasonal MA. Every row of a series with a fit has a residual: rows that differencing uses up
+    take the first value for those before it. ``status`` tells what a short series went without.
+    """
+    known = with_design(series, holidays, regressors).select(*keys, "date", F.col("total_sales").alias("value"), "xreg")
+    ahead = with_design(future_dates(series, horizon, keys), holidays, regressors)
+    rows = known.unionByName(ahead.select(*keys, "date", F.lit(None).cast("double").alias("value"), "xreg"))
+    fits = cut_lineage(arima.fit_series(rows, keys, limits, period, select=select))
+    fitted = arima.exploded(fits, keys, "rows", ("date", "value", "w", "residual"))
+    coefficients = ("ar", "ma", "terms", "beta", "sigma2", "log_likelihood", "aic")
+    return {
+        "orders": fits.select(*keys, *ORDERS, "status", "n", "n_eff", "sigma2", "aic"),
+        "coefficients": fits.select(*keys, *ORDERS, "status", "n_eff", *coefficients),
+        "fitted": fitted.withColumn("residual", F.when(~F.isnan("residual"), F.col("residual"))),
+        "forecast": _ahead(fits, keys).select(*keys, "model", "date", "yhat", "lower", "upper"),
+    }
+
+
 def train(
     series: DataFrame,
     keys: Sequence[str] = TOTAL,
@@ -516,20 +442,14 @@ def train(
     limits: Mapping[str, int] | None = None,
     period: int | None = SEASONAL_PERIOD,
 ) -> dict[str, DataFrame]:
-    """Order search, fit, residual diagnostics and forecast for every series."""
+    """Order search, exact fit, residual diagnostics and forecast for every series."""
     limits = limits or (ARIMA_RUN_GRID if grid_search else ARIMA_DEFAULT_GRID)
-    searched = search_orders(series, keys, limits=limits, period=period)
-    orders = cut_lineage(best_orders(searched, keys))
-    known = with_design(series, holidays, regressors)
-    coefficients, fitted = fit(known, orders, keys, limits=limits, period=period)
-    ahead = with_design(future_dates(series, horizon, keys), holidays, regressors)
-    return {
-        "orders": orders,
-        "coefficients": coefficients,
+    out = fit_exact(series, keys, horizon, holidays, regressors, "grid" if grid_search else "exact", limits, period)
+    fitted = out.pop("fitted")
+    return out | {
         "residuals": fitted.select(*keys, "date", "residual"),
         "ljung_box": ljung_box(fitted, keys=keys),
         "shapiro": shapiro_wilk(fitted, keys=keys),
-        "forecast": forecast(coefficients, fitted, known, ahead, keys, limits, period),
     }
 
 

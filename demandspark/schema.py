@@ -109,6 +109,9 @@ DAYS_PER_YEAR = 365
 ARIMA_RUN_GRID = {"p": 2, "d": 1, "q": 2, "P": 1, "D": 1, "Q": 1}
 ARIMA_DEFAULT_GRID = {"p": 3, "d": 2, "q": 3, "P": 2, "D": 1, "Q": 2}
 SEASONAL_PERIOD = 7
+# 5% point of the level stationarity statistic; strength of a season that asks for a seasonal difference
+KPSS_LIMIT = 0.463
+STRENGTH_LIMIT = 0.64
 
 STRUCTURAL_GRID = {
     "changepoint_prior_scale": [0.001, 0.01, 0.05, 0.1, 0.5],
