@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandspark.llm.shared import free_names
+
 LINES = 3
 
 
@@ -60,10 +62,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     given twice: both keep its first occurrences. Documents without an id come last in the
     order. A text all of whose lines are covered becomes empty.
     """
-    cut = covered_lines(docs, doc_id, text).select(F.col("doc_id").alias("_cut_id"), F.col("doc_key").alias("_cut_key"), F.col("covered").alias("_covered"))
-    same = F.col(doc_id).eqNullSafe(F.col("_cut_id")) & (_doc_key(text) == F.col("_cut_key"))
+    cut_id, cut_key, gone, own = free_names(docs, "cut_id", "cut_key", "gone", "own_key")
+    cut = covered_lines(docs, doc_id, text).select(F.col("doc_id").alias(cut_id), F.col("doc_key").alias(cut_key), F.col("covered").alias(gone))
+    marked = docs.withColumn(own, _doc_key(text))
+    marked = marked.join(cut, F.col(doc_id).eqNullSafe(F.col(cut_id)) & (F.col(own) == F.col(cut_key)), "left")
     lines = F.split(F.col(text), "\n", -1)
-    rest = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_covered"), i))
-    marked = docs.join(cut, same, "left")
-    new = F.when(F.col("_covered").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
+    # a set difference of line numbers: its work grows with the lines, not with their square
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    rest = F.transform(left, lambda i: F.get(lines, i))
+    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
     return marked.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

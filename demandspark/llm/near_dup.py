@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.shared import components, in_batches, lower_words, stage
+from demandspark.llm.shared import components, free_names, in_batches, lower_words, stage
 
 WORDS = 5
 K = 64
@@ -297,12 +297,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group, with all columns: the one with the smallest doc_id.
 
-    Rows that repeat a kept row's id and text go too; documents without words stay.
+    Rows that repeat a kept row's id and text go too; documents without words stay. Rows without
+    an id stay if one of them does.
     """
+    kept_id, often_id = free_names(docs, "kept_id", "often_id")
     found = near_duplicates(docs, doc_id, text)
-    kept = found.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    own = docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    often = found.filter("kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_often_id"))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_often_id"))
+    kept = found.filter("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    own = docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
+    often = found.filter("kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(often_id))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(often_id))
     once = own.join(often, same, "left_anti")
     return once.unionByName(own.join(often, same, "left_semi").dropDuplicates([doc_id, text]))

@@ -41,6 +41,17 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it no column of ``df``, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Runs of characters other than ASCII white space, A-Z lower-cased, as UTF-8."""
     return text.encode("utf-8", "replace").translate(LOWER_ASCII).split() if text else []

@@ -16,7 +16,7 @@ def brute(rows):
 
 
 def run(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS at", "2 AS covered", "3 AS doc_key", "4 AS x")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS at", "2 AS covered", "3 AS doc_key", "4 AS x", "5 AS _cut_id", "6 AS cut_key", "7 AS gone", "8 AS _gone", "9 AS OWN_KEY")
     got = line_dedup.dedup_lines(df)
     assert got.columns == df.columns
     return sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect())
@@ -41,3 +41,10 @@ def test_short_texts_repeat_as_a_whole(spark):
 def test_empty_table(spark):
     assert run(spark, spark.createDataFrame([], "doc_id long, text string").collect() or [(1, None)]) == [("1", "None")]
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    passage = "\n".join(f"line {i} of the passage" for i in range(40_000))
+    rows = [(1, passage), (2, passage + "\nown"), (3, "head\n" + passage)]
+    got = dict(map(tuple, line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == {1: passage, 2: "own", 3: "head"}
