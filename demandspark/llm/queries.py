@@ -63,16 +63,18 @@ WITH lines AS (
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
   FROM documents WHERE text IS NOT NULL
 ),
+counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS size FROM lines),
 win AS (
   SELECT * FROM (
-    SELECT doc_id, pos, line AS a,
+    SELECT doc_id, pos, least(size, 3) AS size, line AS a,
            lead(line) OVER w AS b, lead(line, 2) OVER w AS c
-    FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
-  ) WHERE c IS NOT NULL AND NOT (trim(a) = '' AND trim(b) = '' AND trim(c) = '')
+    FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+  ) WHERE (c IS NOT NULL OR (size < 3 AND pos = 0))
+    AND NOT (trim(a) = '' AND coalesce(trim(b), '') = '' AND coalesce(trim(c), '') = '')
 ),
 later AS (
   SELECT doc_id, pos FROM (
-    SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS rn FROM win
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY size, a, b, c ORDER BY doc_id, pos) AS rn FROM win
   ) WHERE rn > 1
 ),
 covered AS (
@@ -205,18 +207,22 @@ def op4(spark, sf_dir):
 
 
 OP7_SQL = """
-WITH turns AS (
-  SELECT conv_id, turn, replace(coalesce(role, 'user'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
-         max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last,
-         first_value(replace(coalesce(text, ''), '<|', '< |')) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS opening
+WITH given AS (
+  SELECT conv_id, turn, role = 'assistant' AS reply, replace(coalesce(role, 'user'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations WHERE conv_id IS NOT NULL
 ),
+turns AS (
+  SELECT *, coalesce(bool_or(reply AND turn IS NULL) OVER c, FALSE) AS last_has_no_number, max(CASE WHEN reply THEN turn END) OVER c AS last,
+         first_value(text) OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS opening
+  FROM given WINDOW c AS (PARTITION BY conv_id)
+),
 sides AS (
-  SELECT conv_id, side, role, CASE WHEN side = 'r' AND turn = last AND role = 'assistant' THEN opening ELSE text END AS text, turn
-  FROM turns, (VALUES ('c'), ('r')) AS s(side) WHERE turn <= last
+  SELECT conv_id, side, role, turn,
+         CASE WHEN side = 'r' AND reply AND (CASE WHEN last_has_no_number THEN turn IS NULL ELSE turn = last END) THEN opening ELSE text END AS text
+  FROM turns, (VALUES ('c'), ('r')) AS s(side)
 ),
 numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, role, text) AS i,
+  SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS LAST, role, text) AS i,
          '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line,
          length(role) + 5 AS head, length(role) + length(text) + 13 AS size
   FROM sides
