@@ -13,30 +13,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandspark.llm.shared import free_names
+
 WORDS = 5
 K = 256
 # ids are put in order in groups of so many bits
 BITS = 12
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPAN = float(1 << 64)
 
 
 def with_sketch(df: DataFrame, text: str, name: str, words: int = WORDS, k: int = K) -> DataFrame:
     """Adds ``name``, the sketch of column ``text`` (array<bigint>).
 
-    Words are runs of characters other than ASCII white space, A-Z lower-cased. A text of
+    Words are runs of characters other than ASCII white space, lower-cased. A text of
     fewer words than a shingle has one shingle, all of it; one without words, or null, has an
     empty sketch.
     """
-    parts, hashes = _free(df, "words"), _free(df, "hashes")
-    cut = F.split(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), "[ \\t-\\r]+", -1)
+    parts, hashes, joined, part = free_names(df, "words", "hashes", "joined", "part")
+    cut = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[ \\t-\\r]+", -1)
     df = df.withColumn(parts, F.array_remove(cut, ""))
     df = df.withColumn(hashes, F.transform(parts, lambda w: F.xxhash64(w)))
-    n, at = F.size(hashes), F.col(hashes)
-    shingles = F.transform(F.sequence(F.lit(0), n - words), lambda i: F.xxhash64(*[at[i + j] for j in range(words)]))
+    # hashes of 1, 2, 4, ... words from those of half as many, then what is missing to a shingle
+    n, at, size = F.size(hashes), F.col(hashes), 1
+    count = F.greatest(n - words + 1, F.lit(0))
+    both = lambda a, i, b, j, m: F.zip_with(F.slice(a, i + 1, m), F.slice(b, j + 1, m), lambda x, y: F.xxhash64(x, y))
+    df = df.withColumn(joined, at)
+    while 2 * size <= words:
+        df = df.withColumn(joined, both(F.col(joined), 0, F.col(joined), size, F.greatest(n - 2 * size + 1, F.lit(0))))
+        size *= 2
+    rest = F.col(joined)
+    for i in range(size, words):
+        rest = both(rest, 0, at, i, count)
     all_of_it = F.when(n > 0, F.array(F.xxhash64(at))).otherwise(F.array().cast("array<bigint>"))
-    values = F.when(n >= words, shingles).otherwise(all_of_it)
-    return df.withColumn(name, F.slice(F.sort_array(F.array_distinct(values)), 1, k)).drop(parts, hashes)
+    df = df.withColumn(part, F.when(n >= words, rest).otherwise(all_of_it))
+    return df.withColumn(name, F.slice(F.sort_array(F.array_distinct(part)), 1, k)).drop(parts, hashes, joined, part)
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:
@@ -46,7 +56,7 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 
 def merge_parts(sketches: DataFrame, keys: Sequence[str], sketch: str, k: int = K, salts: int = 64) -> DataFrame:
     """(keys, sketch) of all rows of a key. No key is gathered: k values of each of ``salts`` parts meet."""
-    value, salt, place = (_free(sketches, c) for c in ("value", "salt", "place"))
+    value, salt, place = free_names(sketches, "value", "salt", "place")
     values = sketches.select(*keys, F.explode_outer(sketch).alias(value)).withColumn(salt, F.pmod(F.xxhash64(value), F.lit(salts)))
     # equal values meet in one part, so the parts hold different ones
     values = values.groupBy(*keys, salt, value).agg(F.lit(1).alias(place)).drop(place)
@@ -97,7 +107,8 @@ def following(ids: DataFrame, name: str) -> DataFrame:
     # each level: (at, first id, group of the next level, next id in the group)
     level, tables = found.select(F.col("id").alias("at"), "id"), []
     for _ in range(levels):
-        group = F.shiftright("at", BITS)
+        # on the top level at most 2^BITS + 2 groups are left; they meet, whatever their signs
+        group = F.shiftright("at", BITS) if len(tables) < levels - 1 else F.lit(0).cast("long")
         ordered = Window.partitionBy("group").orderBy("at")
         tables.append(level.withColumn("group", group).withColumn("next", F.lead("id").over(ordered)))
         level = level.groupBy(group.alias("at")).agg(F.min("id").alias("id"))
@@ -117,7 +128,7 @@ def fingerprints_beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str
     (doc_id, n_chars, edited, sketch, edited_sketch, next_sketch) for every row of ``docs``.
     The edited text has the last quarter of its characters (rounded down) replaced by the first
     as many (or all) of the next document, in ascending order of the integer ids; after the
-    last comes the first. Of rows that share an id, the one with the least digest of its text is the
+    last comes the first. Of rows that share an id, the one with the least hash of its text is the
     next document. A row without an id has no next: it is not edited, and its next_sketch is
     null. Null texts count as empty. Other columns are ignored.
 
@@ -130,24 +141,19 @@ def fingerprints_beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str
     order = following(placed, "doc_id")
     wanted = placed.groupBy("doc_id").agg(F.max(quarter).alias("most"))
     wanted = wanted.join(order, wanted["doc_id"] == order["id"]).select(F.col("doc_id").alias("before"), F.col("next").alias("at"), "most")
-    own = with_sketch(placed, "text", "sketch", words, k)
-    begun = own.join(wanted, F.col("doc_id") == F.col("at")).select(
-        "before", F.struct(F.sha2("text", 256).alias("digest"), F.expr("substring(text, 1, most)").alias("head"), F.col("sketch").alias("next_sketch")).alias("found"))
+    # both joins read the same exchange of (doc_id, text); sketches are made after it
+    begun = placed.join(wanted, F.col("doc_id") == F.col("at")).select("before", "text", F.expr("substring(text, 1, most)").alias("head"))
+    begun = with_sketch(begun, "text", "next_sketch", words, k).select(
+        "before", F.struct(F.xxhash64("text").alias("digest"), "head", "next_sketch").alias("found"))
     begun = begun.groupBy("before").agg(F.min("found").alias("found"))
-    both = own.join(begun, F.col("doc_id") == F.col("before")).withColumn("m", quarter)
+    both = placed.join(begun, F.col("doc_id") == F.col("before")).withColumn("m", quarter)
     edited = both.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"),
+        "doc_id", "text", F.length("text").cast("long").alias("n_chars"),
         F.concat(F.expr("substring(text, 1, length(text) - m)"), F.expr("substring(found.head, 1, m)")).alias("edited"),
-        "sketch", F.col("found.next_sketch").alias("next_sketch"))
-    alone = with_sketch(base.filter("doc_id IS NULL"), "text", "sketch", words, k).select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.col("text").alias("edited"),
-        "sketch", F.lit(None).cast("array<bigint>").alias("next_sketch"))
-    return with_sketch(edited.unionByName(alone), "edited", "edited_sketch", words, k)
-
-
-def _free(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name = f"_{name}"
-    return name
+        F.col("found.next_sketch").alias("next_sketch"))
+    alone = base.filter("doc_id IS NULL").select(
+        "doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.col("text").alias("edited"),
+        F.lit(None).cast("array<bigint>").alias("next_sketch"))
+    every = with_sketch(edited.unionByName(alone), "text", "sketch", words, k)
+    return with_sketch(every, "edited", "edited_sketch", words, k).drop("text")
+
