@@ -9,8 +9,8 @@
    Texts with many copies (at most ``HOT_TEXTS``) are broadcast, so no copies meet in a task.
 
 Neither tokenizer has a token over a space or line break that follows text, so both end a
-token there. A text is cut at such places, and the parts, which repeat, are aligned once in
-a worker's bounded memory.
+token there. A text is cut at such places, and the parts, which repeat, are remembered by
+each worker up to a bound.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from functools import lru_cache
-from itertools import islice
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +31,9 @@ from demandspark.llm.shared import in_batches, stage
 
 HOT = 1 << 19
 HOT_TEXTS = 4096
-_CACHE = 150_000
-# longer parts are aligned, not remembered
-_CACHED_CHARS = 40
-# pairs that a task gathers before it hands their counts on
-_FLUSH = 1_000_000
+# parts that a worker remembers, and bytes of what it knows of them
+_CACHE = 400_000
+_CACHE_BYTES = 150_000_000
 # longer parts go to the reference library: the fast one may run out of stack on them
 _LONG = 10_000
 _SPACE = r" \t\n\x0b\x0c\r\xa0  -     　"
@@ -86,7 +83,10 @@ class TwoTokenizers:
         # parts are cut apart only where no token of either file can reach over the cut
         self.separable = self.b.encode("a b") == self.b.encode("a") + self.b.encode("b") and not any(
             re.search("[^▁][▁\n]", x) for x in names) and not any("\n" in x and len(x) > 1 for x in names)
-        self.a_names, self.b_names = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(len(names))]
+        self.a_length, self.b_length = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
+        # ids as text, with what may follow them
+        self.a_text, self.b_text = ({end: np.array([f"{i}{end}" for i in range(n)], object) for end in ends}
+                                    for n, ends in ((len(self.a_bytes), ",|"), (len(names), [",", ";", ""])))
 
     def parts(self, text: str) -> list[str]:
         """The text with its leading space, cut where both tokenizers end a token."""
@@ -96,70 +96,129 @@ class TwoTokenizers:
     def encode(self, parts: list[str]) -> list[tuple[list[int], list[int]]]:
         # the piece model puts a space before; a part that begins with a line break loses that piece again
         found = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
-        b = [ids if p[0] == " " else ids[1:] if ids[:1] == [self.space] else [] for p, ids in zip(parts, found, strict=True)]
+        b = [ids or [self.space] if p[0] == " " else ids[1:] if ids[:1] == [self.space] else [] for p, ids in zip(parts, found, strict=True)]
         a = [self.library.encode(p, add_special_tokens=False).ids if len(p) > _LONG or _DOUBTFUL.search(p) else self.fast.encode_ordinary(p) for p in parts]
         return list(zip(a, b, strict=True))
 
-    def align(self, part: str, a: list[int], b: list[int]) -> tuple[int, int, int, str, tuple[int, ...]] | None:
-        """(tokens of A, of B, groups, their ids as text, linked pairs); None unless both give the bytes of the part."""
-        whole = part.encode("utf-8", "replace")
-        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
-            return None
-        pairs, groups = [], []
-        i = j = i0 = j0 = 0
-        end_a, end_b = len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])
-        while True:
-            pairs.append(a[i] << 32 | b[j])
-            if end_a < end_b:
-                i += 1
-                end_a += len(self.a_bytes[a[i]])
-            elif end_b < end_a:
-                j += 1
-                end_b += len(self.b_bytes[b[j]])
-            else:
-                i, j = i + 1, j + 1
-                groups.append(",".join([self.a_names[x] for x in a[i0:i]]) + "|" + ",".join([self.b_names[x] for x in b[j0:j]]))
-                i0, j0 = i, j
-                if i == len(a):
-                    return len(a), len(b), len(groups), ";".join(groups), tuple(pairs)
-                end_a += len(self.a_bytes[a[i]])
-                end_b += len(self.b_bytes[b[j]])
+    def align(self, parts: list[str]) -> list[tuple | None]:
+        """(tokens of A, of B, groups, links, ids of the groups as text, linked pairs) of each part; None unless both give its bytes."""
+        tokens = self.encode(parts)
+        whole = [p.encode("utf-8", "replace") for p in parts]
+        faithful = [b"".join([self.a_bytes[i] for i in a]) == w == b"".join([self.b_bytes[i] for i in b]) for w, (a, b) in zip(whole, tokens, strict=True)]
+        if all(faithful):
+            return self._aligned(whole, tokens)
+        good = [i for i, x in enumerate(faithful) if x]
+        out: list[tuple | None] = [None] * len(parts)
+        for i, x in zip(good, self._aligned([whole[i] for i in good], [tokens[i] for i in good]), strict=True):
+            out[i] = x
+        return out
+
+    def _aligned(self, whole: list[bytes], tokens: list[tuple[list[int], list[int]]]) -> list[tuple]:
+        """All parts laid end to end, so that one pass over the ends of all tokens aligns them."""
+        if not whole:
+            return []
+        n_a, n_b = (np.array([len(t[i]) for t in tokens]) for i in (0, 1))
+        a, b = (np.fromiter((x for t in tokens for x in t[i]), np.int64, n.sum()) for i, n in ((0, n_a), (1, n_b)))
+        end_a, end_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        end = np.cumsum([len(w) for w in whole])
+        # between two ends of any token lies one link, up to an end of both a group
+        either, both = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
+        pairs = a[np.searchsorted(end_a, either)] << 32 | b[np.searchsorted(end_b, either)]
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        last_a, last_b = both[group_a] == end_a, both[group_b] == end_b
+        text = np.empty(len(a) + len(b), object)
+        text[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = np.where(last_a, self.a_text["|"][a], self.a_text[","][a])
+        of_b = np.where(last_b, self.b_text[";"][b], self.b_text[","][b])
+        stop = np.cumsum(n_b) - 1
+        of_b[stop] = self.b_text[""][b[stop]]
+        text[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = of_b
+        texts = text.tolist()
+        to_text, to_link, to_group = (np.concatenate([[0], x]).tolist() for x in (
+            np.cumsum(n_a + n_b), np.searchsorted(either, end, "right"), np.searchsorted(both, end, "right")))
+        out = []
+        for i, (x, y) in enumerate(zip(n_a.tolist(), n_b.tolist(), strict=True)):
+            links, groups = to_link[i + 1] - to_link[i], to_group[i + 1] - to_group[i]
+            out.append((x, y, groups, links, "".join(texts[to_text[i]: to_text[i + 1]]), pairs[to_link[i]: to_link[i + 1]].tobytes()))
+        return out
+
+
+class Aligner:
+    """Parts aligned by both tokenizers, each in a slot; one in each Python worker, whatever the number of its tasks."""
+
+    def __init__(self, byte_bpe: str, pieces: str):
+        self.two = TwoTokenizers(byte_bpe, pieces)
+        self.slot: dict[str, int] = {}
+        self.text: list[str] = []
+        self.pairs: list[bytes] = []
+        self.size = 0
+        self.counts = np.zeros((0, 4), np.int64)
+        # how often since the last count, and how often of late
+        self.times, self.uses = np.zeros(0, np.int64), np.zeros(0)
+        self.generation = 0
+
+    def slots(self, parts: list[str]) -> np.ndarray:
+        """The slot of each part; new parts are aligned all at once. Parts that are not given back have no links."""
+        out = np.fromiter(map(self.slot.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys([parts[i] for i in missing]))
+            found = [x or (0, 0, 0, 0, "", b"") for x in self.two.align(new)]
+            self.slot.update(zip(new, range(len(self.text), len(self.text) + len(new)), strict=True))
+            self.text += [x[4] for x in found]
+            self.pairs += [x[5] for x in found]
+            self.size += sum(len(p) + len(x[4]) + len(x[5]) for p, x in zip(new, found, strict=True))
+            self.counts = np.concatenate([self.counts, np.array([x[:4] for x in found], np.int64)])
+            self.times = np.concatenate([self.times, np.zeros(len(new), np.int64)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new))])
+            out[missing] = [self.slot[parts[i]] for i in missing]
+        self.uses += np.bincount(out, minlength=len(self.uses))
+        return out
+
+    def full(self) -> bool:
+        return len(self.text) > _CACHE or self.size > _CACHE_BYTES
+
+    def forget(self) -> None:
+        """Keeps the half of the parts that was used most; slots change, counts start from 0."""
+        kept = np.argsort(-self.uses, kind="stable")[: min(len(self.text), _CACHE) // 2]
+        while len(kept) and sum(len(self.text[i]) + len(self.pairs[i]) for i in kept) > _CACHE_BYTES // 2:
+            kept = kept[: len(kept) // 2]
+        new = np.full(len(self.text), -1)
+        new[kept] = np.arange(len(kept))
+        slots = new.tolist()
+        self.slot = {p: slots[i] for p, i in self.slot.items() if slots[i] >= 0}
+        self.text, self.pairs = [self.text[i] for i in kept], [self.pairs[i] for i in kept]
+        self.size = sum(map(len, self.slot)) + sum(map(len, self.text)) + sum(map(len, self.pairs))
+        self.counts, self.times, self.uses = self.counts[kept], np.zeros(len(kept), np.int64), self.uses[kept] / 2
+        self.generation += 1
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs and their counts; counts start from 0 again."""
+        used = np.flatnonzero(self.times)
+        pairs = np.frombuffer(b"".join([self.pairs[i] for i in used]), np.int64)
+        times = np.repeat(self.times[used], self.counts[used, 3])
+        order = np.argsort(pairs, kind="stable")
+        pairs, times = pairs[order], times[order]
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+        self.times[:] = 0
+        return pairs[first], np.add.reduceat(times, first) if len(first) else times
 
 
 @lru_cache(maxsize=2)
-def _loaded(byte_bpe: str, pieces: str) -> TwoTokenizers:
-    """Once in each Python worker, whatever the number of its tasks."""
-    return TwoTokenizers(byte_bpe, pieces)
-
-
-class Known:
-    """What is known of parts: bounded, the oldest half goes when it is full."""
-
-    def __init__(self, two: TwoTokenizers, made):
-        self.two, self.made, self.kept = two, made, {}
-
-    def of(self, parts: set[str]) -> dict:
-        """``made`` of every part: of those kept, and of the others, all at once."""
-        new = [p for p in parts if p not in self.kept]
-        if not new:
-            return self.kept
-        aligned = [self.two.align(p, a, b) for p, (a, b) in zip(new, self.two.encode(new), strict=True)]
-        found = dict(zip(new, self.made(aligned), strict=True))
-        if len(self.kept) + len(new) > _CACHE:
-            for p in list(islice(self.kept, len(self.kept) // 2)):
-                if p not in parts:
-                    del self.kept[p]
-        long = {p: x for p, x in found.items() if len(p) > _CACHED_CHARS}
-        self.kept.update((p, x) for p, x in found.items() if p not in long)
-        return {p: self.kept[p] for p in parts if p not in long} | long if long else self.kept
-
-
-def _slices(batches, rows: int = 64):
+def _aligner(byte_bpe: str, pieces: str) -> Aligner:
+    return Aligner(byte_bpe, pieces)
+
+
+def _slices(batches, rows: int = 128):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
+def _starts(cut: list[list[str]]) -> np.ndarray:
+    """Where the parts of each text begin; a text has one part at least."""
+    return np.concatenate([[0], np.cumsum([len(parts) for parts in cut])[:-1]]).astype(np.int64)
+
+
 def align_tokenizers(
     docs: DataFrame, byte_bpe: str, pieces: str, doc_id: str = "doc_id", text: str = "text",
     hot: int = HOT, hot_texts: int = HOT_TEXTS,
@@ -179,36 +238,26 @@ def align_tokenizers(
     distinct = rows.filter("text <> ''").groupBy("text").agg(F.count("*").alias("copies"))
 
     def align(batches):
-        two = _loaded(byte_bpe, pieces)
-        known, weights, size = Known(two, lambda found: found), Counter(), 0
-
-        def counted():
-            sums: Counter = Counter()
-            for pairs, n in weights.items():
-                for pair in pairs:
-                    sums[pair] += n
-            return _batch([], list(sums.items()))
-
+        aligner = _aligner(byte_bpe, pieces)
+        aligner.times[:] = 0  # a task that broke off may have left some
         for batch in _slices(batches):
-            texts, copies = batch.column("text").to_pylist(), batch.column("copies").to_pylist()
-            cut = [two.parts(t) for t in texts]
-            found = known.of({p for parts in cut for p in parts})
+            texts, copies = batch.column("text").to_pylist(), batch.column("copies").to_numpy()
+            cut = [aligner.two.parts(t) for t in texts]
+            slots, starts = aligner.slots([p for parts in cut for p in parts]), _starts(cut)
+            good = np.logical_and.reduceat(aligner.counts[slots, 0] > 0, starts)
+            np.add.at(aligner.times, slots, np.repeat(np.where(good, copies, 0), [len(parts) for parts in cut]))
+            sums = np.add.reduceat(aligner.counts[slots], starts).tolist()
+            groups = [aligner.text[i] for i in slots.tolist()]
             out = []
-            for t, n, parts in zip(texts, copies, cut, strict=True):
-                aligned = [found[p] for p in parts]
-                if None in aligned:
-                    continue
-                out.append((t, n, sum([x[0] for x in aligned]), sum([x[1] for x in aligned]), sum([x[2] for x in aligned]),
-                            sum([len(x[4]) for x in aligned]), hashlib.sha256(";".join([x[3] for x in aligned]).encode()).hexdigest()))
-                for x in aligned:
-                    if x[4] not in weights:
-                        size += len(x[4])
-                    weights[x[4]] += n
-            yield _batch(out, [])
-            if size > _FLUSH:
-                yield counted()
-                weights, size = Counter(), 0
-        yield counted()
+            for i, (at, parts) in enumerate(zip(starts.tolist(), cut, strict=True)):
+                if good[i]:
+                    digest = hashlib.sha256(";".join(groups[at: at + len(parts)]).encode()).hexdigest()
+                    out.append((texts[i], int(copies[i]), *sums[i], digest))
+            yield _batch(out)
+            if aligner.full():
+                yield _pairs(*aligner.counted())
+                aligner.forget()
+        yield _pairs(*aligner.counted())
 
     kinds = "text string, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair long, n long"
     aligned = stage(in_batches(distinct).mapInArrow(align, kinds), "aligned-texts")
@@ -229,34 +278,37 @@ def align_tokenizers(
     shared = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("pair", "n", "best")))
 
     def measure(batches):
-        two, (keys, counts, best) = _loaded(byte_bpe, pieces), shared.value
+        aligner, (keys, counts, best) = _aligner(byte_bpe, pieces), shared.value
+        # of each slot: links that are the best of their B id, sum of counts, links whose pair is rare
+        known, generation = np.zeros((0, 3), np.int64), aligner.generation
 
-        def made(aligned):
-            """(links that are the best of their B id, sum of counts, rare pairs) of each part."""
-            flat = np.fromiter((p for x in aligned if x for p in x[4]), np.int64)
-            at = np.searchsorted(keys, flat)
-            at[at == len(keys)] = 0
+        def more(first: int) -> np.ndarray:
+            flat, stop = np.frombuffer(b"".join(aligner.pairs[first:]), np.int64), np.cumsum(aligner.counts[first:, 3])
+            at = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
             hit = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
-            n, top = np.where(hit, counts[at], 0) if len(keys) else np.zeros(len(flat), np.int64), hit.copy()
-            top[hit] = best[at[hit]]
-            out, i = [], 0
-            for x in aligned:
-                j = i + (len(x[4]) if x else 0)
-                out.append((int(top[i:j].sum()), int(n[i:j].sum()), flat[i:j][~hit[i:j]].tolist() or None))
-                i = j
-            return out
-
-        known = Known(two, made)
+            each = np.zeros((len(flat) + 1, 3), np.int64)
+            each[1:][hit, 0], each[1:][hit, 1], each[1:, 2] = best[at[hit]], counts[at[hit]], ~hit
+            sums = np.cumsum(each, axis=0)
+            return sums[stop] - sums[np.concatenate([[0], stop[:-1]]).astype(np.int64)]
+
         for batch in _slices(batches):
-            cut = [two.parts(t) for t in batch.column("text").to_pylist()]
-            found = known.of({p for parts in cut for p in parts})
-            own, rare = [], []
-            for digest, parts in zip(batch.column("digest").to_pylist(), cut, strict=True):
-                seen = [found[p] for p in parts]
-                own.append((sum([x[0] for x in seen]), sum([x[1] for x in seen])))
-                left = Counter(p for x in seen if x[2] for p in x[2])
-                rare += [(digest, p, n) for p, n in left.items()]
-            yield _measured(batch, own, rare)
+            cut = [aligner.two.parts(t) for t in batch.column("text").to_pylist()]
+            slots, starts = aligner.slots([p for parts in cut for p in parts]), _starts(cut)
+            if generation != aligner.generation:
+                known, generation = known[:0], aligner.generation
+            known = np.concatenate([known, more(len(known))]) if len(known) < len(aligner.text) else known
+            own = np.add.reduceat(known[slots], starts)
+            rare = []
+            for i in np.flatnonzero(own[:, 2]).tolist():
+                mine = slots[starts[i]: starts[i] + len(cut[i])]
+                pairs = np.frombuffer(b"".join([aligner.pairs[k] for k in mine[known[mine, 2] > 0]]), np.int64)
+                at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
+                values, n = np.unique(pairs[keys[at] != pairs] if len(keys) else pairs, return_counts=True)
+                digest = batch.column("digest")[i].as_py()
+                rare += [(digest, p, c) for p, c in zip(values.tolist(), n.tolist(), strict=True)]
+            yield _measured(batch, own[:, :2].tolist(), rare)
+            if aligner.full():
+                aligner.forget()
 
     carried = "copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
     given = aligned.filter("pair IS NULL").withColumn("digest", F.sha2("text", 256))
@@ -284,15 +336,19 @@ def align_tokenizers(
     return each.select("doc_id", *[found(c, 0) for c in MEASURES], found("groups_sha256", ""))
 
 
-def _batch(texts: list[tuple], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    """Rows of texts, then rows of pair counts."""
-    a, b = len(texts), len(pairs)
-    columns = list(zip(*texts, strict=True)) if texts else [()] * 7
-    kinds = [pa.string(), *[pa.int64()] * 5, pa.string()]
-    out = [pa.array([*c, *[None] * b], k) for c, k in zip(columns, kinds, strict=True)]
-    out += [pa.array([*[None] * a, *[p[i] for p in pairs]], pa.int64()) for i in (0, 1)]
-    names = ["text", "copies", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair", "n"]
-    return pa.RecordBatch.from_arrays(out, names=names)
+_KINDS = [("text", pa.string()), *[(c, pa.int64()) for c in ("copies", *MEASURES[:4])], ("groups_sha256", pa.string()), ("pair", pa.int64()), ("n", pa.int64())]
+
+
+def _batch(texts: list[tuple]) -> pa.RecordBatch:
+    """Rows of texts."""
+    columns = [*zip(*texts, strict=True)] if texts else [()] * 7
+    out = [pa.array(c, kind) for c, (_, kind) in zip(columns, _KINDS, strict=False)]
+    return pa.RecordBatch.from_arrays([*out, *[pa.nulls(len(texts), pa.int64())] * 2], names=[name for name, _ in _KINDS])
+
+
+def _pairs(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of pair counts."""
+    return pa.RecordBatch.from_arrays([*[pa.nulls(len(pairs), kind) for _, kind in _KINDS[:7]], pa.array(pairs), pa.array(n)], names=[name for name, _ in _KINDS])
 
 
 def _measured(batch: pa.RecordBatch, own: list[tuple], rare: list[tuple]) -> pa.RecordBatch:
