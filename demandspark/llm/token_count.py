@@ -1,10 +1,12 @@
 """Token counts without ids: pieces once per distinct pre-token, summed by frequency.
 
-1. Texts are cut into pre-tokens by the tokenizer's own rules and counted.
-2. The pieces of every distinct pre-token are counted, once.
-3. Counts join to the pre-token frequencies of each document and are summed. Frequent
-   pre-tokens (at most ``HOT``, whatever the corpus) are joined by a broadcast table, so no
-   hot key is shuffled; the rest, which are rare by definition, by a shuffle.
+1. The frequent pre-tokens (at most ``HOT``, whatever the corpus) are found on the documents of
+   one of ``SAMPLE`` hash classes, and their pieces are counted. That decides only which way a
+   pre-token goes, never a count.
+2. Every text is cut once into pre-tokens by the tokenizer's own rules. Those of the frequent
+   table, which is broadcast, are summed at once; frequencies of the others go by document.
+3. Those meet by pre-token in a shuffle, which has no hot key as the frequent ones are gone; the
+   pieces of each distinct one are counted once, times its frequencies, and summed by document.
 
 A text is first cut at white space that follows text: no pre-token crosses such a place.
 The units repeat, so the tokenizer's rules run once for each distinct one in a task.
@@ -16,8 +18,10 @@ import os
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from demandspark.llm.shared import in_batches, stage
 
 HOT = 1 << 17
+SAMPLE = 16
 _CACHE = 120_000
 _SPACE = r"\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -89,8 +94,9 @@ class KnownPieces(dict):
         self.pre, self.hot = pre, hot
 
     def __missing__(self, unit: str) -> tuple[int, tuple[str, ...]]:
-        if len(self) >= _CACHE:
-            self.clear()
+        if len(self) >= _CACHE:  # the older half goes
+            for known in list(islice(self, _CACHE // 2)):
+                del self[known]
         sizes = [(part, self.hot.get(part)) for part in self.pre.cut(unit)]
         self[unit] = found = sum(n for _, n in sizes if n), tuple(part for part, n in sizes if n is None)
         return found
@@ -125,7 +131,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 got = library.encode_batch(part.column("token").to_pylist(), add_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(e.ids) for e in got], pa.int32())], names=["token", "n", "pieces"])
 
-    seen = rows.select("text").mapInArrow(frequencies, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    sampled = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
+    seen = sampled.select("text").mapInArrow(frequencies, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counted = stage(in_batches(seen).mapInArrow(pieces, "token string, n long, pieces int"), "token-pieces")
 
     # the frequency from which on a pre-token is hot, from a histogram of 16 steps an octave
@@ -163,14 +170,34 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     parts = in_batches(rows).mapInArrow(split, f"doc_id {kind}, key long, n_bytes long, here long, token string, n long")
-    # a row without a token stands for the document and what its hot pre-tokens came to
-    joined = parts.join(counted.filter(~is_hot).select("token", "pieces"), "token", "left")
-    own = F.col("token").isNull()
-    by_doc = joined.groupBy("doc_id", "key").agg(
-        F.sum(F.when(own, 1).otherwise(0)).alias("copies"),
-        F.max("n_bytes").alias("n_bytes"),
-        F.sum(F.when(own, F.col("here")).otherwise(F.col("n") * F.col("pieces"))).alias("tokens"),
-    )
+
+    def counted_rows(batches):
+        """Rows of a pre-token come one after another; the row of a document itself has none."""
+        library = PreTokens(tokenizer).tokenizer
+        last: tuple = (None, 0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                tokens = part.column("token").dictionary_encode()
+                values = tokens.dictionary.to_pylist()
+                new = [v for v in values if v != last[0]]
+                sizes = dict(zip(new, (len(e.ids) for e in library.encode_batch(new, add_special_tokens=False)), strict=True))
+                sizes[last[0]] = last[1]
+                if values:
+                    last = values[-1], sizes[values[-1]]
+                own = pc.is_null(part.column("token"))
+                each = pa.array([sizes[v] for v in values], pa.int64()).take(tokens.indices)
+                here = pc.if_else(own, part.column("here"), pc.multiply(each, part.column("n")))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("key"), part.column("n_bytes"), here, pc.cast(own, pa.int64())],
+                    names=["doc_id", "key", "n_bytes", "here", "copies"])
+
+    # pre-tokens meet; the rows of documents, which have none, are spread by their key
+    route = F.when(F.col("token").isNull(), F.col("key")).otherwise(F.xxhash64("token"))
+    met = parts.repartition(route).sortWithinPartitions("token")
+    met = met.mapInArrow(counted_rows, f"doc_id {kind}, key long, n_bytes long, here long, copies long")
+    by_doc = met.groupBy("doc_id", "key").agg(
+        F.sum("copies").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.sum("here").alias("tokens"))
     each = by_doc.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return each.select("doc_id", "n_bytes", F.expr("tokens div copies").alias("n_tokens"))
 
