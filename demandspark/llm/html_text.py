@@ -47,30 +47,58 @@ _CLOSED_BY = {
 # elements nested deeper get no children, as in browsers; their text goes to the one around them
 DEPTH = 512
 _SCOPE = {"table", "ul", "ol", "dl", "body", "html", "td", "th", "article", "section", "div", "main", "select"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|([^<]+|<)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*(?:>|\Z)|([^<]+|<)", re.S)
+# a name, and after = a value in quotes or up to white space or the end of the tag
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|((?![\"'])[^\s>]+|[\"'][^\s>]*)?))?")
+_TAG_END = re.compile(r"[\s/]*(>|\Z)")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CONTAINERS = {"div", "section", "article", "main", "body", "html", "#root"}
-# discount of the points of an element whose whole class or id is a skipped name, and again beside text in an article or main element
+# marks an element whose whole class or id is a skipped name; and the discount of named elements beside text in an article or main element
 NAMED_PART = 0.25
+# of an element whose name is of remarks: it is never opened, whatever it holds
+REMARKS = -1.0
+REMARK_NAMES = set("comment comments commentlist disqus reply replies respond".split())
+# words that make a name one of what holds remarks beside the text
+HOLDER_NAMES = set("with has no open closed enabled disabled allow allowed".split())
 
 
 class Element:
     __slots__ = ("tag", "parent", "parts", "skipped", "points", "length", "linked", "depth", "named")
 
     def __init__(self, tag: str, parent: Element | None, skipped: bool = False, named: float = 0.0):
-        self.tag, self.parent, self.parts, self.skipped, self.named = tag, parent, [], skipped or named > 0, named
+        self.tag, self.parent, self.parts, self.skipped, self.named = tag, parent, [], skipped or named != 0, named
         self.points, self.length, self.linked = 0.0, 0, 0
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _is_skipped(tag: str, attributes: str) -> bool:
+Attributes = list[tuple[str, str]]
+
+
+def _attributes(page: str, at: int) -> tuple[Attributes, int, bool]:
+    """(name, value) of a tag's attributes from ``at`` on, where the tag ends, and whether it closes itself.
+
+    As in browsers, an unquoted value ends at white space or >, quotes inside it are plain. A value
+    whose quote never closes ends there, too; what is cut off at the end of the page is no tag.
+    """
+    found: Attributes = []
+    while True:
+        end = _TAG_END.match(page, at)
+        if end:
+            return found, end.end() if end[1] else -1, "/" in end[0]
+        one = _ATTRIBUTE.match(page, at)
+        if one is None:
+            return found, -1, False
+        value = one[2] if one[2] is not None else one[3] if one[3] is not None else one[4] or ""
+        found.append((one[1].lower(), value))
+        at = one.end()
+
+
+def _is_skipped(tag: str, attributes: Attributes) -> bool:
     if tag in SKIPPED:
         return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), a or b or c
+    for name, value in attributes:
         if name == "role" and value.lower() in SKIPPED_ROLES:
             return True
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -80,17 +108,22 @@ def _is_skipped(tag: str, attributes: str) -> bool:
     return False
 
 
-def _named(tag: str, attributes: str) -> float:
-    """0 without a skipped name in class or id, NAMED_PART if one is a whole class or id, else 1."""
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+def _named(tag: str, attributes: Attributes) -> float:
+    """0 without a skipped name in class or id, REMARKS if one is of remarks, NAMED_PART if one is a whole class or id, else 1."""
+    if not attributes or tag in ("html", "body", "main"):
         return 0.0
     found = 0.0
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id"):
-            for one in (a or b or c).split():
-                if one.lower() in SKIPPED_NAMES:
-                    return NAMED_PART
-                if any(x.lower() in SKIPPED_NAMES for x in _NAME.findall(one)):
+    for name, value in attributes:
+        if name in ("class", "id"):
+            for one in value.split():
+                words = {one.lower()} | {x.lower() for x in _NAME.findall(one)}
+                whole = one.lower() in SKIPPED_NAMES
+                # remarks are never the main text, unless the name is that of what holds them beside it
+                if words & REMARK_NAMES and not words & HOLDER_NAMES:
+                    return REMARKS
+                if whole and tag != "article":
+                    found = NAMED_PART
+                elif words & SKIPPED_NAMES and tag != "article" and not found:
                     found = 1.0
     return found
 
@@ -105,22 +138,28 @@ def parse(page: str) -> Element:
             at += 1
             continue
         at = token.end()
-        tag, text = token[2], token[4]
+        tag, text = token[2], token[3]
         if text is not None:
             here.parts.append(html.unescape(text) if "&" in text else text)
         elif tag:
             tag = tag.lower()
             if token[1]:
-                here = _closed(here, tag)
+                end = page.find(">", at)
+                if end < 0:
+                    break
+                here, at = _closed(here, tag), end + 1
                 continue
             here = _implied(here, tag)
-            skipped = _is_skipped(tag, token[3])
-            new = Element(tag, here, skipped, 0.0 if skipped else _named(tag, token[3]))
+            attributes, at, closes = _attributes(page, at)
+            if at < 0:
+                break
+            skipped = _is_skipped(tag, attributes)
+            new = Element(tag, here, skipped, 0.0 if skipped else _named(tag, attributes))
             here.parts.append(new)
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else size
-            elif tag not in VOID and not token[3].endswith("/") and new.depth < DEPTH:
+            elif tag not in VOID and not closes and new.depth < DEPTH:
                 here = new
     return root
 
@@ -188,9 +227,9 @@ def _open_wrappers(root: Element) -> None:
     stack = [root]
     while stack:
         for p in stack.pop().parts:
-            if isinstance(p, Element) and (p.named or not p.skipped):
+            if isinstance(p, Element) and (p.named > 0 or not p.skipped):
                 stack.append(p)
-                if p.named:
+                if p.named > 0:
                     named.append(p)
     if not named:
         return
@@ -217,7 +256,8 @@ def _open_wrappers(root: Element) -> None:
         total, article, main = held[x]
         # an article in an article is a comment on it
         longest = article > outside and not _within(x.parent, ("article",))
-        most = total * x.named * (NAMED_PART if body else 1) > page - total
+        # an element named so as a whole is opened for an article or main element only
+        most = x.named == 1.0 and total * (NAMED_PART if body else 1) > page - total
         x.skipped = not (main or longest or most)
     if not outside and all(x.skipped for x in named):
         x = max(named, key=lambda x: held[x][0])
