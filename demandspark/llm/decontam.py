@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandspark.llm.shared import in_batches, stage
+from demandspark.llm.shared import free_names, in_batches, stage
 
 WINDOW = 10
 CHUNK_WORDS = 1_000_000
@@ -148,29 +148,50 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", t
     if second is None:
         return _scanned(rows, "text", Windows(first)).drop("text")
     keyed = stage(rows.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
-    hit = None
-    for chunk in itertools.chain([first, second], chunks):
-        part = _scanned(keyed, "text", Windows(chunk)).drop("text")
-        part = stage(part.filter(F.size("items") > 0), "decontam-hits")
-        hit = part if hit is None else hit.unionByName(part)
-    joined = hit.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    found = _hits(keyed, itertools.chain([first, second], chunks)).drop("n_words")
     counted = _scanned(keyed, "text", Windows([])).select("row", "doc_id", "n_words")
-    merge = F.udf(lambda s: [{"a": a, "b": b} for a, b in merged((x["a"], x["b"]) for x in s or [])], "array<struct<a:int,b:int>>")
-    return counted.join(joined, "row", "left").select(
-        "doc_id", "n_words", merge("spans").alias("spans"), F.array_sort(F.coalesce("items", F.array().cast("array<string>"))).alias("items")
-    )
+    return counted.join(found, "row", "left").select(
+        "doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text="text", item_id="item_id", item_text="text", max_share: float = 0.0) -> DataFrame:
     """The rows of ``docs`` of whose words at most ``max_share`` are hit, with all columns as they are.
 
-    Texts without words stay.
+    Hits are those of the whole benchmark, however many chunks it is cut into. Texts without
+    words stay; so do columns of any name, and repeated rows as often as they come.
     """
-    marked = None
-    for chunk in _chunks(benchmark, item_id, item_text):
-        windows = Windows(chunk)
-        marked = _kept(docs if marked is None else marked, text, windows, max_share)
-    return marked
+    chunks = _chunks(benchmark, item_id, item_text)
+    first, second = next(chunks), next(chunks, None)
+    if second is None:
+        return _kept(docs, text, Windows(first), max_share)
+    (row,) = free_names(docs, "row")
+    keyed = stage(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
+    given = keyed.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    counted = _hits(given, itertools.chain([first, second], chunks))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["b"] - s["a"]))
+    dirty = counted.filter(hit > F.lit(float(max_share)) * F.col("n_words")).select(F.col("row").alias(row))
+    return keyed.join(dirty, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _hits(keyed: DataFrame, chunks) -> DataFrame:
+    """(row, n_words, spans, items) of the rows (row, text) that any chunk hits."""
+    hit = None
+    for chunk in chunks:
+        part = _scanned(keyed, "text", Windows(chunk)).drop("text")
+        part = stage(part.filter(F.size("items") > 0), "decontam-hits")
+        hit = part if hit is None else hit.unionByName(part)
+    joined = hit.groupBy("row").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def merge(batches):
+        for batch in batches:
+            spans = [[{"a": a, "b": b} for a, b in merged((x["a"], x["b"]) for x in each)] for each in batch.column("spans").to_pylist()]
+            columns = {c: batch.column(c) for c in batch.schema.names} | {"spans": pa.array(spans, _TYPES["spans"])}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return joined.mapInArrow(merge, joined.schema)
 
 
 def _kept(docs: DataFrame, text: str, windows: Windows, max_share: float) -> DataFrame:

@@ -56,6 +56,22 @@ def test_equals_brute_force(spark, words, items, documents, chunk, monkeypatch):
     assert Counter(r["doc_id"] for r in kept.collect()) == clean
 
 
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.6, 0.95])
+def test_share_does_not_depend_on_the_chunks(spark, words, items, share, monkeypatch):
+    parts = [items[0][i][1] for i in range(9)]
+    texts = [parts[0] + " " + parts[1] + " own words", parts[0] + " " + " ".join(words[500:510]) + " " + parts[8], parts[2], " ".join(words[600:640]), "", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS items", "2 AS spans", "3 AS `row`", "4 AS _row", "5 AS n_words")
+    known = [x for x in items[0] if x[0] is not None]
+    want = Counter()
+    for (i, n, hit, _), c in brute(rows, known).items():
+        want[i] += c if hit <= share * n else 0
+    for chunk in (1_000_000, 25, 1):
+        monkeypatch.setattr(decontam, "CHUNK_WORDS", chunk)
+        kept = decontam.remove_contaminated(df, items[1], max_share=share)
+        assert kept.columns == df.columns and Counter(r["doc_id"] for r in kept.collect()) == +want
+
+
 def test_empty_tables(no_documents, documents, items):
     assert decontam.find_contamination(no_documents, items[1]).count() == 0
     assert decontam.find_contamination(documents, items[1].limit(0)).filter("size(items) > 0").count() == 0
