@@ -27,6 +27,8 @@ LEAST_SHARE = 0.3
 # Training is on a sample of labelled documents whose bound does not grow with the data.
 SAMPLE_DOCS = 40_000
 UNDETERMINED = "und"
+# least share of a text's n-grams in its language: below it is in none that was learnt
+LEAST_PART = 0.02
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _LETTER: list[np.ndarray] = []
 
@@ -77,7 +79,9 @@ class LanguageFilter:
 
     def shares(self, text: str | None) -> np.ndarray | None:
         """The part of the text's n-grams in each language, corrected; None without letters."""
-        values = grams(text)
+        return self._shares(grams(text))
+
+    def _shares(self, values: np.ndarray) -> np.ndarray | None:
         if not len(values):
             return None
         rows = slots(values)
@@ -97,6 +101,25 @@ class LanguageFilter:
         return self.languages[best], float(shares[best] / total) if total > 0 else 0.0
 
 
+    def known(self, text: str | None) -> tuple[str, bool]:
+        """Language as in ``decide``, and whether the text has more of its n-grams than chance explains.
+
+        Chance gives the most hit of L languages a share of p + z sqrt(p (1 - p) / n) at most, but for
+        a chance of about 1 in 1,000; and a text of no learnt language has parts in common with some,
+        so at least ``LEAST_PART`` is asked for. Without a language learnt every text with a letter is known.
+        """
+        values = grams(text)
+        shares = self._shares(values)
+        if shares is None:
+            return UNDETERMINED, False
+        if not self.languages:
+            return "", True
+        best = int(np.argmax(shares))
+        p = float(self.by_chance[best])
+        noise = (3.1 + 0.5 * np.log(len(self.languages))) * np.sqrt(p * (1 - p) / len(values)) / (1 - p)
+        return self.languages[best], bool(shares[best] > max(noise, LEAST_PART))
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE_DOCS) -> LanguageFilter:
     """The filter of all languages in ``lang``; rows with null text or lang teach nothing.
 
@@ -167,3 +190,23 @@ def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", languag
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return in_batches(docs).mapInArrow(run, f"{fields}{', ' if fields else ''}`{language}` string, `{score}` double")
+
+
+def recognise(docs: DataFrame, model: LanguageFilter, text: str = "text", language: str = "lang_pred", known: str = "known") -> DataFrame:
+    """``docs`` with the predicted language and whether the text is in it; columns of these names are replaced.
+
+    Null texts and texts without a letter are ``und`` and not known.
+    """
+    docs = docs.drop(language, known)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            got = [shared.value.known(v.as_py()) for v in batch.column(text)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_())],
+                names=[*batch.schema.names, language, known],
+            )
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return in_batches(docs).mapInArrow(run, f"{fields}{', ' if fields else ''}`{language}` string, `{known}` boolean")

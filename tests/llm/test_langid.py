@@ -41,3 +41,20 @@ def test_filter_has_no_false_negatives():
 
 def test_grams_of_short_texts():
     assert len(langid.grams("a")) == 1 and not len(langid.grams("7")) and not len(langid.grams(None))
+
+
+def test_texts_in_no_learnt_language_are_not_known(spark):
+    rng = random.Random(4)
+    other = "qx jv kw fp hg"
+    rows = [(i, texts(rng, lang, rng.randint(8, 60)), lang) for i, lang in enumerate(list(SYLLABLES) * 40)]
+    strange = [(500 + i, " ".join("".join(rng.choice(other.split()) for _ in range(3)) for _ in range(n)), None) for i, n in enumerate([3, 30, 300, 30_000])]
+    strange += [(600, None, None), (601, "", None), (602, "12 !!", None)]
+    docs = spark.createDataFrame(rows + strange, "doc_id long, text string, lang string").selectExpr("*", "1 AS known", "2 AS lang_pred")
+    got = {r["doc_id"]: r["known"] for r in langid.recognise(docs, langid.learn(docs)).collect()}
+    assert all(got[i] for i, _, _ in rows) and not any(got[i] for i, _, _ in strange)
+    nothing = langid.learn(docs.filter("lang IS NULL"))
+    got = {r["doc_id"]: r["known"] for r in langid.recognise(docs, nothing).collect()}
+    assert all(known == (i not in (600, 601, 602)) for i, known in got.items())
+    # chance hits alone: a filter with full rows explains everything
+    full = langid.LanguageFilter(["xx"], np.full((langid.ROWS, 1), 1, np.uint64))
+    assert full.known("any text at all") == ("xx", False)
