@@ -11,25 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandspark.llm import decontam, langid, line_dedup, mixing, near_dup
-from demandspark.llm.shared import stage
+from demandspark.llm.shared import free_names, stage
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those none of whose n-grams is of any known language."""
+    """Drops documents without a letter and those in no language that any row names.
+
+    A text is in none if the share of its n-grams in the nearest language, corrected for chance
+    hits, is what chance may give for their number. Where no row has a language, nothing can be
+    learnt and all documents with a letter stay.
+    """
     model = langid.learn(docs)
-    found = langid.identify(docs, model, language="_language", score="_score")
-    return found.filter((F.col("_language") != langid.UNDETERMINED) & (F.col("_score") > 0)).select(*docs.columns)
+    language, known = free_names(docs, "language", "known")
+    found = langid.recognise(docs, model, language=language, known=known)
+    return found.filter((F.col(language) != langid.UNDETERMINED) & F.col(known)).select(*_columns(docs))
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated three-line windows; documents of which nothing is left go."""
-    cut = line_dedup.dedup_lines(docs.withColumn("_was", F.length("text")))
-    left = cut.filter((F.col("text") != "") | F.col("text").isNull() | (F.col("_was") == 0))
+    """Cuts repeated three-line windows; documents of which nothing is left go.
+
+    ``n_chars``, if there is one, follows the text; other columns stay as they are.
+    """
+    (was,) = free_names(docs, "was")
+    cut = line_dedup.dedup_lines(docs.withColumn(was, F.length("text")))
+    left = cut.filter((F.col("text") != "") | F.col("text").isNull() | (F.col(was) == 0))
     if "n_chars" not in docs.columns:
-        return left.select(*docs.columns)
-    changed = F.length("text") != F.col("_was")
+        return left.select(*_columns(docs))
+    changed = F.length("text") != F.col(was)
     count = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", count).select(*docs.columns)
+    return left.withColumn("n_chars", count).select(*_columns(docs))
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
