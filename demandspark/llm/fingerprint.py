@@ -135,7 +135,9 @@ def fingerprints_beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str
     Texts are shuffled once by id; what travels further is a next document's needed
     beginning and its sketch.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # an alias that changes nothing would keep Spark from reading one exchange twice
+    own_id = F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id")
+    base = docs.select(own_id, F.coalesce(F.col(text), F.lit("")).alias("text"))
     placed = base.filter("doc_id IS NOT NULL")
     quarter = F.floor(F.length("text") / 4).cast("int")
     order = following(placed, "doc_id")
