@@ -29,6 +29,7 @@ from demandspark.sources import csv, retail, stages
 from demandspark.streaming import refresh
 
 K = SERIES_KEYS
+STORE = ("store_id",)
 
 
 # Models read their inputs several times, so these are written once, as the
@@ -37,8 +38,8 @@ def panel_series(spark, sf):
     return cut_lineage(base.panel_series(spark, sf))
 
 
-def total_series(spark, sf):
-    return cut_lineage(base.total_series(spark, sf))
+def store_series(spark, sf):
+    return cut_lineage(base.panel_series(spark, sf).groupBy(*STORE, "date").agg(F.sum("total_sales").alias("total_sales")))
 
 
 def exogenous_table(spark, sf):
@@ -290,7 +291,14 @@ def _effects(spark, sf, series):
 @register("m16_structural_fit")
 def _(spark, sf):
     rows = _effects(spark, sf, panel_series(spark, sf))
-    return structural.fit(rows, keys=K).select(*K, "first", "last", "y_scale", "seasonality_mode", "sigma")
+    return structural.fit(rows, keys=K, prior="laplace").select(*K, "first", "last", "y_scale", "seasonality_mode", "sigma")
+
+
+# the Laplace fit meets its optimality conditions
+@register("m16_optimality", oracle("SELECT product_id, store_id, TRUE AS optimal FROM sales GROUP BY ALL"))
+def _(spark, sf):
+    fitted = structural.fit(_effects(spark, sf, panel_series(spark, sf)), keys=K, prior="laplace")
+    return fitted.select(*K, (F.col("breach") < 1e-6).alias("optimal"))
 
 
 @register("m16_structural_scale", oracle(
@@ -331,7 +339,7 @@ def _(spark, sf):
 
 @register("m18_changepoints")
 def _(spark, sf):
-    return structural.changepoints(structural.fit(_effects(spark, sf, panel_series(spark, sf)), keys=K), K)
+    return structural.changepoints(structural.fit(_effects(spark, sf, panel_series(spark, sf)), keys=K, prior="laplace"), K)
 
 
 @register("m19_rolling_cv")
@@ -341,13 +349,28 @@ def _(spark, sf):
 
 @register("m20_parameter_search")
 def _(spark, sf):
-    return structural.search_parameters(_effects(spark, sf, total_series(spark, sf)), parts=8)
+    return structural.search_parameters(_effects(spark, sf, store_series(spark, sf)), STORE)
+
+
+# one row per store and combination, in the order of the grid
+@register("m20_grid_rows", oracle(
+    """SELECT store_id, CAST(row_number() OVER (PARTITION BY store_id ORDER BY i, j, k, l) - 1 AS INT) AS grid_id, a AS changepoint_prior_scale,
+      b AS seasonality_prior_scale, c AS holidays_prior_scale, e AS seasonality_mode, TRUE AS scored
+    FROM (SELECT DISTINCT store_id FROM sales),
+      (SELECT unnest([1, 2, 3, 4, 5]) AS i, unnest(CAST([0.001, 0.01, 0.05, 0.1, 0.5] AS DOUBLE[])) AS a),
+      (SELECT unnest([1, 2, 3, 4]) AS j, unnest(CAST([0.01, 0.1, 1.0, 10.0] AS DOUBLE[])) AS b),
+      (SELECT unnest([1, 2, 3, 4]) AS k, unnest(CAST([0.01, 0.1, 1.0, 10.0] AS DOUBLE[])) AS c),
+      (SELECT unnest([1, 2]) AS l, unnest(['additive', 'multiplicative']) AS e)""",
+    doubles="changepoint_prior_scale seasonality_prior_scale holidays_prior_scale"))
+def _(spark, sf):
+    found = structural.search_parameters(_effects(spark, sf, store_series(spark, sf)), STORE)
+    return found.select(*STORE, "grid_id", *structural.PARAMETERS, (F.col("rmse") >= F.col("mae") * 0.999).alias("scored"))
 
 
 @register("m21_structural_train")
 def _(spark, sf):
-    return structural.train(total_series(spark, sf), exogenous=exogenous_table(spark, sf),
-                            holidays=HOLIDAYS, events=EVENTS, parts=8)["forecast"]
+    return structural.train(store_series(spark, sf), STORE, exogenous=exogenous_table(spark, sf),
+                            holidays=HOLIDAYS, events=EVENTS)["forecast"]
 
 
 @register("m22_structural_holdout")
@@ -364,9 +387,10 @@ def _(spark, sf):
 
 @register("m23_structural_run")
 def _(spark, sf):
-    out = structural.run(total_series(spark, sf), exogenous=exogenous_table(spark, sf),
-                         holidays=HOLIDAYS, events=EVENTS, optimise=False, parts=8)
-    return out["cv_average"].withColumn("holdout_rmse", out["metrics"].select("rmse").scalar())
+    out = structural.run(panel_series(spark, sf), K, exogenous=exogenous_table(spark, sf),
+                         holidays=HOLIDAYS, events=EVENTS, optimise=False)
+    holdout = out["metrics"].select(*K, F.col("rmse").alias("holdout_rmse"))
+    return out["cv_average"].join(holdout, list(K), "full_outer")
 
 
 # --- sequence model ---------------------------------------------------------
@@ -406,7 +430,7 @@ def _(spark, sf):
 
 @register("m27_sequence_run")
 def _(spark, sf):
-    return sequence.run(total_series(spark, sf))["metrics"]
+    return sequence.run(panel_series(spark, sf), K)["metrics"]
 
 
 # --- files and refresh ------------------------------------------------------

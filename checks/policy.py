@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.base import (
@@ -442,30 +443,52 @@ def _(spark, sf):
 
 
 def _shapiro_sql() -> str:
+    """Royston (1995): n = 3 exact, 4 to 11 and from 12 on by two normal approximations."""
     u = "(1 / sqrt(n))"
     erf = f"(1 - ({_poly([*reversed(stats.ERF_A)], 't')}) * t * exp(-x * x))"
-    return f"""SELECT product_id, store_id, n, statistic, p_value, p_value >= 0.05 AS normal FROM (
-    SELECT *, 1 - CASE WHEN z >= 0 THEN 0.5 * (1 + {erf}) ELSE 0.5 * (1 - {erf}) END AS p_value FROM (
+    limit = "(0.459 * n - 2.273)"
+    short = f"""(-ln({limit} - ln(1 - statistic)) - (0.5440 - 0.39978 * n + 0.025054 * n ** 2 - 0.0006714 * n ** 3))
+      / exp(1.3822 - 0.77857 * n + 0.062767 * n ** 2 - 0.0020322 * n ** 3)"""
+    return f"""SELECT product_id, store_id, n, statistic, p_value, p_value >= 0.05 AS normal, n > 5000 AS extrapolated FROM (
+    SELECT *, CASE WHEN statistic IS NULL THEN NULL WHEN statistic >= 1 THEN 1
+      WHEN n = 3 THEN greatest(6 / pi() * (asin(sqrt(statistic)) - asin(sqrt(0.75))), 0)
+      WHEN n < 12 AND ln(1 - statistic) >= {limit} THEN 0
+      ELSE 1 - CASE WHEN z >= 0 THEN 0.5 * (1 + {erf}) ELSE 0.5 * (1 - {erf}) END END AS p_value FROM (
     SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM (
-    SELECT *, (ln(1 - statistic) - ({_poly(diag.LOG_MEAN, 'ln(n)')})) / exp({_poly(diag.LOG_SD, 'ln(n)')}) AS z FROM (
-    SELECT product_id, store_id, n, sum(a * residual) ** 2 / (var_pop(residual) * count(*)) AS statistic FROM (
-    SELECT *, CASE WHEN i = n THEN a1 WHEN i = 1 THEN -a1 WHEN i = n - 1 THEN a2 WHEN i = 2 THEN -a2
+    SELECT *, CASE WHEN n < 4 OR statistic >= 1 OR (n < 12 AND ln(1 - statistic) >= {limit}) THEN NULL WHEN n < 12 THEN {short}
+      ELSE (ln(1 - statistic) - ({_poly(diag.LOG_MEAN, 'ln(n)')})) / exp({_poly(diag.LOG_SD, 'ln(n)')}) END AS z FROM (
+    SELECT product_id, store_id, n, CASE WHEN n >= 3 THEN sum(a * residual) ** 2 / nullif(var_pop(residual) * count(*), 0) END AS statistic FROM (
+    SELECT *, CASE WHEN i = n THEN a1 WHEN i = 1 THEN -a1 WHEN n > 5 AND i = n - 1 THEN a2 WHEN n > 5 AND i = 2 THEN -a2 WHEN n <= 3 THEN 0
       ELSE m / sqrt((mm - 2 * m1 ** 2 - 2 * m2 ** 2) / (1 - 2 * a1 ** 2 - 2 * a2 ** 2)) END AS a FROM (
-    SELECT *, m1 / sqrt(mm) + ({_poly(diag.LAST_WEIGHT, u)}) AS a1, m2 / sqrt(mm) + ({_poly(diag.SECOND_WEIGHT, u)}) AS a2
+    SELECT * REPLACE (CASE WHEN n > 5 THEN m2 ELSE 0 END AS m2), CASE WHEN n = 3 THEN sqrt(0.5) ELSE m1 / sqrt(nullif(mm, 0)) + ({_poly(diag.LAST_WEIGHT, u)}) END AS a1,
+      CASE WHEN n > 5 THEN m2 / sqrt(nullif(mm, 0)) + ({_poly(diag.SECOND_WEIGHT, u)}) ELSE 0 END AS a2
     FROM (SELECT *, sum(m * m) OVER s AS mm, max(m) OVER s AS m1,
       max(m) FILTER (WHERE i = n - 1) OVER s AS m2 FROM (
       SELECT *, {quantile_sql('((i - 0.375) / (n + 0.25))')} AS m FROM (
         SELECT *, row_number() OVER (PARTITION BY product_id, store_id ORDER BY residual) AS i,
           count(*) OVER (PARTITION BY product_id, store_id) AS n FROM presiduals))
       WINDOW s AS (PARTITION BY product_id, store_id))))
-    GROUP BY product_id, store_id, n HAVING n BETWEEN 12 AND 5000))))
-    UNION ALL SELECT product_id, store_id, count(*), NULL, NULL, NULL FROM presiduals
-    GROUP BY product_id, store_id HAVING count(*) NOT BETWEEN 12 AND 5000"""
+    GROUP BY product_id, store_id, n))))"""
 
 
 @register("m10_shapiro_wilk", oracle(_shapiro_sql(), extra=PANEL_RESIDUALS, doubles="statistic p_value"))
 def _(spark, sf):
-    return diag.shapiro_wilk(panel_residuals(spark, sf), keys=SERIES_KEYS).drop("extrapolated")
+    return diag.shapiro_wilk(panel_residuals(spark, sf), keys=SERIES_KEYS)
+
+
+# groups of three to seven values: the branches for small samples
+@register("m10_shapiro_small_groups", oracle(
+    _shapiro_sql().replace("FROM presiduals", "FROM psmall"), extra=PANEL_RESIDUALS + """,
+psmall AS (SELECT product_id || '-' || CAST(part AS VARCHAR) AS product_id, store_id, residual FROM (
+  SELECT *, CAST(floor((row_number() OVER (PARTITION BY product_id, store_id ORDER BY date) - 1) / 11) AS INT) AS part,
+    (row_number() OVER (PARTITION BY product_id, store_id ORDER BY date) - 1) % 11 AS place FROM presiduals)
+  WHERE place <= 2 + part % 9)""", doubles="statistic p_value"))
+def _(spark, sf):
+    place = F.row_number().over(Window.partitionBy(*SERIES_KEYS).orderBy("date")) - 1
+    parts = panel_residuals(spark, sf).withColumn("_at", place).withColumn("_part", F.floor(F.col("_at") / 11).cast("int"))
+    small = parts.filter(F.col("_at") % 11 <= 2 + F.col("_part") % 9)
+    named = small.withColumn("product_id", F.concat("product_id", F.lit("-"), F.col("_part").cast("string")))
+    return diag.shapiro_wilk(named, keys=SERIES_KEYS)
 
 
 @register("d8_decomposition", oracle(

@@ -3,8 +3,8 @@
 Taylor and Letham (2018) as penalised least squares: a piecewise-linear trend
 with changepoints spread evenly over the first 80% of history, weekly and
 monthly Fourier terms, holiday-window dummies and standardised regressors.
-Prior scales become ridge penalties sigma^2/scale^2 (the Laplace prior of the
-changepoints has variance 2*scale^2). Daily seasonality is constant on daily
+Prior scales become ridge penalties sigma^2/scale^2; changepoints have a Laplace prior
+or, in searches, a Gaussian one of the same variance 2*scale^2. Daily seasonality is constant on daily
 data and has no column. Multiplicative models fit the trend first, then the
 ratio to it. Point estimates differ from a full posterior fit.
 """
@@ -21,18 +21,17 @@ from pyspark.sql import types as T
 
 from demandspark.functions.calendar import Holidays, fourier_pair, with_holiday_flags
 from demandspark.functions.metrics import evaluate
+from demandspark.functions.stats import normal_quantile
 from demandspark.operators.gram import (
     attach,
     dot,
-    gram_partials,
     key_fields,
     least_squares,
     residual_sum,
-    solve_per_series,
     spread,
 )
 from demandspark.operators.grids import best_candidate
-from demandspark.operators.panel import future_dates, holdout_split, whole_series
+from demandspark.operators.panel import future_dates, holdout_split
 from demandspark.operators.regressors import with_exogenous
 from demandspark.schema import (
     HOLDOUT_DAYS,
@@ -51,6 +50,7 @@ CHANGEPOINT_RANGE = 0.8
 WEEKLY = (7, 3)
 MONTHLY = (30.5, 5)
 Z80 = 1.2816
+SAMPLES = 400
 BASE_SCALE = 5.0
 UNSEEN = 1e8
 # tried noise variances as parts of the mean square
@@ -118,10 +118,6 @@ def _penalties(n_effects: int, parameters: Mapping[str, float], days: int) -> np
     )
 
 
-def _days(key: Mapping) -> int:
-    return (key["last"] - key["first"]).days + 1
-
-
 def _standardising(g: np.ndarray, n: int) -> np.ndarray:
     """Column transform that centres and scales the regressors, read off the Gram itself."""
     move = np.eye(len(g))
@@ -151,87 +147,166 @@ def _noise(g: np.ndarray, xty: np.ndarray, yty: float, n: int, penalty: np.ndarr
     return max(float(noise[np.argmin(cost)]), 1e-8)
 
 
+def _noise_penalties(n_effects: int, parameters: Mapping[str, float], days: int) -> np.ndarray:
+    """What the noise is estimated under: the changepoint prior asked for, the default ones for the rest.
+
+    Candidates that differ in the other priors then share a noise variance, and its cost.
+    """
+    usual = {c: STRUCTURAL_DEFAULTS[c] for c in ("seasonality_prior_scale", "holidays_prior_scale")}
+    return _penalties(n_effects, {**parameters, **usual}, days)
+
+
+def _trend_design(t: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones_like(t), t, *[np.maximum(t - k, 0.0) for k in KNOTS]])
+
+
+def lasso(g: np.ndarray, b: np.ndarray, weight: float) -> np.ndarray:
+    """The x that minimises x'gx / 2 - b'x + weight * sum |x|, exactly, by feature-sign steps.
+
+    Signs of the active coordinates are guessed, the system under them is solved, and the way there
+    stops at the best sign change; then the coordinate with the steepest slope joins. Every step
+    lowers the objective, so no set of signs comes twice.
+    """
+    x, sign = np.zeros(len(b)), np.zeros(len(b))
+    cost = lambda v: 0.5 * v @ g @ v - b @ v + weight * np.abs(v).sum()
+    tiny = 1e-12 * max(weight, np.abs(b).max(initial=0.0), 1e-300)
+    for _ in range(60 * len(b) + 60):
+        slope = g @ x - b
+        free = sign == 0
+        excess = np.where(free, np.abs(slope) - weight, 0.0)
+        active = np.flatnonzero(~free)
+        settled = not len(active) or np.abs(slope[active] + weight * sign[active]).max() <= 1e3 * tiny
+        if settled:
+            if excess.max(initial=0.0) <= 1e3 * tiny:
+                break
+            join = int(np.argmax(excess))
+            sign[join] = -np.sign(slope[join])
+            active = np.append(active, join)
+        want = np.zeros(len(b))
+        want[active] = np.linalg.lstsq(g[np.ix_(active, active)], b[active] - weight * sign[active], rcond=None)[0]
+        way = want - x
+        crossing = [x[i] / (x[i] - want[i]) for i in active if x[i] * want[i] < 0]
+        trials = [x + r * way for r in sorted({1.0, *crossing})]
+        best = min(trials, key=cost)
+        # what the way crosses at the chosen point leaves
+        for i in active:
+            if abs(best[i]) <= 1e-14 * max(abs(x[i]), abs(want[i]), 1e-300):
+                best[i] = 0.0
+        if not cost(best) < cost(x):
+            sign = np.sign(x)
+            if settled:
+                break
+            continue
+        x, sign = best, np.sign(best)
+    return x
+
+
+def _coefficients(g: np.ndarray, xty: np.ndarray, ridge: np.ndarray, weight: float | None) -> np.ndarray:
+    """Penalised least squares; with ``weight`` the changepoints have a Laplace prior in place of the ridge.
+
+    All other coefficients are eliminated first: given the changepoints they follow from a linear system.
+    """
+    if weight is None:
+        return least_squares(g, xty, ridge)
+    points = np.arange(2, N_TREND)
+    rest = np.setdiff1d(np.arange(len(g)), points)
+    own = g[np.ix_(rest, rest)] + np.diag(ridge[rest])
+    across = np.linalg.solve(own, np.column_stack([g[np.ix_(rest, points)], xty[rest]]))
+    reduced = g[np.ix_(points, points)] - g[np.ix_(points, rest)] @ across[:, :-1]
+    delta = lasso(reduced, xty[points] - g[np.ix_(points, rest)] @ across[:, -1], weight)
+    out = np.zeros(len(g))
+    out[points], out[rest] = delta, across[:, -1] - across[:, :-1] @ delta
+    return out
+
+
+def optimality(g: np.ndarray, xty: np.ndarray, ridge: np.ndarray, weight: float, coef: np.ndarray) -> float:
+    """Largest breach of the optimality conditions of the Laplace fit, relative to ``weight``."""
+    slope = g @ coef - xty
+    points = np.arange(2, N_TREND)
+    smooth = np.delete(slope + ridge * coef, points)
+    at, delta = slope[points], coef[points]
+    inner = np.where(delta != 0, np.abs(at + weight * np.sign(delta)), np.maximum(np.abs(at) - weight, 0.0))
+    return float(max(inner.max(), np.abs(smooth).max()) / weight)
+
+
 def fit(
     train: DataFrame,
     parameters: DataFrame | Mapping[str, float | str] = STRUCTURAL_DEFAULTS,
     keys: Sequence[str] = TOTAL,
     value: str = "total_sales",
+    prior: str = "gaussian",
 ) -> DataFrame:
-    """One row per series: first, last, y_scale, parameters, trend, effect, sigma.
+    """One row per series: first, last, y_scale, parameters, trend, effect, sigma, breach.
 
     ``train`` is (keys, date, value, effects). ``trend`` and ``effect`` are
-    weights on the same design row; ``parameters`` may differ per series.
+    weights on the same design row; ``parameters`` may differ per series. ``prior`` of the
+    changepoints: ``laplace`` leaves most of them at 0, ``gaussian`` has the same variance; ``breach`` tells
+    how far the Laplace fit is from its optimality conditions (NULL for the other). Each series
+    meets once in a task, trend and effects are fitted there.
     """
+    if prior not in ("gaussian", "laplace"):
+        raise ValueError(prior)
     names = list(keys)
-    w = whole_series(keys)
-    rows = spread(
-        train.select(*names, "date", F.col(value).cast("double").alias("_value"), "effects"), keys)
-    rows = rows.withColumns(
-        {
-            "first": F.min("date").over(w),
-            "last": F.max("date").over(w),
-            "y_scale": F.max(F.abs("_value")).over(w),
-        }
-    ).withColumn("y_scale", F.when(F.col("y_scale") > 0, F.col("y_scale")).otherwise(F.lit(1.0)))
-    rows = rows.withColumn("y", F.col("_value") / F.col("y_scale")).filter("y IS NOT NULL")
-    rows = _with_trend(rows).drop("_value")
+    rows = train.select(*names, "date", F.col(value).cast("double").alias("_value"), "effects")
     if isinstance(parameters, DataFrame):
         rows = attach(rows, parameters.select(*names, *PARAMETERS), keys)
     else:
         rows = rows.withColumns({p: F.lit(parameters[p]) for p in PARAMETERS})
-    keyed = [*names, "first", "last", "y_scale", *PARAMETERS]
-
-    def joint(key, n, g, xty, yty):
-        """Additive: all columns at once. Multiplicative: the trend columns."""
-        move = _standardising(g, n)
-        g, xty = move.T @ g @ move, move.T @ xty
-        size = N_TREND if key["seasonality_mode"] == "multiplicative" else len(g)
-        own, target = g[:size, :size], xty[:size]
-        penalty = _penalties(len(g) - N_TREND, key, _days(key))[:size]
-        ridge = _noise(own, target, yty, n, penalty) * penalty
-        coef = np.zeros(len(g))
-        coef[:size] = least_squares(own, target, ridge)
-        sigma = np.sqrt(residual_sum(coef[:size], own, target, yty) / n)
-        effect = coef.copy()
-        effect[:N_TREND] = 0.0
-        coef[N_TREND:] = 0.0
-        return [(coef, move @ effect, float(sigma))]
-
-    fields = [
-        T.StructField("trend", DOUBLES),
-        T.StructField("effect", DOUBLES),
-        T.StructField("sigma", T.DoubleType()),
-    ]
-    first = cut_lineage(solve_per_series(gram_partials(rows, keyed), keyed, joint, fields))
-    if not isinstance(parameters, DataFrame) and parameters["seasonality_mode"] == "additive":
-        return first
-
-    def ratio(key, n, g, xty, yty):
-        """Effects on value/trend - 1; the trend columns only serve the centring."""
-        move = _standardising(g, n)
-        g, xty = move.T @ g @ move, move.T @ xty
-        own, target = g[N_TREND:, N_TREND:], xty[N_TREND:]
-        penalty = _penalties(len(own), key, _days(key))[N_TREND:]
-        coef = np.zeros(len(g))
-        coef[N_TREND:] = least_squares(own, target, _noise(own, target, yty, n, penalty) * penalty)
-        sigma = np.sqrt(residual_sum(coef[N_TREND:], own, target, yty) / n)
-        return [(move @ coef, float(sigma))]
-
-    multiplicative = F.col("seasonality_mode") == "multiplicative"
-    level = dot(F.col("trend"), F.col("x"))
-    ratios = (
-        attach(rows.filter(multiplicative), first.select(*names, "trend"), keys)
-        .withColumn("_level", level)
-        .withColumn("y", F.col("y") / F.when(F.abs("_level") > 1e-6, F.col("_level")).otherwise(F.lit(1e-6)) - 1.0)
-    )
-    second = solve_per_series(gram_partials(ratios, keyed), keyed, ratio, fields[1:])
-    if not isinstance(parameters, DataFrame):
-        return attach(first.drop("effect", "sigma"), second.select(*names, "effect", "sigma"), keys)
-    additive = first.filter(~multiplicative)
-    scaled = attach(
-        first.filter(multiplicative).drop("effect", "sigma"),
-        second.select(*names, "effect", "sigma"), keys)
-    return additive.unionByName(scaled)
+    columns = [*names, "first", "last", "y_scale", *PARAMETERS, "trend", "effect", "sigma", "breach"]
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        chosen = {p: pdf[p].iloc[0] for p in PARAMETERS}
+        first, last = pdf["date"].iloc[0], pdf["date"].iloc[-1]
+        pdf = pdf[pdf["_value"].notna()]
+        if pdf.empty:
+            return pd.DataFrame(columns=columns)
+        y, effects = pdf["_value"].to_numpy(dtype=float), np.stack(pdf["effects"].to_numpy()).astype(float)
+        day = pdf["date"].to_numpy().astype("datetime64[D]").astype(np.int64)
+        scale = float(np.abs(y).max()) or 1.0
+        found = _fitted(day, y / scale, effects, first, last, chosen, prior)
+        return pd.DataFrame([(*key, first, last, scale, *chosen.values(), *found)], columns=columns)
+
+    kinds = {p: T.StringType() if p == "seasonality_mode" else T.DoubleType() for p in PARAMETERS}
+    schema = T.StructType([
+        *key_fields(train, keys), T.StructField("first", T.DateType()), T.StructField("last", T.DateType()), T.StructField("y_scale", T.DoubleType()),
+        *[T.StructField(p, kinds[p]) for p in PARAMETERS], T.StructField("trend", DOUBLES), T.StructField("effect", DOUBLES),
+        T.StructField("sigma", T.DoubleType()), T.StructField("breach", T.DoubleType())])
+    return cut_lineage(spread(rows, keys).groupBy(*names).applyInPandas(one, schema))
+
+
+def _fitted(day, y, effects, first, last, parameters: Mapping, prior: str) -> tuple[np.ndarray, np.ndarray, float, float | None]:
+    """(trend, effect, sigma, breach) of one series."""
+    days = (last - first).days
+    start = np.datetime64(first, "D").astype(np.int64)
+    x = np.hstack([_trend_design((day - start) / max(days, 1)), effects])
+    n, yty = len(y), float(y @ y)
+    g = x.T @ x
+    move = _standardising(g, n)
+    x = x @ move
+    g, xty = x.T @ x, x.T @ y
+    multiplicative = parameters["seasonality_mode"] == "multiplicative"
+    size = N_TREND if multiplicative else len(g)
+    own, target = g[:size, :size], xty[:size]
+    noise = _noise(own, target, yty, n, _noise_penalties(effects.shape[1], parameters, days + 1)[:size])
+    ridge = noise * _penalties(effects.shape[1], parameters, days + 1)[:size]
+    weight = noise / parameters["changepoint_prior_scale"] if prior == "laplace" else None
+    coef = np.zeros(len(g))
+    coef[:size] = _coefficients(own, target, ridge, weight)
+    breach = optimality(own, target, ridge, weight, coef[:size]) if weight else None
+    sigma = np.sqrt(residual_sum(coef[:size], own, target, yty) / n)
+    trend, effect = coef.copy(), coef.copy()
+    trend[N_TREND:], effect[:N_TREND] = 0.0, 0.0
+    if multiplicative:
+        # effects on value / trend - 1; the trend columns only serve the centring
+        level = x @ trend
+        ratio = y / np.where(np.abs(level) > 1e-6, level, 1e-6) - 1.0
+        rest = slice(N_TREND, None)
+        own, target, yty = g[rest, rest], x[:, rest].T @ ratio, float(ratio @ ratio)
+        noise = _noise(own, target, yty, n, _noise_penalties(effects.shape[1], parameters, days + 1)[rest])
+        effect[rest] = least_squares(own, target, noise * _penalties(effects.shape[1], parameters, days + 1)[rest])
+        sigma = np.sqrt(residual_sum(effect[rest], own, target, yty) / n)
+    return trend, move @ effect, float(sigma), breach
 
 
 def predict(coefficients: DataFrame, rows: DataFrame, keys: Sequence[str] = TOTAL) -> DataFrame:
@@ -269,6 +344,56 @@ def predict(coefficients: DataFrame, rows: DataFrame, keys: Sequence[str] = TOTA
     )
 
 
+def with_simulated_interval(
+    forecast: DataFrame, coefficients: DataFrame, keys: Sequence[str] = TOTAL, samples: int = SAMPLES, seed: int = 1, level: float = 0.8,
+) -> DataFrame:
+    """``forecast`` with ``lower`` and ``upper`` from simulated futures (Taylor and Letham 2018).
+
+    Every future day is a changepoint with the frequency of those of the history; its size is Laplace
+    with the mean absolute size of the fitted ones. A sample's path adds the noise of the fit. Draws are
+    hashes of series, sample and day, so reruns agree; bounds are the quantiles of ``samples`` paths.
+    """
+    draw = lambda *parts: (F.xxhash64(*[F.lit(p) if isinstance(p, str) else p for p in parts]).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    inside = lambda u: F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), u))
+    span = F.greatest(F.datediff("last", "first"), F.lit(1))
+    deltas = F.slice("trend", 3, CHANGEPOINTS)
+    size = F.aggregate(deltas, F.lit(0.0), lambda a, x: a + F.abs(x)) / CHANGEPOINTS
+    state = coefficients.select(
+        *keys, "first", "last", "y_scale", "sigma", "seasonality_mode", (size * F.col("y_scale") / span).alias("_size"),
+        (CHANGEPOINTS / (CHANGEPOINT_RANGE * span)).alias("_rate"))
+    days = forecast.groupBy(*keys).agg(F.max("date").alias("_end"))
+    paths = attach(state, days, keys).select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_sample"))
+    own = [F.lit(seed), *[F.col(k) for k in keys], F.col("_sample")]
+
+    def change(i):
+        u = draw("size", *own, i) - 0.5
+        laplace = -F.col("_size") * F.signum(u) * F.log1p(-2.0 * F.abs(u) + 1e-12)
+        return F.when(draw("change", *own, i) < F.col("_rate"), laplace).otherwise(0.0)
+
+    # slope and level of a path so far, day after day
+    ahead = F.sequence(F.lit(1), F.greatest(F.datediff("_end", "last"), F.lit(1)))
+    changes = F.transform(ahead, change)
+    none = F.array().cast("array<double>")
+    start = F.struct(F.lit(0.0).alias("slope"), F.lit(0.0).alias("at"), none.alias("path"))
+
+    def step(s, c):
+        at = s["at"] + s["slope"]
+        return F.struct((s["slope"] + c).alias("slope"), at.alias("at"), F.concat(s["path"], F.array(at)).alias("path"))
+
+    walked = paths.withColumn("_path", F.aggregate(changes, start, step, lambda s: s["path"]))
+    each = walked.select(*keys, "last", "sigma", "y_scale", "seasonality_mode", "_sample", F.posexplode("_path").alias("_i", "_off"))
+    each = each.withColumn("date", F.expr("date_add(last, _i + 1)")).withColumn("_z", normal_quantile(inside(draw("noise", *own, F.col("_i")))))
+    found = each.join(forecast.select(*keys, "date", "yhat", "trend"), [*keys, "date"])
+    ratio = F.col("seasonality_mode") == "multiplicative"
+    moved = F.when(ratio & (F.abs("trend") > 1e-9), F.col("yhat") / F.col("trend")).otherwise(1.0)
+    noise = F.col("sigma") * F.col("_z") * F.when(ratio, F.abs("trend")).otherwise(F.col("y_scale"))
+    value = F.col("_off") * moved + noise
+    tail = (1.0 - level) / 2.0
+    bounds = found.groupBy(*keys, "date").agg(F.percentile(value, F.array(F.lit(tail), F.lit(1.0 - tail))).alias("_q"))
+    joined = forecast.drop("lower", "upper").join(bounds, [*keys, "date"])
+    return joined.withColumns({"lower": F.col("yhat") + F.col("_q")[0], "upper": F.col("yhat") + F.col("_q")[1]}).select(*forecast.columns)
+
+
 def changepoints(coefficients: DataFrame, keys: Sequence[str] = TOTAL) -> DataFrame:
     """(keys, changepoint, date, delta): slope change per day at each changepoint."""
     span = F.greatest(F.datediff("last", "first"), F.lit(1))
@@ -293,51 +418,106 @@ def _ridge_path(g: np.ndarray, xty: np.ndarray, ridges: np.ndarray) -> np.ndarra
     return np.linalg.solve(systems, np.broadcast_to(xty[:, None], (len(ridges), len(xty), 1)))[..., 0]
 
 
-def _noise_path(g: np.ndarray, xty: np.ndarray, yty: float, n: int, penalties: np.ndarray) -> np.ndarray:
-    """``_noise`` of each penalty vector; candidates that share one share the work."""
-    distinct, which = np.unique(penalties, axis=0, return_inverse=True)
-    return np.array([_noise(g, xty, yty, n, p) for p in distinct])[which.ravel()][:, None]
+class RunningGram:
+    """Gram matrices of (trend, effects) over ever longer beginnings of one series, from running sums.
+
+    The knots move with the end of the history. Sums over (d - s)+ follow from sums of z and d z up to
+    the knot and the end, so no history is read again for another end.
+    """
+
+    def __init__(self, day: np.ndarray, y: np.ndarray, effects: np.ndarray):
+        self.d, self.y, self.effects = (day - day[0]).astype(float), y, effects
+        z = np.column_stack([np.ones(len(day)), self.d, effects, y])
+        self.z = z
+        start = np.zeros((1, z.shape[1]))
+        self.sums = np.concatenate([start, np.cumsum(z, axis=0)])
+        self.by_day = np.concatenate([start, np.cumsum(self.d[:, None] * z, axis=0)])
+        self.done, self.own = 0, np.zeros((z.shape[1], z.shape[1]))
+        self.known: dict = {}
+
+    def penalties(self, grid: Sequence[Mapping], days: int) -> tuple[np.ndarray, np.ndarray]:
+        """Penalties of every candidate, and those its noise is estimated under; they change only as seasons get whole."""
+        key = tuple(days < p for p, _ in (WEEKLY, MONTHLY))
+        if key not in self.known:
+            m = self.effects.shape[1]
+            self.known[key] = tuple(np.array([f(m, c, days) for c in grid]) for f in (_penalties, _noise_penalties))
+        return self.known[key]
+
+    def alike(self, grid: Sequence[Mapping]) -> list[tuple[tuple, list[int]]]:
+        """Candidates by mode and changepoint scale."""
+        if "alike" not in self.known:
+            groups: dict[tuple, list[int]] = {}
+            for i, c in enumerate(grid):
+                groups.setdefault((c["seasonality_mode"], c["changepoint_prior_scale"]), []).append(i)
+            self.known["alike"] = list(groups.items())
+        return self.known["alike"]
+
+    def upto(self, count: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """(XtX, Xty, yty) of the first ``count`` rows; ends may only grow."""
+        if count < self.done:
+            raise ValueError("ends must not shrink")
+        part = self.z[self.done: count]
+        self.done, self.own = count, self.own + part.T @ part
+        span = max(self.d[count - 1], 1.0)
+        knots = span * np.array(KNOTS)
+        after = np.minimum(np.searchsorted(self.d, knots, side="right"), count)
+        s0, s1 = self.sums[count] - self.sums[after], self.by_day[count] - self.by_day[after]
+        hinge = (s1 - knots[:, None] * s0) / span
+        # of two hinges the later one decides where both are positive
+        later = np.maximum.outer(np.arange(CHANGEPOINTS), np.arange(CHANGEPOINTS))
+        both = (s1[:, 1][later] - np.add.outer(knots, knots) * s1[:, 0][later] + np.outer(knots, knots) * s0[:, 0][later]) / span**2
+        m = self.effects.shape[1]
+        base = self.own.copy()
+        base[1] /= span
+        base[:, 1] /= span
+        hinge[:, 1] /= span
+        order = [0, 1, *range(2, 2 + m)]
+        g = np.empty((N_TREND + m, N_TREND + m))
+        plain = [0, 1, *range(N_TREND, N_TREND + m)]
+        g[np.ix_(plain, plain)] = base[np.ix_(order, order)]
+        g[2:N_TREND, 2:N_TREND] = both
+        g[2:N_TREND, plain] = hinge[:, order]
+        g[np.ix_(plain, range(2, N_TREND))] = hinge[:, order].T
+        xty = np.empty(N_TREND + m)
+        xty[plain], xty[2:N_TREND] = base[order, -1], hinge[:, -1]
+        return g, xty, float(base[-1, -1])
 
 
 def _fold_forecasts(
-    day: np.ndarray, y: np.ndarray, effects: np.ndarray, cutoff: int, horizon: int,
-    grid: Sequence[Mapping],
+    running: RunningGram, day: np.ndarray, cutoff: int, horizon: int, grid: Sequence[Mapping],
 ) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers tested, predictions per candidate) for one cutoff of one series."""
-    known, ahead = day <= cutoff, (day > cutoff) & (day <= cutoff + horizon)
-    n, test = int(known.sum()), np.flatnonzero(ahead)
-    t = (day - day[0]) / max(day[known][-1] - day[0], 1)
-    trend = np.column_stack([np.ones_like(t), t, *[np.maximum(t - k, 0.0) for k in KNOTS]])
-    x = np.hstack([trend, effects])
-    scale = np.max(np.abs(y[known])) or 1.0
-    move = _standardising(x[known].T @ x[known], n)
-    x = x @ move
-    seen, target = x[known], y[known] / scale
-    g, xty, yty = seen.T @ seen, seen.T @ target, float(target @ target)
+    y, effects = running.y, running.effects
+    n = int(np.searchsorted(day, cutoff, side="right"))
+    test = np.arange(n, int(np.searchsorted(day, cutoff + horizon, side="right")))
+    scale = np.max(np.abs(y[:n])) or 1.0
+    g, xty, yty = running.upto(n)
+    move = _standardising(g, n)
+    g, xty, yty = move.T @ g @ move, move.T @ xty / scale, yty / scale**2
+    span = max(running.d[n - 1], 1.0)
+    x = np.hstack([_trend_design(running.d[test] / span), effects[test]]) @ move
     out = np.empty((len(grid), len(test)))
-    history = int(day[known][-1] - day[0]) + 1
-    weights = np.array([_penalties(effects.shape[1], c, history) for c in grid])
-    additive = [i for i, c in enumerate(grid) if c["seasonality_mode"] == "additive"]
-    if additive:
-        noise = _noise_path(g, xty, yty, n, weights[additive])
-        coef = _ridge_path(g, xty, noise * weights[additive] + 1e-9)
-        out[additive] = coef @ x[test].T
-    # candidates that share the changepoint scale share the trend
-    scales = {c["changepoint_prior_scale"] for c in grid if c["seasonality_mode"] == "multiplicative"}
+    history = int(running.d[n - 1]) + 1
+    weights, usual = running.penalties(grid, history)
     block, rest = slice(0, N_TREND), slice(N_TREND, None)
-    for prior in sorted(scales):
-        own = [i for i, c in enumerate(grid) if c["seasonality_mode"] == "multiplicative"
-               and c["changepoint_prior_scale"] == prior]
-        first = weights[own[:1], block]
-        ridge = _noise_path(g[block, block], xty[block], yty, n, first) * first + 1e-9
+    known = None
+    # candidates that share the mode and the changepoint scale share the noise, and a ratio model's trend
+    for (mode, _), own in running.alike(grid):
+        first = usual[own[0]]
+        if mode == "additive":
+            ridge = _noise(g, xty, yty, n, first) * weights[own] + 1e-9
+            out[own] = _ridge_path(g, xty, ridge) @ x.T
+            continue
+        if known is None:
+            known = _trend_design(running.d[:n] / span)
+        ridge = _noise(g[block, block], xty[block], yty, n, first[block]) * weights[own[:1], block] + 1e-9
         slope = _ridge_path(g[block, block], xty[block], ridge)[0]
-        level = x[:, block] @ slope
-        level = np.where(np.abs(level) > 1e-6, level, 1e-6)
-        ratio = target / level[known] - 1.0
-        gr, rty = g[rest, rest], seen[:, rest].T @ ratio
-        penalty = weights[own][:, rest]
-        ridge = _noise_path(gr, rty, float(ratio @ ratio), n, penalty) * penalty + 1e-9
-        out[own] = level[test] * (1.0 + _ridge_path(gr, rty, ridge) @ x[test][:, rest].T)
+        bounded = lambda v: np.where(np.abs(v) > 1e-6, v, 1e-6)
+        ratio = y[:n] / scale / bounded(known @ slope) - 1.0
+        # the regressors' columns are centred and scaled: so are their products with the ratio
+        rty = np.diag(move)[rest] * (effects[:n].T @ ratio) + move[0, rest] * ratio.sum()
+        ridge = _noise(g[rest, rest], rty, float(ratio @ ratio), n, first[rest]) * weights[own][:, rest] + 1e-9
+        out[own] = bounded(x[:, block] @ slope) * (1.0 + _ridge_path(g[rest, rest], rty, ridge) @ x[:, rest].T)
     return test, out * scale
 
 
@@ -348,9 +528,9 @@ def _rolling(
     """Rolling-origin forecasts of every candidate, summed per horizon day unless ``detail``.
 
     A cutoff's training rows are a prefix of its series, so a series (at most
-    one row per day) is sent once and its cutoffs are walked there; joining
-    rows to cutoffs would square the data. ``parts`` spreads the cutoffs of a
-    series over several tasks, each with its own copy of the series.
+    one row per day) is sent once and its cutoffs are walked there, over running sums; joining
+    rows to cutoffs would square the data. ``parts`` may spread the cutoffs of a single
+    long series over several tasks, each with its own copy of it.
     """
     names = list(keys)
     rows = series.select(
@@ -368,14 +548,18 @@ def _rolling(
     ids = np.array([c["grid_id"] for c in grid])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_day")
+        pdf = pdf[pdf["_y"].notna()].sort_values("_day")
+        if pdf.empty:
+            return pd.DataFrame(columns=columns)
         key = tuple(pdf[names].iloc[0])
         day, y = pdf["_day"].to_numpy(), pdf["_y"].to_numpy()
-        effects = np.stack(pdf["effects"].to_numpy())
+        effects = np.stack(pdf["effects"].to_numpy()).astype(float)
+        running = RunningGram(day, y, effects)
         cutoffs = range(day[-1] - horizon, day[0] + initial - 1, -period)
         out, sums = [], np.zeros((len(grid), horizon, 5))
-        for cutoff in cutoffs[int(pdf["_part"].iloc[0])::parts]:
-            test, predicted = _fold_forecasts(day, y, effects, cutoff, horizon, grid)
+        # from the earliest on: the running sums only grow
+        for cutoff in reversed(cutoffs[int(pdf["_part"].iloc[0])::parts]):
+            test, predicted = _fold_forecasts(running, day, cutoff, horizon, grid)
             if detail:
                 at, when = pd.Timestamp(0) + pd.Timedelta(days=int(cutoff)), day[test]
                 for i, g in enumerate(ids):
@@ -478,19 +662,25 @@ def train(
     events: Holidays = SPECIAL_EVENTS,
     optimise: bool = True,
     parts: int = 1,
+    prior: str = "laplace",
+    samples: int = SAMPLES,
 ) -> dict[str, DataFrame]:
-    """Parameters (searched or default), fit, forecast with components, changepoints."""
+    """Parameters (searched or default), fit, forecast with components, changepoints.
+
+    The search scores the Gaussian approximation of the changepoint prior; the fit has ``prior``. The
+    interval of the forecast is from ``samples`` simulated futures.
+    """
     rows = with_effects(series, holidays, exogenous, events)
     out: dict[str, DataFrame] = {}
     chosen: DataFrame | Mapping = STRUCTURAL_DEFAULTS
     if optimise:
         out["search"] = cut_lineage(search_parameters(rows, keys, horizon=horizon, parts=parts))
         chosen = out["parameters"] = best_parameters(out["search"], keys)
-    coefficients = fit(rows, chosen, keys)
+    coefficients = fit(rows, chosen, keys, prior=prior)
     future = future_dates(series, horizon, keys).drop("step")
     ahead = with_effects(future, holidays, exogenous, events)
     out["coefficients"] = coefficients
-    out["forecast"] = predict(coefficients, ahead, keys)
+    out["forecast"] = with_simulated_interval(predict(coefficients, ahead, keys), coefficients, keys, samples)
     out["changepoints"] = changepoints(coefficients, keys)
     return out
 
@@ -504,6 +694,7 @@ def evaluate_holdout(
     events: Holidays = SPECIAL_EVENTS,
     optimise: bool = False,
     parts: int = 1,
+    prior: str = "laplace",
 ) -> tuple[DataFrame, DataFrame]:
     """(scored rows, metrics per series); parameters and fit see the training rows only."""
     split = holdout_split(with_effects(series, holidays, exogenous, events), days, keys)
@@ -513,7 +704,7 @@ def evaluate_holdout(
     if optimise:
         chosen = cut_lineage(best_parameters(
             search_parameters(known, keys, horizon=days + 1, parts=parts), keys))
-    predicted = predict(fit(known, chosen, keys), test, keys)
+    predicted = predict(fit(known, chosen, keys, prior=prior), test, keys)
     actual = test.select(*keys, "date", F.col("total_sales").alias("actual"))
     scored = predicted.join(actual, [*keys, "date"]).select(
         *keys, "model", "date", "actual", F.col("yhat").alias("predicted")

@@ -234,8 +234,16 @@ def test_shapiro_published_value(spark):
     df = spark.createDataFrame([(float(x),) for x in mpg], "residual double")
     row = diagnostics.shapiro_wilk(df).first()
     assert abs(row.statistic - 0.94756) < 2e-5 and abs(row.p_value - 0.1229) < 2e-4 and row.normal
+    # five values by the weights tabled in 1965 (0.6646 and 0.2413): W = 0.9162, between the 10% and 50% points
     tiny = diagnostics.shapiro_wilk(df.limit(5)).first()
-    assert tiny.statistic is None and tiny.p_value is None
+    assert abs(tiny.statistic - 0.9162) < 5e-4 and 0.1 < tiny.p_value < 0.55 and tiny.normal and not tiny.extrapolated
+    # three values: W = 0.96429, p = 0.6369
+    three = diagnostics.shapiro_wilk(spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "residual double")).first()
+    assert abs(three.statistic - 0.96429) < 1e-5 and abs(three.p_value - 0.6369) < 1e-4
+    two = diagnostics.shapiro_wilk(spark.createDataFrame([(1.0,), (2.0,)], "residual double")).first()
+    assert two.statistic is None and two.p_value is None
+    many = diagnostics.shapiro_wilk(spark.range(6000).selectExpr("double(id % 997) AS residual")).first()
+    assert many.extrapolated and many.n == 6000 and not many.normal
 
 
 def royston(values):
