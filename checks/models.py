@@ -474,9 +474,10 @@ def _(spark, sf):
     base = scratch(spark)
     sales = retail.sales(spark, sf).withColumn("store_rank", F.dense_rank().over(
         sarimax.series_window(("date", "product_id"), "store_id")))
-    # two arrivals; the second brings late rows for dates the first one covered
+    # two arrivals in a source partitioned by month; the second brings late rows for dates the first one covered
     for late in (False, True):
         part = sales.filter((F.col("store_rank") > 1) == late).drop("store_rank")
-        part.write.mode("append").parquet(f"{base}/sales")
+        part = part.withColumn("year_month", F.date_format("date", "yyyy-MM"))
+        part.hint("rebalance", "year_month").write.mode("append").partitionBy("year_month").parquet(f"{base}/sales")
         refresh.start_refresh(spark, f"{base}/sales", f"{base}/daily", f"{base}/progress").awaitTermination()
     return refresh.read_daily(spark, f"{base}/daily")

@@ -28,6 +28,7 @@ from demandspark.functions import metrics as mx
 from demandspark.functions import stats
 from demandspark.operators import aggregates as agg
 from demandspark.operators import diagnostics as diag
+from demandspark.operators.loess import decompose_loess
 from demandspark.operators import ensemble as ens
 from demandspark.operators import grids, inventory, panel
 from demandspark.operators import regressors as reg
@@ -503,6 +504,41 @@ def _(spark, sf):
     return dash.decomposition(total_series(spark, sf))
 
 
+# the parts of a loess decomposition add up, and the season repeats with mean 0 over whole periods
+@register("d8_loess_decomposition")
+def _(spark, sf):
+    return decompose_loess(panel_series(spark, sf), keys=SERIES_KEYS)
+
+
+@register("d8_loess_rows", oracle(
+    "SELECT product_id, store_id, date, sales_quantity AS observed, TRUE AS adds_up, TRUE AS repeats FROM sales", doubles="observed", dates="date"))
+def _(spark, sf):
+    parts = decompose_loess(panel_series(spark, sf), keys=SERIES_KEYS)
+    whole = F.col("trend") + F.col("seasonal") + F.col("remainder")
+    phase = Window.partitionBy(*SERIES_KEYS, "_phase")
+    placed = parts.withColumn("_phase", F.row_number().over(Window.partitionBy(*SERIES_KEYS).orderBy("date")) % 7)
+    spread = F.max("seasonal").over(phase) - F.min("seasonal").over(phase)
+    return placed.select(*SERIES_KEYS, "date", "observed", (F.abs(F.col("observed") - whole) < 1e-8).alias("adds_up"), (spread < 1e-8).alias("repeats"))
+
+
+# the other choices of the panel: holdout errors of the structural model, in-sample ones for the rest and unknown names
+@register("d15_residuals_structural", oracle(
+    """SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY date) AS INT) AS position, date,
+    actual - predicted AS residual FROM scored WHERE model = 'prophet'""", extra=HOLDOUT,
+    doubles="residual", dates="date"))
+def _(spark, sf):
+    return dash.residuals_of("prophet", total_residuals(spark, sf), scored_holdout(spark, sf), ("model",))
+
+
+@register("d15_residuals_in_sample", oracle(
+    """SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY date) AS INT) AS position, date, residual
+    FROM residuals, (SELECT unnest(['arima', 'ensemble', 'another']) AS name)""", extra=RESIDUALS, doubles="residual", dates="date"))
+def _(spark, sf):
+    fitted, holdout = total_residuals(spark, sf), scored_holdout(spark, sf)
+    each = [dash.residuals_of(name, fitted, holdout, ()).withColumn("name", F.lit(name)) for name in ("arima", "ensemble", "another")]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
 @register("d15_residual_series", oracle(
     """SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY date) AS INT) AS position, date,
     actual - predicted AS residual FROM scored WHERE model = 'lstm'""", extra=HOLDOUT,

@@ -48,12 +48,13 @@ def sales_kpis(daily: DataFrame) -> DataFrame:
     )
 
 
-def forecast_kpis(ensemble: DataFrame, horizon: int = 7) -> DataFrame:
-    """(metric, value) rows: forecast total and daily mean."""
-    totals = ensemble.agg(
+def forecast_kpis(ensemble: DataFrame, horizon: int = 7, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, metric, value) rows: forecast total and daily mean."""
+    totals = ensemble.groupBy(*keys).agg(
         F.sum("ensemble_forecast").alias("total"), F.avg("ensemble_forecast").alias("mean")
     )
     return totals.selectExpr(
+        *keys,
         f"stack(2, 'Total Forecasted Sales (Next {horizon} Days)', total, "
         f"'Average Daily Sales (Next {horizon} Days)', mean) AS (metric, value)"
     )

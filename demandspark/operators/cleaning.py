@@ -61,25 +61,32 @@ def clean_stores(df: DataFrame) -> DataFrame:
     return complete_cases(cast_dates(df, "opening_date"))
 
 
-def quality_row(df: DataFrame, table: str, dedupe: bool) -> DataFrame:
-    """One row: rows in, missing cells, incomplete rows, duplicates, rows out.
+def counted_rows(df: DataFrame, dedupe: bool) -> DataFrame:
+    """Rows with their missing cells (``_missing``) and copies (``_copies``), each distinct row once if ``dedupe``.
 
-    Distinct rows are counted with their copies in the same aggregation that
-    would remove them, so the whole report is one shuffle of the table.
+    Both what is clean and how much was not follow from it, so a table is aggregated once.
     """
     missing = sum((_missing(f).cast("int") for f in df.schema.fields), F.lit(0))
     marked = df.withColumn("_missing", missing)
     if dedupe:
-        marked = marked.groupBy(*df.columns, "_missing").agg(F.count("*").alias("_copies"))
-    else:
-        marked = marked.withColumn("_copies", F.lit(1).cast("long"))
+        return marked.groupBy(*df.columns, "_missing").agg(F.count("*").alias("_copies"))
+    return marked.withColumn("_copies", F.lit(1).cast("long"))
+
+
+def clean_rows(counted: DataFrame) -> DataFrame:
+    """The complete ones of :func:`counted_rows`."""
+    return counted.filter("_missing = 0").drop("_missing", "_copies")
+
+
+def quality_of(counted: DataFrame, table: str) -> DataFrame:
+    """One row: rows in, missing cells, incomplete rows, duplicates, rows out."""
     copies, whole = F.col("_copies"), F.col("_missing") == 0
 
     def total(col: Column) -> Column:
         return F.coalesce(F.sum(col), F.lit(0)).cast("long")
 
     surplus = F.when(whole, copies - 1).otherwise(0)
-    return marked.agg(
+    return counted.agg(
         total(copies).alias("rows_in"),
         total(copies * F.col("_missing")).alias("missing_cells"),
         total(F.when(whole, 0).otherwise(copies)).alias("incomplete_rows"),
@@ -88,6 +95,11 @@ def quality_row(df: DataFrame, table: str, dedupe: bool) -> DataFrame:
     ).select(F.lit(table).alias("table_name"), "*")
 
 
+def quality_row(df: DataFrame, table: str, dedupe: bool) -> DataFrame:
+    """One row of :func:`quality_of` for a raw table: one shuffle of it."""
+    return quality_of(counted_rows(df, dedupe), table)
+
+
 def quality_report(raw: Mapping[str, DataFrame]) -> DataFrame:
     return (
         quality_row(cast_dates(raw["sales"], "date"), "sales", True)

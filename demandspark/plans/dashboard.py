@@ -17,6 +17,7 @@ from demandspark.operators.diagnostics import (
     residual_series,
 )
 from demandspark.operators.ensemble import model_lines, with_band
+from demandspark.operators.loess import decompose_loess
 from demandspark.schema import MODELS
 
 ALL = "all"
@@ -112,14 +113,18 @@ def model_forecast(ensemble: DataFrame, model: str = "ensemble", band_pct: float
     return with_band(ensemble.select("date", F.col(column).alias("forecast")), "forecast", band_pct)
 
 
-def forecast_table(ensemble: DataFrame, digits: int = 2) -> DataFrame:
+def forecast_table(ensemble: DataFrame, digits: int = 2, keys: Sequence[str] = ()) -> DataFrame:
     return ensemble.select(
+        *keys,
         "date",
         *[F.round(f"{m}_forecast", digits).alias(m) for m in (*MODELS, "ensemble")],
     )
 
 
-def decomposition(daily: DataFrame, period: int = 7) -> DataFrame:
+def decomposition(daily: DataFrame, period: int = 7, method: str = "classical") -> DataFrame:
+    """``classical`` moving means in Spark functions, or ``loess`` with a periodic season."""
+    if method == "loess":
+        return decompose_loess(daily, "total_sales", period)
     return decompose(daily, "total_sales", period)
 
 
@@ -181,8 +186,9 @@ def model_comparison(metrics: DataFrame) -> DataFrame:
     )
 
 
-def performance_table(metrics: DataFrame, digits: int = 2) -> DataFrame:
+def performance_table(metrics: DataFrame, digits: int = 2, keys: Sequence[str] = ()) -> DataFrame:
     return metrics.select(
+        *keys,
         model_label(F.col("model")).alias("model"),
         *[F.round(c, digits).alias(c) for c in ("rmse", "mae", "mape")],
         F.round(accuracy(F.col("mape")), digits).alias("accuracy"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,19 +15,20 @@ from demandspark.plans.dashboard import (
     performance_table,
     recommendation_table,
 )
+from demandspark.schema import TOTAL
 
 
-def key_metrics(ensemble: DataFrame, horizon: int = 7, digits: int = 2) -> DataFrame:
-    return forecast_kpis(ensemble, horizon).withColumn("value", F.round("value", digits))
+def key_metrics(ensemble: DataFrame, horizon: int = 7, digits: int = 2, keys: Sequence[str] = TOTAL) -> DataFrame:
+    return forecast_kpis(ensemble, horizon, keys).withColumn("value", F.round("value", digits))
 
 
-def forecast_chart(daily: DataFrame, ensemble: DataFrame) -> DataFrame:
-    """(date, series, value): history and one line per model and the ensemble."""
+def forecast_chart(daily: DataFrame, ensemble: DataFrame, keys: Sequence[str] = TOTAL) -> DataFrame:
+    """(keys, date, series, value): history and one line per model and the ensemble."""
     history = daily.select(
-        "date", F.lit("Historical").alias("series"), F.col("total_sales").alias("value")
+        *keys, "date", F.lit("Historical").alias("series"), F.col("total_sales").alias("value")
     )
     label = F.when(F.col("model") == "ensemble", "Ensemble").otherwise(model_label(F.col("model")))
-    lines = model_lines(ensemble).select("date", label.alias("series"), F.col("forecast").alias("value"))
+    lines = model_lines(ensemble, keys).select(*keys, "date", label.alias("series"), F.col("forecast").alias("value"))
     return history.unionByName(lines)
 
 
@@ -56,13 +57,17 @@ def product_policy(recommendations: DataFrame, digits: int = 2) -> DataFrame:
     ).withColumn("value", F.round("value", digits))
 
 
-def build_report_tables(tables: Mapping[str, DataFrame], horizon: int = 7) -> dict[str, DataFrame]:
-    """All report sections from the stage tables daily, ensemble, metrics, recommendations."""
+def build_report_tables(tables: Mapping[str, DataFrame], horizon: int = 7, keys: Sequence[str] = TOTAL) -> dict[str, DataFrame]:
+    """All report sections from the stage tables, of the total or with a row set for every key.
+
+    Tables: ensemble, metrics, recommendations, and the history, ``series`` for keys and ``daily`` for the total.
+    """
+    history = tables["series"] if keys else tables["daily"]
     return {
-        "key_metrics": key_metrics(tables["ensemble"], horizon),
-        "forecast_chart": forecast_chart(tables["daily"], tables["ensemble"]),
-        "forecast_table": forecast_table(tables["ensemble"]),
-        "model_performance": performance_table(tables["metrics"]).drop("accuracy"),
+        "key_metrics": key_metrics(tables["ensemble"], horizon, keys=keys),
+        "forecast_chart": forecast_chart(history, tables["ensemble"], keys),
+        "forecast_table": forecast_table(tables["ensemble"], keys=keys),
+        "model_performance": performance_table(tables["metrics"], keys=keys).drop("accuracy"),
         "inventory_recommendations": recommendation_table(tables["recommendations"]),
         "product_forecasts": product_forecasts(tables["recommendations"]),
         "product_policy": product_policy(tables["recommendations"]),

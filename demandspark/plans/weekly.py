@@ -7,6 +7,7 @@ most the running step, and no plan carries the lineage of all others.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,14 @@ from pyspark.sql import functions as F
 from demandspark.functions.calendar import Holidays
 from demandspark.operators import sarimax, sequence, structural
 from demandspark.operators.aggregates import daily_total
-from demandspark.operators.cleaning import clean_all, quality_report
+from demandspark.operators.cleaning import (
+    cast_dates,
+    clean_rows,
+    counted_rows,
+    quality_of,
+    with_sales_amount,
+)
+from demandspark.plans.dashboard import kpi_row
 from demandspark.plans.features import engineer_features
 from demandspark.plans.planning import plan_inventory
 from demandspark.plans.report import build_report_tables
@@ -25,7 +33,7 @@ from demandspark.schema import (
     SPECIAL_EVENTS,
     TOTAL,
 )
-from demandspark.sources.stages import read_stage, write_stage
+from demandspark.sources.stages import FACTS, read_stage, write_stage
 
 
 def forecast_models(
@@ -35,23 +43,36 @@ def forecast_models(
     horizon: int = HORIZON,
     holidays: Holidays = MODEL_HOLIDAYS,
     events: Holidays = SPECIAL_EVENTS,
-    optimise: bool = False,
-    cross_validation: bool = False,
+    optimise: bool = True,
+    cross_validation: bool = True,
 ) -> dict[str, DataFrame]:
-    """Long ``forecasts`` and holdout ``metrics`` of the three model families."""
-    runs = [
-        sarimax.run(daily, keys, horizon, True, cross_validation, holidays),
-        structural.run(daily, keys, horizon, True, cross_validation, exogenous=exogenous,
-                       holidays=holidays, events=events, optimise=optimise),
-        sequence.run(daily, keys, horizon),
-    ]
-    columns = [*keys, "model", "date", "yhat", "lower", "upper"]
-    forecasts, metrics = None, None
-    for out in runs:
-        part = out["forecast"].select(*columns)
-        forecasts = part if forecasts is None else forecasts.unionByName(part)
-        metrics = out["metrics"] if metrics is None else metrics.unionByName(out["metrics"])
-    return {"forecasts": forecasts, "metrics": metrics}
+    """What the three model families give, in tables of one row a series, model, date, fold or parameter.
+
+    ``forecasts``, ``holdout`` and ``metrics`` of all; ``arima_orders``, ``arima_residuals``, ``arima_tests``
+    and ``arima_folds``; ``structural_components``, ``structural_changepoints``, ``structural_search`` and
+    ``structural_folds``; ``sequence_errors``. Tables of what is turned off are left out.
+    """
+    arima = sarimax.run(daily, keys, horizon, True, cross_validation, holidays)
+    parts = structural.run(daily, keys, horizon, True, cross_validation, exogenous=exogenous,
+                           holidays=holidays, events=events, optimise=optimise)
+    chain = sequence.run(daily, keys, horizon)
+    long = lambda table, columns: reduce(DataFrame.unionByName, [out[table].select(*keys, *columns) for out in (arima, parts, chain)])
+    tests = arima["ljung_box"].select(*keys, "n", F.lit("ljung_box").alias("test"), "statistic", "p_value", F.col("white_noise").alias("passed"))
+    tests = tests.unionByName(arima["shapiro"].select(
+        *keys, "n", F.lit("shapiro_wilk").alias("test"), "statistic", "p_value", F.col("normal").alias("passed")))
+    out = {
+        "forecasts": long("forecast", ["model", "date", "yhat", "lower", "upper"]),
+        "holdout": long("holdout", ["model", "date", "actual", "predicted"]),
+        "metrics": long("metrics", [c for c in arima["metrics"].columns if c not in keys]),
+        "arima_orders": arima["orders"], "arima_residuals": arima["residuals"], "arima_tests": tests,
+        "structural_components": parts["forecast"], "structural_changepoints": parts["changepoints"],
+        "sequence_errors": chain["errors"],
+    }
+    if cross_validation:
+        out |= {"arima_folds": arima["cv_folds"], "structural_folds": parts["cv_by_horizon"]}
+    if optimise:
+        out["structural_search"] = parts["search"]
+    return out
 
 
 def run_weekly(
@@ -64,11 +85,22 @@ def run_weekly(
     feature_holidays: Holidays = FEATURE_HOLIDAYS,
     **model_options,
 ) -> dict[str, DataFrame]:
-    """Runs every step under ``base`` and returns the report tables."""
+    """Runs every step under ``base`` and returns the report tables of either scope.
+
+    Every table of :func:`forecast_models`, the plan and the KPI row are stages of their own.
+    """
     keys = TOTAL if scope == "total" else ("product_id",)
-    write_stage(quality_report(raw), base, "quality")
-    for name, df in clean_all(raw).items():
-        write_stage(df, base, name, "date" if name == "sales" else None)
+    # clean rows and quality counts follow from one aggregation of each raw table
+    dates = {"sales": "date", "stores": "opening_date"}
+    quality = []
+    for name in ("sales", "products", "stores"):
+        df = cast_dates(raw[name], dates[name]) if name in dates else raw[name]
+        write_stage(counted_rows(df, name == "sales"), base, f"{name}_counted")
+        counted = read_stage(spark, base, f"{name}_counted")
+        quality.append(quality_of(counted, name))
+        clean = clean_rows(counted)
+        write_stage(with_sales_amount(clean) if name == "sales" else clean, base, name, FACTS.get(name))
+    write_stage(reduce(DataFrame.unionByName, quality), base, "quality")
     cleaned = {t: read_stage(spark, base, t) for t in ("sales", "products", "stores")}
     features = engineer_features(cleaned, feature_holidays)
     write_stage(features["full_features"], base, "features", "date")
@@ -86,8 +118,12 @@ def run_weekly(
         read_stage(spark, base, "forecasts"), series, cleaned["products"], horizon, scope)
     for name, df in plan.items():
         write_stage(df, base, name)
+    # how each series was fitted goes along with what follows from it
+    if scope != "total":
+        status = read_stage(spark, base, "arima_orders").select("product_id", F.col("status").alias("arima_status"))
+        write_stage(read_stage(spark, base, "recommendations").join(status, "product_id", "left"), base, "recommendations")
     tables = {t: read_stage(spark, base, t)
-              for t in ("daily", "ensemble", "metrics", "recommendations")}
-    if scope == "total":
-        return build_report_tables(tables, horizon)
-    return tables
+              for t in ("daily", "series", "ensemble", "metrics", "recommendations")}
+    write_stage(kpi_row(tables["daily"], tables["metrics"], tables["recommendations"]), base, "kpis")
+    tables["kpis"] = read_stage(spark, base, "kpis")
+    return build_report_tables(tables, horizon, keys) | tables

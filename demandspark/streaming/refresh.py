@@ -15,13 +15,17 @@ def refresh_months(arrived: DataFrame, source: DataFrame, target: str) -> None:
     """Recomputes the daily totals of the months in ``arrived`` from the whole source.
 
     Only those months' partitions are replaced, so repeating a batch after a
-    failure gives the same table, and late rows simply recompute their month.
+    failure gives the same table, and late rows simply recompute their month. Of a source
+    partitioned by ``year_month`` only those months are read.
     """
     month = F.date_format("date", "yyyy-MM")
-    touched = arrived.select(month.alias("year_month")).distinct()
-    # a source partitioned by year_month is joined on that column and only these months are read
+    # a batch touches few months, at most those of the calendar; as literals they prune a source
+    # partitioned by year_month before a file is opened, which a join would do only if planned so
+    touched = [r[0] for r in arrived.filter("date IS NOT NULL").select(month).distinct().collect()]
+    if not touched:
+        return
     keyed = source if "year_month" in source.columns else source.withColumn("year_month", month)
-    affected = keyed.join(touched, "year_month", "left_semi")
+    affected = keyed.filter(F.col("year_month").cast("string").isin(touched))
     totals = daily_total(affected).withColumn("year_month", month)
     totals.hint("rebalance", "year_month").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"

@@ -46,6 +46,27 @@ def test_weekly_job(spark, tmp_path, scope):
     assert {r.model for r in metrics} == set(MODELS) and all(r.n == 8 for r in metrics)
     # the series is a clear weekly wave: every family must find it
     assert all(r.mape < 15 for r in metrics)
-    if scope == "total":
-        assert tables["forecast_chart"].count() == 110 + 4 * 7
-        assert tables["product_policy"].count() == 8 and tables["key_metrics"].count() == 2
+    n = 1 if scope == "total" else 2
+    assert tables["forecast_chart"].count() == n * (110 + 4 * 7)
+    assert tables["product_policy"].count() == 8 and tables["key_metrics"].count() == 2 * n
+    assert tables["forecast_table"].count() == 7 * n and tables["model_performance"].count() == 3 * n
+    # every step is a stage of its own
+    read = lambda name: stages.read_stage(spark, base, name)
+    kpis = read("kpis").first()
+    assert kpis.total_sales == read("daily").agg({"total_sales": "sum"}).first()[0] and 0 <= kpis.forecast_accuracy <= 100
+    assert read("arima_orders").filter("status = 'fitted'").count() == n
+    assert read("arima_residuals").filter("residual IS NOT NULL").count() == 110 * n
+    assert {r.test for r in read("arima_tests").collect()} == {"ljung_box", "shapiro_wilk"}
+    assert read("arima_folds").count() == 5 * n or read("arima_folds").count() == 4 * n
+    assert read("structural_search").count() == 160 * n and read("structural_folds").count() == 7 * n
+    assert read("structural_components").count() == 7 * n and read("structural_changepoints").count() == 25 * n
+    assert read("sequence_errors").count() >= 2 and read("holdout").count() == 3 * 8 * n
+    if scope == "product":
+        assert all(r.arima_status == "fitted" for r in recs)
+
+
+def test_weekly_job_without_search_and_folds(spark, tmp_path):
+    base = str(tmp_path / "stages")
+    run_weekly(spark, raw_tables(spark, 60), base, optimise=False, cross_validation=False)
+    assert stages.stages_available(spark, base, ["kpis", "structural_components", "arima_orders"])
+    assert not any(stages.stage_exists(spark, base, t) for t in ("structural_search", "structural_folds", "arima_folds"))
