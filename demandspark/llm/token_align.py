@@ -20,7 +20,7 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ HOT_TEXTS = 4096
 # parts that a worker remembers, and bytes of what it knows of them
 _CACHE = 400_000
 _CACHE_BYTES = 150_000_000
+# so many new parts are tokenised as one text
+_JOINT = 512
 # longer parts go to the reference library: the fast one may run out of stack on them
 _LONG = 10_000
 _SPACE = r" \t\n\x0b\x0c\r\xa0  -     　"
@@ -102,23 +104,56 @@ class TwoTokenizers:
 
     def align(self, parts: list[str]) -> list[tuple | None]:
         """(tokens of A, of B, groups, links, ids of the groups as text, linked pairs) of each part; None unless both give its bytes."""
-        tokens = self.encode(parts)
-        whole = [p.encode("utf-8", "replace") for p in parts]
+        out: list[tuple | None] = [None] * len(parts)
+        joint = [i for i, p in enumerate(parts) if self.separable and len(p) <= _LONG and p[0] in " \n" and not p[-1].isspace()]
+        alone = set(range(len(parts))).difference(joint)
+        for at in range(0, len(joint), _JOINT):
+            some = joint[at: at + _JOINT]
+            found = self._together([parts[i] for i in some])
+            if found is None:
+                alone.update(some)
+            else:
+                for i, x in zip(some, found, strict=True):
+                    out[i] = x
+        rest = sorted(alone)
+        tokens, whole = self.encode([parts[i] for i in rest]), [parts[i].encode("utf-8", "replace") for i in rest]
         faithful = [b"".join([self.a_bytes[i] for i in a]) == w == b"".join([self.b_bytes[i] for i in b]) for w, (a, b) in zip(whole, tokens, strict=True)]
-        if all(faithful):
-            return self._aligned(whole, tokens)
         good = [i for i, x in enumerate(faithful) if x]
-        out: list[tuple | None] = [None] * len(parts)
-        for i, x in zip(good, self._aligned([whole[i] for i in good], [tokens[i] for i in good]), strict=True):
-            out[i] = x
+        flat = [np.fromiter(chain.from_iterable(tokens[i][k] for i in good), np.int64) for k in (0, 1)]
+        sizes = [np.array([len(tokens[i][k]) for i in good], np.int64) for k in (0, 1)]
+        for i, x in zip(good, self._aligned([whole[i] for i in good], *flat, *sizes), strict=True):
+            out[rest[i]] = x
         return out
 
-    def _aligned(self, whole: list[bytes], tokens: list[tuple[list[int], list[int]]]) -> list[tuple]:
+    def _together(self, parts: list[str]) -> list[tuple] | None:
+        """Parts tokenised as one text, for no token reaches from one into the next; None if some do not come out as they are."""
+        text = "".join(parts)
+        if _DOUBTFUL.search(text):
+            return None
+        ids = self.b.encode(text[1:] if text[0] == " " else text)
+        if text[0] != " ":
+            if ids[:1] != [self.space]:
+                return None
+            ids = ids[1:]
+        found, raw = (self.fast.encode_ordinary(text), ids), text.encode("utf-8", "replace")
+        for tokens, of in zip(found, (self.a_bytes, self.b_bytes), strict=True):
+            if b"".join([of[i] for i in tokens]) != raw:
+                return None
+        whole = [p.encode("utf-8", "replace") for p in parts]
+        stop = np.cumsum([len(w) for w in whole])
+        flat, sizes = [np.array(tokens, np.int64) for tokens in found], []
+        for tokens, length in zip(flat, (self.a_length, self.b_length), strict=True):
+            ends = np.cumsum(length[tokens])
+            last = np.searchsorted(ends, stop)
+            if (ends[last] != stop).any():
+                return None
+            sizes.append(np.diff(last, prepend=-1))
+        return self._aligned(whole, *flat, *sizes)
+
+    def _aligned(self, whole: list[bytes], a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[tuple]:
         """All parts laid end to end, so that one pass over the ends of all tokens aligns them."""
         if not whole:
             return []
-        n_a, n_b = (np.array([len(t[i]) for t in tokens]) for i in (0, 1))
-        a, b = (np.fromiter((x for t in tokens for x in t[i]), np.int64, n.sum()) for i, n in ((0, n_a), (1, n_b)))
         end_a, end_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
         end = np.cumsum([len(w) for w in whole])
         # between two ends of any token lies one link, up to an end of both a group
