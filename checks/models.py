@@ -124,8 +124,8 @@ def _(spark, sf):
 
 # --- exact likelihood: what SQL can state of it -----------------------------
 
-# uneven steps, as integer sales would give rounding ties at even ones
-TRIALS = [round(i / 10.37, 5) for i in range(-10, 11)]
+# uneven steps, as integer sales would give rounding ties at even ones and at 0
+TRIALS = [round((i + 0.37) / 10.37, 5) for i in range(-10, 10)]
 
 # first-order autoregression with a level: the first row has variance 1 / (1 - phi^2)
 _FIRST_ORDER = """

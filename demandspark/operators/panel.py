@@ -71,7 +71,7 @@ def with_trailing_means(
     """Mean of the last ``span`` rows, this one included; short at the start."""
     w = series_window(keys, index)
     return df.withColumns(
-        {f"{prefix}{n}": F.avg(value).over(w.rowsBetween(-(n - 1), 0)) for n in spans}
+        {f"{prefix}{n}": guarded(F.avg(value).over(w.rowsBetween(-(n - 1), 0)), w, index) for n in spans}
     )
 
 
@@ -83,7 +83,8 @@ def with_cumulative_sum(
     df: DataFrame, value: str, name: str, keys: Keys = SERIES_KEYS,
     index: str = "date", start: float = 0.0,
 ) -> DataFrame:
-    running = F.sum(value).over(series_window(keys, index).rowsBetween(Window.unboundedPreceding, 0))
+    w = series_window(keys, index)
+    running = guarded(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), w, index)
     return df.withColumn(name, running + F.lit(start))
 
 
@@ -114,7 +115,7 @@ def sequence_windows(
     w = series_window(keys, index)
     past = F.collect_list(value).over(w.rowsBetween(-length, -1))
     return (
-        df.select(*keys, index, past.alias("sequence"), F.col(value).alias("label"))
+        df.select(*keys, index, guarded(past, w, index).alias("sequence"), F.col(value).alias("label"))
         .filter(F.size("sequence") == length)
     )
 

@@ -319,3 +319,11 @@ def test_formatting(spark):
 
 def test_keys_are_the_default():
     assert SERIES_KEYS == ("product_id", "store_id")
+
+
+def test_windows_refuse_two_rows_of_a_date(spark):
+    rows = [("a", DAY + timedelta(days=i), float(i)) for i in range(12)] + [("a", DAY + timedelta(days=5), 1.0)]
+    df = spark.createDataFrame(rows, "k string, date date, v double")
+    for made in (panel.with_trailing_means(df, "v", [7], ["k"]), panel.with_cumulative_sum(df, "v", "s", ["k"]), panel.sequence_windows(df, "v", 3, ["k"])):
+        with pytest.raises(Exception, match="do not identify a row"):
+            made.collect()
