@@ -418,6 +418,29 @@ def _(spark, sf):
     return sequence.forecast(sequence.train(series, K, kind="trees"), series)
 
 
+@register("m24_recurrent_training")
+def _(spark, sf):
+    return sequence.train(panel_series(spark, sf), K, kind="recurrent").history
+
+
+@register("m25_recurrent_forecast")
+def _(spark, sf):
+    series = panel_series(spark, sf)
+    return sequence.forecast(sequence.train(series, K, kind="recurrent"), series)
+
+
+# windows of every series that varies: all rows but its first seven, the first 80% to learn from
+@register("m24_recurrent_windows", oracle(
+    """SELECT CASE WHEN i <= floor(size * 0.8) THEN 'train' ELSE 'validation' END AS split, 60 AS epoch, count(*) AS n
+    FROM (SELECT i, count(*) OVER (PARTITION BY product_id, store_id) AS size FROM (
+      SELECT product_id, store_id, row_number() OVER (PARTITION BY product_id, store_id ORDER BY date) - 7 AS i,
+        min(sales_quantity) OVER (PARTITION BY product_id, store_id) < max(sales_quantity) OVER (PARTITION BY product_id, store_id) AS varies
+      FROM sales) WHERE i > 0 AND varies) GROUP BY ALL"""))
+def _(spark, sf):
+    history = sequence.train(panel_series(spark, sf), K, kind="recurrent").history
+    return history.filter("epoch = 60").select("split", "n", "epoch")
+
+
 @register("m26_sequence_holdout")
 def _(spark, sf):
     return sequence.evaluate_holdout(panel_series(spark, sf), K)[1]

@@ -1,9 +1,9 @@
 """Sequence-to-one regression on the last values, pooled over all series.
 
 Each series is standardised, cut into windows of ``length`` values with the
-next value as label, and one MLlib regressor is trained on the windows of all
-series. Forecasts feed predictions back. The regressor is linear or a
-gradient-boosted tree ensemble instead of a recurrent network.
+next value as label, and one regressor is trained on the windows of all
+series. Forecasts feed predictions back. The regressor is linear, a gradient-boosted
+tree ensemble or a network of two recurrent layers.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandspark.functions.metrics import evaluate
+from demandspark.operators import recurrent
 from demandspark.operators.ensemble import with_band
 from demandspark.operators.gram import attach, dot
 from demandspark.operators.panel import (
@@ -44,7 +45,10 @@ MODEL = "lstm"
 
 @dataclass(frozen=True)
 class SequenceModel:
-    """A trained pooled regressor, its error table and each series' normalisation."""
+    """A trained pooled regressor, its error table and each series' normalisation.
+
+    A recurrent network also has the errors of each epoch as ``history``.
+    """
 
     kind: str
     length: int
@@ -52,6 +56,7 @@ class SequenceModel:
     regressor: Any
     errors: DataFrame
     scaling: DataFrame
+    history: DataFrame | None = None
 
 
 def training_windows(
@@ -80,8 +85,14 @@ def train(
     """Trains on the first ``fraction`` of each series' windows.
 
     ``errors`` holds mean squared and absolute error per split, the numbers a
-    training history would end with.
+    training history ends with. ``kind`` is ``linear``, ``trees`` or ``recurrent``
+    (options: ``units``, ``epochs``, ``rate``, ``dropout``).
     """
+    if kind == "recurrent":
+        windows = training_windows(series, keys, length, fraction, value)
+        network, errors, history = recurrent.fit(windows, [*keys, "date"], length, seed=seed, **options)
+        return SequenceModel(
+            kind, length, tuple(keys), network, errors, normalisation(series, value, keys), history)
     if kind == "linear":
         estimator = LinearRegression(
             featuresCol="features", labelCol="label", solver="normal", **options)
@@ -90,7 +101,7 @@ def train(
             featuresCol="features", labelCol="label", seed=seed,
             **{"maxIter": 20, "maxDepth": 4, **options})
     else:
-        raise ValueError("kind is 'linear' or 'trees'")
+        raise ValueError("kind is 'linear', 'trees' or 'recurrent'")
     windows = training_windows(series, keys, length, fraction, value).withColumn(
         "features", array_to_vector("sequence")
     )
@@ -141,6 +152,8 @@ def forecast(
     start = attach(tail, model.scaling, keys).withColumn("state", F.concat(missing, known))
     if model.kind == "linear":
         path = start.withColumn("_path", _linear_path(model, horizon))
+    elif model.kind == "recurrent":
+        path = recurrent.with_path(start, model.regressor, horizon)
     else:
         # one transform per step on one row per series
         path = start
@@ -189,6 +202,8 @@ def run(
     """Training errors, forecast and holdout tables."""
     model = train(series, keys, **options)
     out = {"errors": model.errors, "forecast": forecast(model, series, horizon).drop("step")}
+    if model.history is not None:
+        out["history"] = model.history
     if evaluate_model:
         out["holdout"], out["metrics"] = evaluate_holdout(series, keys, **options)
     return out
