@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 # windows of one pass through the layers: bounds the memory of a task whatever the Arrow batch
-ROWS = 1024
+ROWS = 512
 UNITS = 16
 EPOCHS = 60
 RATE = 0.02
@@ -127,8 +127,8 @@ def forward(weights: np.ndarray, units: int, windows: np.ndarray, masks: tuple =
 
 
 def gradient(weights: np.ndarray, units: int, windows: np.ndarray, labels: np.ndarray,
-             masks: tuple = (1.0, 1.0)) -> np.ndarray:
-    """Gradient of the sum of squared errors over the rows."""
+             masks: tuple = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
+    """(gradient of the sum of squared errors over the rows, predictions)."""
     w1, u1, _, w2, u2, _, w3, _ = parts(weights, units)
     guess, (memory1, memory2, last) = forward(weights, units, windows, masks)
     d_guess = 2.0 * (guess - labels)
@@ -137,7 +137,7 @@ def gradient(weights: np.ndarray, units: int, windows: np.ndarray, labels: np.nd
     d_first, d_w2, d_u2, d_b2 = _layer_back(d_second, memory2, w2, u2)
     _, d_w1, d_u1, d_b1 = _layer_back(d_first * masks[0], memory1, w1, u1)
     pieces = (d_w1, d_u1, d_b1, d_w2, d_u2, d_b2, d_guess @ last, d_guess.sum())
-    return np.concatenate([np.ravel(p) for p in pieces])
+    return np.concatenate([np.ravel(p) for p in pieces]), guess
 
 
 def _uniform(ids: np.ndarray, epoch: int, count: int) -> np.ndarray:
@@ -164,7 +164,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, length: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=float).reshape(-1, length)
 
 
-def _pass(weights: np.ndarray, units: int, length: int, epoch: int, dropout: float) -> Callable:
+def _pass(weights: np.ndarray, units: int, length: int, epoch: int, dropout: float, learn: bool) -> Callable:
     """One epoch of a task: (position, value) sums of the gradient, then of each split's measures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,13 +175,18 @@ def _pass(weights: np.ndarray, units: int, length: int, epoch: int, dropout: flo
                 rows = batch.slice(at, ROWS)
                 x, y = _matrix(rows["sequence"], length), np.asarray(rows["label"], dtype=float)
                 learns = np.asarray(rows["learns"], dtype=bool)
-                miss = forward(weights, units, x)[0] - y
+                ids = np.asarray(rows["id"], dtype=np.int64).view(np.uint64)
                 for k, here in enumerate((learns, ~learns)):
-                    measured[k] += here.sum(), (miss[here] ** 2).sum(), np.abs(miss[here]).sum()
-                if learns.any():
-                    ids = np.asarray(rows["id"], dtype=np.int64)[learns].view(np.uint64)
-                    masks = masks_of(ids, epoch, length, units, dropout)
-                    total += gradient(weights, units, x[learns], y[learns], masks)
+                    if not here.any():
+                        continue
+                    if learn and k == 0:
+                        masks = masks_of(ids[here], epoch, length, units, dropout)
+                        slope, guess = gradient(weights, units, x[here], y[here], masks)
+                        total += slope
+                    else:
+                        guess = forward(weights, units, x[here])[0]
+                    miss = guess - y[here]
+                    measured[k] += here.sum(), (miss ** 2).sum(), np.abs(miss).sum()
         values = np.concatenate([total, measured.ravel()])
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(values.size, dtype=np.int32)), pa.array(values)], ["position", "value"])
@@ -202,9 +207,10 @@ def fit(windows: DataFrame, identity: list[str], length: int, units: int = UNITS
     """(network, errors per split, history) from ``windows`` (identity, sequence, label, split).
 
     ``identity`` names the columns that tell windows apart. Errors are mean squared and absolute
-    ones of the last weights; history has them before each epoch's step. Windows with a null or
-    non-finite number teach nothing and are left out of both. Without a window to learn from all
-    weights are zero: every prediction is the mean of its series.
+    ones of the last weights; history has them before each epoch's step, those of the training rows
+    with that epoch's units left out. Windows with a null or non-finite number teach nothing and
+    are left out of both. Without a window to learn from all weights are zero: every prediction is
+    the mean of its series.
     """
     spark = windows.sparkSession
     sound = "forall(sequence, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity'))"
@@ -220,7 +226,8 @@ def fit(windows: DataFrame, identity: list[str], length: int, units: int = UNITS
     history = []
     for epoch in range(epochs + 1):
         last = epoch == epochs
-        sums = _sums(dealt, _pass(weights, units, length, epoch, dropout), weights.size + len(SPLITS) * len(MEASURES))
+        sums = _sums(dealt, _pass(weights, units, length, epoch, dropout, not last),
+                     weights.size + len(SPLITS) * len(MEASURES))
         measured = sums[weights.size:].reshape(len(SPLITS), len(MEASURES))
         n = measured[0, 0]
         if not n:
