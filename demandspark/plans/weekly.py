@@ -45,17 +45,19 @@ def forecast_models(
     events: Holidays = SPECIAL_EVENTS,
     optimise: bool = True,
     cross_validation: bool = True,
+    sequence_options: Mapping[str, object] | None = None,
 ) -> dict[str, DataFrame]:
     """What the three model families give, in tables of one row a series, model, date, fold or parameter.
 
     ``forecasts``, ``holdout`` and ``metrics`` of all; ``arima_orders``, ``arima_residuals``, ``arima_tests``
     and ``arima_folds``; ``structural_components``, ``structural_changepoints``, ``structural_search`` and
-    ``structural_folds``; ``sequence_errors``. Tables of what is turned off are left out.
+    ``structural_folds``; ``sequence_errors`` and, of a recurrent network, ``sequence_history``. Tables of
+    what is turned off are left out. ``sequence_options`` go to the sequence model (``{"kind": "recurrent"}``).
     """
     arima = sarimax.run(daily, keys, horizon, True, cross_validation, holidays)
     parts = structural.run(daily, keys, horizon, True, cross_validation, exogenous=exogenous,
                            holidays=holidays, events=events, optimise=optimise)
-    chain = sequence.run(daily, keys, horizon)
+    chain = sequence.run(daily, keys, horizon, **(sequence_options or {}))
     long = lambda table, columns: reduce(DataFrame.unionByName, [out[table].select(*keys, *columns) for out in (arima, parts, chain)])
     tests = arima["ljung_box"].select(*keys, "n", F.lit("ljung_box").alias("test"), "statistic", "p_value", F.col("white_noise").alias("passed"))
     tests = tests.unionByName(arima["shapiro"].select(
@@ -68,6 +70,8 @@ def forecast_models(
         "structural_components": parts["forecast"], "structural_changepoints": parts["changepoints"],
         "sequence_errors": chain["errors"],
     }
+    if "history" in chain:
+        out["sequence_history"] = chain["history"]
     if cross_validation:
         out |= {"arima_folds": arima["cv_folds"], "structural_folds": parts["cv_by_horizon"]}
     if optimise:

@@ -70,3 +70,14 @@ def test_weekly_job_without_search_and_folds(spark, tmp_path):
     run_weekly(spark, raw_tables(spark, 60), base, optimise=False, cross_validation=False)
     assert stages.stages_available(spark, base, ["kpis", "structural_components", "arima_orders"])
     assert not any(stages.stage_exists(spark, base, t) for t in ("structural_search", "structural_folds", "arima_folds"))
+
+
+def test_weekly_job_with_a_recurrent_network(spark, tmp_path):
+    base = str(tmp_path / "stages")
+    run_weekly(spark, raw_tables(spark, 60), base, optimise=False, cross_validation=False,
+               sequence_options={"kind": "recurrent", "units": 4, "epochs": 4})
+    read = lambda name: stages.read_stage(spark, base, name)
+    history = read("sequence_history").collect()
+    assert sorted((r.epoch, r.split) for r in history) == [(e, s) for e in range(5) for s in ("train", "validation")]
+    assert all(r.lstm_forecast is not None for r in read("ensemble").collect())
+    assert read("holdout").filter("model = 'lstm'").count() == 8
